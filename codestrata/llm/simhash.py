@@ -5,8 +5,10 @@ fingerprints that differ in at most three bits differ in at most one bit of one
 distinct fingerprint is indexed under every one-wildcard variant of both segments (64 keys), keys
 that are shared are found by equality, and candidates are verified on all 64 bits.
 
-A key shared by more than ``PAIRS`` distinct fingerprints is not paired up.  Its members are linked
-through balls instead, again by equality: members that agree on the key (at most one bit apart in
+A key shared by more than ``PAIRS`` distinct fingerprints is not paired up.  Up to ``CROWD`` of them are
+one bounded group, searched from member to member: each takes the members not yet reached that it
+links to, so every member is reached once and at most one edge a member comes out.  Beyond that,
+members are linked through balls, again by equality: members that agree on the key (at most one bit apart in
 the segment) and are within one bit of a common centre in the other segment are at most three bits
 apart, and every pair with one difference here and two there, or none and two, has such a centre.
 Pairs with equal segments and three differences in the other one share a one-wildcard variant plus
@@ -31,6 +33,8 @@ from codestrata.llm.graph import components
 
 #: Distinct fingerprints of a key up to which its pairs are verified one by one.
 PAIRS = 16
+#: Distinct fingerprints of a key that one task searches (8 bytes each).
+CROWD = 20_000
 BITS = 3
 _LOW = 0xFFFFFFFF
 
@@ -75,7 +79,24 @@ def _balls(value: Column) -> Column:
     return F.transform(F.array(*(F.lit(x) for x in (0, *(1 << p for p in range(32))))), lambda x: value.bitwiseXOR(x))
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def spanning_links(fps: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what pairs at most ``BITS`` apart connect, one at most for each fingerprint."""
+    rest, edges = fps.astype("<i8").view("<u8"), []
+    while len(rest):
+        stack, rest = [rest[0]], rest[1:]
+        while stack and len(rest):
+            x = stack.pop()
+            near = np.bitwise_count(rest ^ x) <= BITS
+            if near.any():
+                hit = rest[near]
+                edges += [(y, x) for y in hit.tolist()]
+                stack += list(hit)
+                rest = rest[~near]
+    signed = lambda v: int(v) - (1 << 64) if int(v) >> 63 else int(v)
+    return [(signed(x), signed(y)) for x, y in edges]
+
+
+def links(distinct: DataFrame, crowd: int = CROWD, pairs_up_to: int = PAIRS) -> DataFrame:
     """Edges (x, y) between fingerprints of ``distinct`` (column fp) at most three bits apart.
 
     Not every such pair is an edge, but edges join the same fingerprints as all pairs would.
@@ -85,9 +106,11 @@ def links(distinct: DataFrame) -> DataFrame:
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS
     twos = shared.where("n = 2").select("x", "y").where(near)
     more = cut(keyed.join(shared.where("n > 2").select("key", "n"), "key"))
-    few = more.where(F.col("n") <= PAIRS).select("key", "fp")
+    few = more.where(F.col("n") <= pairs_up_to).select("key", "fp")
     pairs = few.select("key", F.col("fp").alias("x")).join(few.select("key", F.col("fp").alias("y")), "key").where("x < y").where(near).select("x", "y")
-    crowded = more.where(F.col("n") > PAIRS).select("key", "fp")
+    grouped = more.where((F.col("n") > pairs_up_to) & (F.col("n") <= crowd)).select("key", "fp")
+    searched = grouped.groupBy("key").applyInPandas(lambda g: pd.DataFrame(spanning_links(g["fp"].to_numpy()), columns=["x", "y"], dtype="int64"), "x long, y long")
+    crowded = more.where(F.col("n") > crowd).select("key", "fp")
     wild = F.shiftright("key", 32)
     other = F.when(wild < 32, _segment(F.col("fp"), 1)).otherwise(_segment(F.col("fp"), 0))
     one_side = crowded.select("key", F.explode(_balls(other)).alias("centre"), "fp")
@@ -100,7 +123,7 @@ def links(distinct: DataFrame) -> DataFrame:
     rest = F.transform(_balls(F.col("other")), lambda c: c.bitwiseAND(F.col("v.mask")))
     wide = wide.select("upper", "own", F.col("v.p").alias("p"), F.explode(F.array_distinct(rest)).alias("centre"), "fp")
     stars = [_stars(one_side, ["key", "centre"]), _stars(wide, ["upper", "own", "p", "centre"])]
-    return twos.unionByName(pairs).unionByName(stars[0]).unionByName(stars[1]).distinct()
+    return twos.unionByName(pairs).unionByName(searched).unionByName(stars[0]).unionByName(stars[1]).distinct()
 
 
 def _stars(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,11 +132,11 @@ def _stars(members: DataFrame, keys: list[str]) -> DataFrame:
     return members.join(low, keys).where("fp != y").select(F.col("fp").alias("x"), "y").distinct()
 
 
-def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **tiers: int) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable over links."""
     fps = cut(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    edges = links(distinct.where("node is not null").select("fp"))
+    edges = links(distinct.where("node is not null").select("fp"), **tiers)
     name = distinct.select("fp", "node")
     edges = edges.join(name.select(F.col("fp").alias("x"), F.col("node").alias("a")), "x").join(name.select(F.col("fp").alias("y"), F.col("node").alias("b")), "y").select("a", "b")
     found = components(edges)
