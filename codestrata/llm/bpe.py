@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,10 +26,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept per Python worker before the cache is emptied.
-CACHE_WORDS = 400_000
+from codestrata.llm.common import small_batches
+
+#: Words of a generation of the cache; a Python worker keeps two, over all its tasks.
+CACHE_WORDS = 120_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: The same words for texts of Latin-1 characters, by the faster standard library.
+_LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_LATIN = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
 def _byte_symbols() -> list[str]:
@@ -56,6 +63,8 @@ class Vocabulary:
         self.tokens = np.full(max([*ids.values(), *self.special.values()]) + 1, "", dtype=object)
         for token, i in [*ids.items(), *self.special.items()]:
             self.tokens[i] = token
+        self.young: dict = {}
+        self.old: dict = {}
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
 
     def merge_words(self, words: list[str]) -> list[list[int]]:
@@ -123,27 +132,32 @@ class Vocabulary:
             return found
         return _words(text)
 
-    def encode(self, texts: list[str], cache: dict) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text; new words of the batch are merged together."""
         rows = [self.pieces(t) for t in texts]
-        new = list({w for row in rows for w in row if w not in cache})
-        for w in new:
-            if isinstance(w, int):
-                cache[w] = [w]
-        new = [w for w in new if isinstance(w, str)]
-        cache.update(zip(new, self.merge_words(new), strict=True))
-        out = []
-        for row in rows:
-            ids: list[int] = []
-            for found in map(cache.__getitem__, row):
-                ids += found
-            out.append(np.array(ids, dtype=np.int32))
-        return out
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for w in set(chain.from_iterable(rows)):
+            if w not in young:
+                if (found := old.get(w)) is not None:
+                    young[w] = found
+                elif isinstance(w, int):
+                    young[w] = [w]
+                else:
+                    new.append(w)
+        young.update(zip(new, self.merge_words(new), strict=True))
+        return [np.fromiter(chain.from_iterable(map(young.__getitem__, row)), dtype=np.int32) for row in rows]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return " ".join(self.tokens[ids])
 
 
 def _words(text: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return _WORDS.findall(text.lower())
+    text = text.lower()
+    return (_LATIN if text.isascii() or max(text) < "Ā" else _WORDS).findall(text)
 
 
 @lru_cache(maxsize=2)
@@ -151,21 +165,20 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids", chunk: int = 256) -> DataFrame:
+def _encoded(vocab: Vocabulary, batch: pd.Series, chunk: int = 256) -> list[np.ndarray]:
+    texts = batch.fillna("").tolist()
+    return [ids for at in range(0, len(texts), chunk) for ids in vocab.encode(texts[at : at + chunk])]
+
+
+def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
     """Adds ``into``, the array of token ids of each whole text.  ``path`` must be readable on executors."""
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocab, cache = vocabulary(path), {}
         for batch in batches:
-            texts, out = batch.fillna("").tolist(), []
-            for at in range(0, len(texts), chunk):
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                out += vocab.encode(texts[at : at + chunk], cache)
-            yield pd.Series(out, dtype=object)
+            yield pd.Series(_encoded(vocabulary(path), batch), dtype=object)
 
-    return df.withColumn(into, ids(F.col(text)))
+    return small_batches(df).withColumn(into, ids(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -173,8 +186,21 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = vocabulary(path).tokens
+        vocab = vocabulary(path)
+        for batch in batches:
+            yield pd.Series([vocab.decode(np.asarray(x, dtype=np.int64)) if x is not None else "" for x in batch], dtype=object)
+
+    return small_batches(df).withColumn(into, text(F.col(ids)))
+
+
+def encode_decode(df: DataFrame, path: str, text: str = "text", into: str = "coded") -> DataFrame:
+    """Adds ``into``: struct (ids, decoded), the round trip of both operators in one pass over the rows."""
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocab = vocabulary(path)
         for batch in batches:
-            yield pd.Series([" ".join(tokens[np.asarray(x, dtype=np.int64)]) if x is not None and len(x) else "" for x in batch], dtype=object)
+            ids = _encoded(vocab, batch)
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([vocab.decode(x) for x in ids], dtype=object)})
 
-    return df.withColumn(into, text(F.col(ids)))
+    return small_batches(df).withColumn(into, both(F.col(text)))

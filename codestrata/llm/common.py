@@ -27,6 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds what a Python worker holds at once: texts may be long, so batches have few rows and bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
 def unit_hash(*cols: Column, salt: int = 0) -> Column:
     """A number in [0, 1) that depends on the columns only."""
     return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(1 << 24)) / F.lit(float(1 << 24))
