@@ -27,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut
+from codestrata.llm.common import cut, small_batches
 
 WIDTH, LITERALS, SHARE, BLOCK = 5, 3, 0.6, 1_000_000
-CACHE = 500_000
+CACHE = 200_000
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?:;\n]")
 #: Unit words and symbols that follow a number.
 UNITS = frozenset(
@@ -105,7 +105,7 @@ def _windows(df: DataFrame, text: str, wanted: np.ndarray | None = None) -> Data
                 out.append(template_windows(t or "", cache, wanted))
             yield pd.Series(out, dtype=object)
 
-    return df.withColumn("__w", cutter(F.col(text)))
+    return small_batches(df).withColumn("__w", cutter(F.col(text)))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:

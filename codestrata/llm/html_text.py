@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.llm.common import small_batches
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -253,4 +255,4 @@ def extract(df: DataFrame, html: str = "html", into: str = "main_text") -> DataF
         for batch in batches:
             yield pd.Series([main_text(x) for x in batch], dtype=object)
 
-    return df.withColumn(into, text(F.col(html)))
+    return small_batches(df).withColumn(into, text(F.col(html)))

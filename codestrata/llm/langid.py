@@ -25,16 +25,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import bounded_sample, not_held_out
+from codestrata.llm.common import bounded_sample, not_held_out, small_batches
 
 #: Training documents of each language (expected number; the choice is by hash).
 SAMPLE = 600
 #: Longest n-gram of the backoff.
 LONGEST = 5
 #: Words per worker whose scores are kept.
-CACHE = 300_000
-#: A word must occur this often in the sample to count as known.
-LEAST = 2
+CACHE = 60_000
+#: A word or n-gram must occur this often in the sample to count as known.
+LEAST, LEAST_GRAM = 2, 4
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -56,7 +56,7 @@ class Model:
                     for j in range(n):
                         row[j] += counts[j]
         self.words = self._logs({w: c for w, c in words.items() if sum(c) >= LEAST}, n)
-        self.grams = [self._logs({g: c for g, c in level.items() if sum(c) >= LEAST}, n) for level in grams]
+        self.grams = [self._logs({g: c for g, c in level.items() if sum(c) >= LEAST_GRAM}, n) for level in grams]
         self.cache: dict[str, tuple[float, ...]] = {}
 
     @staticmethod
@@ -105,4 +105,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", into: str = "__lang
         for batch in batches:
             yield pd.DataFrame([model.predict(t) for t in batch], columns=["lang_pred", "score"])
 
-    return df.withColumn(into, ask(F.col(text)))
+    return small_batches(df).withColumn(into, ask(F.col(text)))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import bounded_sample, not_held_out
+from codestrata.llm.common import bounded_sample, not_held_out, small_batches
 
 #: Labelled training documents of each class (expected number; the choice is by hash).
 SAMPLE = 2000
@@ -66,7 +66,7 @@ def with_statistics(df: DataFrame, text: str = "text", into: str = "__stats") ->
         for batch in batches:
             yield pd.DataFrame([statistics(t) for t in batch.fillna("")], columns=list(STATISTICS), dtype="float64")
 
-    return df.withColumn(into, measure(F.col(text)))
+    return small_batches(df).withColumn(into, measure(F.col(text)))
 
 
 @dataclass

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut
+from codestrata.llm.common import cut, small_batches
 from codestrata.llm.graph import components
 
 #: Distinct fingerprints of a key up to which its pairs are verified one by one.
@@ -62,7 +62,7 @@ def fingerprints(df: DataFrame, text: str = "text", into: str = "fp") -> DataFra
         for batch in batches:
             yield pd.Series([simhash(t) for t in batch.fillna("")], dtype="int64")
 
-    return df.withColumn(into, fp(F.col(text)))
+    return small_batches(df).withColumn(into, fp(F.col(text)))
 
 
 def _segment(fp: Column, s: int) -> Column:

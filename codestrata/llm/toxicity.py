@@ -26,13 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import bounded_sample, not_held_out
+from codestrata.llm.common import bounded_sample, not_held_out, small_batches
 
 #: Labelled training documents of each class (expected number; the choice is by hash).
 SAMPLE = 2000
 PREFIXES = (5, 4, 3)
 PRIOR, LEAST, DRIFT, CEILING, SIGNIFICANT = 20.0, 4, 0.4, 4.0, 0.01
-CACHE = 300_000
+CACHE = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -190,4 +190,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", into: str = "__toxi
         for batch in batches:
             yield pd.DataFrame([model.predict(t) for t in batch], columns=["score", "passages"])
 
-    return df.withColumn(into, ask(F.col(text)))
+    return small_batches(df).withColumn(into, ask(F.col(text)))
