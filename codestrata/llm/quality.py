@@ -172,11 +172,16 @@ def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tu
 
 def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Model:
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and id is not null").where(not_held_out(F.col("id"), folds, held))
+    share = known.agg(F.avg("y")).first()[0]
     known = bounded_sample(known, "id", sample, "y")
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     rows = with_statistics(docs.join(F.broadcast(known), "id")).select("id", "y", "__stats.*").collect()  # ids and labels of the sample are sent
     rows.sort(key=lambda r: r[0])
-    return train(np.array([r[2:] for r in rows], dtype=float).reshape(-1, len(STATISTICS)), np.array([r[1] for r in rows], dtype=float))
+    y = np.array([r[1] for r in rows], dtype=float)
+    model = train(np.array([r[2:] for r in rows], dtype=float).reshape(-1, len(STATISTICS)), y)
+    if share and 0 < share < 1 and 0 < y.mean() < 1:  # the sample holds the classes alike, the labels don't
+        model.shift += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", into: str = "__quality") -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +31,8 @@ from codestrata.llm.common import bounded_sample, not_held_out, small_batches
 
 #: Labelled training documents of each class (expected number; the choice is by hash).
 SAMPLE = 2000
-PREFIXES = (5, 4, 3)
-PRIOR, LEAST, DRIFT, CEILING, SIGNIFICANT = 20.0, 4, 0.4, 4.0, 0.01
+PREFIXES = (5, 4)
+PRIOR, LEAST, DRIFT, CEILING, CLEAR, MANY, SIGNIFICANT = 20.0, 4, 0.8, 5.0, 3.5, 40, 0.01
 CACHE = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -57,6 +58,13 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, y - x) for a, b, x, y in found]
 
 
+def _clearness(y1: int, y0: int, n1: int, n0: int) -> float:
+    """Square root of the likelihood ratio of two occurrence counts against equal rates."""
+    rate = (y1 + y0) / (n1 + n0)
+    part = lambda y, n: y * math.log(y / (n * rate)) if y else 0.0
+    return math.sqrt(max(0.0, 2 * (part(y1, n1) + part(y0, n0))))
+
+
 class Odds:
     """Log-odds of words and prefixes with a Dirichlet prior."""
 
@@ -74,8 +82,11 @@ class Odds:
             a = PRIOR * (y1 + y0) / (n1 + n0)
             odds1, odds0 = (y1 + a) / (n1 + PRIOR - y1 - a + 1e-9), (y0 + a) / (n0 + PRIOR - y0 - a + 1e-9)
             delta = math.log(odds1 / odds0)
-            z = delta / math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
-            self.known[g] = delta if abs(z) > 2.6 else 0.0
+            z = _clearness(y1, y0, n1, n0)
+            if abs(z) > CLEAR:
+                self.known[g] = delta
+            elif y1 + y0 >= MANY:  # seen often and in both alike; a word seen less says nothing and its prefix is asked
+                self.known[g] = 0.0
         self.cache: dict[str, float] = {}
 
     def word(self, w: str) -> float:
@@ -95,6 +106,24 @@ class Odds:
         return [cache[w] for w in words]
 
 
+def distinct_texts(texts: list[str]) -> list[int]:
+    """Indices of texts that are no near copies of earlier ones, by two bands of two min-hashes of word triples.
+
+    Copies would count one author's words many times over.
+    """
+    seen: set = set()
+    kept = []
+    for i, t in enumerate(texts):
+        w = _WORD.findall(t.lower())
+        h = [zlib.crc32(" ".join(x).encode()) for x in zip(w, w[1:], w[2:])] or [zlib.crc32(" ".join(w).encode())]
+        low = [min((x * m + 12345) & 0xFFFFFFFF for x in h) for m in (2654435761, 2246822519, 3266489917, 668265263)]
+        bands = {(0, low[0], low[1]), (1, low[2], low[3])}
+        if not bands & seen:
+            kept.append(i)
+        seen |= bands
+    return kept
+
+
 class Calibration:
     """Extreme-value parameters of the best segment score in texts that are not toxic."""
 
@@ -124,6 +153,8 @@ class Calibration:
 
 class Model:
     def __init__(self, texts: list[str], toxic: list[int]):
+        own = distinct_texts(texts)
+        texts, toxic = [texts[i] for i in own], [toxic[i] for i in own]
         self.ready = 0 < sum(toxic) < len(toxic)
         if not self.ready:
             return
