@@ -65,7 +65,7 @@ def markdown_sections(docs: DataFrame, doc: str = "doc", text: str = "text") ->
     stop = F.coalesce(F.get("at", F.col("section") + 1), F.col("n"))
     head = F.get("lines", F.col("i"))
     body = F.slice("lines", F.col("i") + 2, stop - F.col("i") - 1)
-    return rows.select(doc, F.col("section").cast("long").alias("section"), F.trim(F.regexp_extract(head, r"^#{1,6}\s+(.+)$", 1)).alias("heading"), F.char_length(F.regexp_extract(head, r"^(#{1,6})\s", 1)).cast("long").alias("level"), F.trim(F.array_join(body, "\n")).alias("content"))
+    return rows.select(doc, F.col("section").cast("long").alias("section"), F.trim(F.regexp_extract(head, r"^#{1,6}\s+(.+)$", 1)).alias("heading"), F.char_length(F.regexp_extract(head, r"^(#{1,6})\s", 1)).cast("long").alias("level"), F.regexp_replace(F.array_join(body, "\n"), r"^\s+|\s+$", "").alias("content"))
 
 
 def mentions(text: Column) -> Column:
