@@ -133,8 +133,9 @@ def _grow(x: np.ndarray, binned: np.ndarray, cuts: list[np.ndarray], grad: np.nd
 def train(x: np.ndarray, y: np.ndarray) -> Model:
     """Boosted trees, their paths as rules, and lasso weights for the rules."""
     mean = float(y.mean()) if len(y) else 0.5
-    if not 0 < mean < 1:
-        return Model(0.0 if not len(y) else math.log((mean + 1e-3) / (1 - mean + 1e-3)))
+    prior = Model(math.log((mean + 1e-3) / (1 - mean + 1e-3)))
+    if not len(y) or not 0 < mean < 1:
+        return prior
     # thresholds lie midway between neighbouring values at quantiles
     cuts = []
     for f in range(x.shape[1]):
@@ -147,6 +148,8 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
         p = 1 / (1 + np.exp(-margin))
         rows = np.flatnonzero(np.arange(len(y)) * 2654435761 % 97 % 3 != t % 3)
         _grow(x, binned, cuts, y - p, p * (1 - p), rows, (), DEPTH, rules, margin)
+    if not rules:
+        return prior
     unique = list({r.terms: r for r in rules}.values())
     design = np.stack([r.holds(x) for r in unique], axis=1).astype(float)
     _, first = np.unique(design, axis=1, return_index=True)
