@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MIN_SCORE, BOOST_BASE, BOOST_STEP, ONLY_BASE = 0.35, 0.3, 0.1, 0.7
@@ -38,20 +40,44 @@ def topk(embeddings: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     return embeddings.select("vec_id", d.alias("distance")).withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - F.col("distance")), 6)).orderBy("distance", "vec_id").limit(k)
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, blocks: int = 16) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, block: int = 1000) -> DataFrame:
     """Pairs (a < b) with cosine over the threshold, exact.
 
-    Vectors are dealt over blocks and every pair of blocks meets as one group through an equality join,
-    so no task sees more than two blocks; raise ``blocks`` with the input.
+    Vectors are dealt over blocks of about ``block`` rows and every pair of blocks is one group, so a
+    task holds two blocks at most and multiplies them as matrices.
     """
+    blocks = max(1, -(-embeddings.count() // block))
     e = embeddings.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"))))
     dealt = e.select("vec_id", "embedding", "b", pair.alias("p")).select("vec_id", "embedding", "b", "p.i", "p.j")
-    left = dealt.where("b = i").select("i", "j", F.col("vec_id").alias("a"), F.col("embedding").alias("ea"))
-    right = dealt.where("b = j").select("i", "j", F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
-    met = left.join(right, ["i", "j"]).where("(i < j) or (a < b)")
-    sim = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(cosine(F.col("ea"), F.col("eb")), 6).alias("similarity"))
-    return sim.where(F.col("similarity") > threshold)
+
+    def unit(v: pd.Series) -> np.ndarray:
+        width = max((len(x) for x in v if x is not None), default=0)
+        m = np.stack([np.asarray(x, dtype=np.float64) if x is not None and len(x) == width else np.zeros(width) for x in v])
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        own = g["i"].iloc[0] == g["j"].iloc[0]
+        left, right = (g, g) if own else (g[g["b"] == g["i"]], g[g["b"] == g["j"]])
+        out = []
+        if len(left) and len(right):
+            sim = np.round(unit(left["embedding"]) @ unit(right["embedding"]).T, 6)
+            x, y = np.nonzero(sim > threshold)
+            a, b = left["vec_id"].to_numpy()[x], right["vec_id"].to_numpy()[y]
+            keep = a < b if own else a != b
+            out = list(zip(np.minimum(a, b)[keep], np.maximum(a, b)[keep], sim[x, y][keep], strict=True))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+    return dealt.groupBy("i", "j").applyInPandas(meet, "a long, b long, similarity double")
+
+
+def search_split(found: DataFrame, results: int, summaries: int) -> DataFrame:
+    """The best code and the best module results of one search (I11); ``found`` has level and distance."""
+    kind = F.when(F.col("level").isin("module", "system"), "module").otherwise("code")
+    w = W.partitionBy("kind").orderBy("distance", "vec_id")
+    ranked = found.withColumn("kind", kind).withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= F.when(F.col("kind") == "module", summaries).otherwise(results))
 
 
 def hash_embed(df: DataFrame, text: str, into: str = "embedding", dims: int = 64) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.functions import code as K
 from codestrata.functions import text as T
 from codestrata.operators import context as C
 from codestrata.operators import detectors as D
@@ -17,9 +18,12 @@ from codestrata.operators import graph as G
 from codestrata.operators import history as H
 from codestrata.operators import incremental as I
 from codestrata.operators import merge as M
+from codestrata.operators import resolve as R
 from codestrata.operators import vector as V
+from codestrata.sources import gitlog as L
 from codestrata.sources import proxies as P
 from codestrata.sources.proxies import with_tables as sql
+from codestrata.streaming import events as S
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -537,3 +541,61 @@ def url_slugs(spark, d):
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_counts(spark, d):
     return P.read(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# --- resolution, extraction, streams
+
+@query(sql("SELECT a.path AS source_file, './' || b.stem AS specifier, b.path AS target_file FROM files a JOIN (SELECT id, path, regexp_extract(path, '([^/]*)\\.[^.]*$', 1) AS stem FROM files) b ON a.id = b.id WHERE regexp_matches(a.path, '\\.(ts|tsx|js)$')", "files"))
+def import_resolution(spark, d):
+    """Each script imports itself without its extension, which the candidate probing has to find."""
+    f = P.files(spark, d)
+    own = f.where(F.col("path").rlike(r"\.(ts|tsx|js)$"))
+    i = own.select(F.col("path").alias("source_file"), F.concat(F.lit("./"), F.regexp_extract("path", r"([^/]*)\.[^.]*$", 1)).alias("specifier"))
+    return R.resolve_imports(i, f).select("source_file", "specifier", "target_file")
+
+
+@query(sql(f"SELECT kind, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY distance, vec_id) AS k FROM (SELECT e.vec_id, round(1 - {_COS}, 6) AS distance, CASE WHEN s.level IN ('de', 'fr') THEN 'module' ELSE 'code' END AS kind FROM (SELECT e.vec_id, e.embedding FROM embeddings e) e JOIN summaries s ON s.id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY distance, e.vec_id LIMIT 40)) WHERE k <= CASE WHEN kind = 'module' THEN 5 ELSE 10 END", "summaries"))
+def search_split(spark, d):
+    s = P.summaries(spark, d).select("id", F.when(F.col("level").isin("de", "fr"), "module").otherwise("function").alias("level"))
+    both = P.read(spark, d, "embeddings").join(s, F.col("vec_id") == F.col("id"), "left_semi")
+    found = V.topk(both, _query_vector(spark, d), 40).join(s, F.col("vec_id") == F.col("id"))
+    return V.search_split(found, 10, 5).select("kind", "vec_id", "distance")
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_stream_counts(spark, d):
+    return S.counts(P.read(spark, d, "events"))
+
+
+@query("SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1")
+def job_state_stream(spark, d):
+    e = P.read(spark, d, "events").select(F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("seq"), F.col("event_type").alias("status"))
+    return S.job_states(e).select("job_id", "status")
+
+
+@query("SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS sha, count(*) AS n_files, CAST(sum(l_quantity) AS BIGINT) AS lines_added FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def gitlog_parse(spark, d):
+    """A log dumped from commits and their files, parsed back."""
+    cf = P.commit_files(spark, d)
+    stat = cf.groupBy("commit_id").agg(F.array_join(F.collect_list(F.concat(F.col("lines_added").cast("int").cast("string"), F.lit("\t-\t"), "file_path")), "\n").alias("stat"))
+    c = P.commits(spark, d).join(stat, F.col("id") == F.col("commit_id"))
+    sep = F.lit(L.FIELD)
+    log = F.concat(F.lit(L.COMMIT), "sha", sep, F.lit("a"), sep, F.lit("a@b"), sep, F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), sep, "message", sep, F.lit("\n\n"), "stat")
+    parsed = L.parse(c.select(log.alias("value")))
+    return parsed.select("sha", F.size("files").cast("long").alias("n_files"), F.aggregate("files", F.lit(0).cast("long"), lambda s, f: s + f["lines_added"]).alias("lines_added"))
+
+
+@query("SELECT doc_id AS path, CAST(1 AS INT) AS n_comments, 'note ' || doc_id AS header FROM documents")
+def comments(spark, d):
+    doc = P.read(spark, d, "documents")
+    content = F.concat(F.lit("// note "), F.col("doc_id").cast("string"), F.lit("\nexport function f() {}\n"))
+    rows = K.extract(doc.select(F.col("doc_id").cast("string").alias("path"), content.alias("content"), F.lit("typescript").alias("language")), "comments")
+    return rows.groupBy(F.col("path").cast("long").alias("path")).agg(F.count("*").cast("int").alias("n_comments"), F.min_by("text", "start_line").alias("header"))
+
+
+@query("SELECT doc_id AS path, 'f' || doc_id AS name, CAST(2 AS INT) AS complexity FROM documents")
+def symbols_and_complexity(spark, d):
+    doc = P.read(spark, d, "documents")
+    content = F.concat(F.lit("export function f"), F.col("doc_id").cast("string"), F.lit("(x) {\n if (x) { return 1; }\n}\n"))
+    src = doc.select(F.col("doc_id").cast("string").alias("path"), content.alias("content"), F.lit("typescript").alias("language"))
+    return K.extract(src, "symbols").join(K.extract(src, "complexity"), "path").select(F.col("path").cast("long").alias("path"), "name", "complexity")
