@@ -45,9 +45,10 @@ def fingerprint(df: DataFrame, keys: list[str], words: str) -> DataFrame:
     ``words`` is an array<string> column; ``keys`` identify a row.  If ``df`` is partitioned by a
     subset of the keys, no exchange is added.
     """
-    terms = df.select(*keys, F.explode_outer(words).alias("w"))
-    counted = terms.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n"))
-    weighed = counted.select(*keys, F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("term"), F.log(F.col("n") * F.char_length("w")).alias("lnw"))
+    # words are counted by hash and length, which are smaller keys than the words
+    terms = df.select(*keys, F.explode_outer(words).alias("w")).select(*keys, F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("term"), F.char_length("w").alias("length"))
+    counted = terms.groupBy(*keys, "term", "length").agg(F.count(F.lit(1)).alias("n"))
+    weighed = counted.select(*keys, "term", F.log(F.col("n") * F.col("length")).alias("lnw"))
     drawn = weighed.select(*keys, "term", "lnw", F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("round"))
     drawn = drawn.select("*", F.xxhash64("term", "round").alias("p")).select("*", F.xxhash64("p").alias("q"))
     drawn = drawn.select(

@@ -31,16 +31,18 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = F.when(F.col("ghost") == 0, F.coalesce("next", F.lit("")))
     edited = F.when(F.col("ghost") == 0, F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(following, F.lit(1), half)))
     docs = docs.select("bucket", "row", "id", "ghost", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    both = docs.select("bucket", "row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("v")).select("bucket", "row", "v.side", "v.text").where("text is not null")
-    sigs = fingerprints.fingerprint(both.select("bucket", "row", "side", fingerprints.words_of(F.col("text")).alias("words")), ["bucket", "row", "side"], "words")
-    pair = sigs.groupBy("bucket", "row").agg(F.max(F.when(F.col("side") == 0, F.col("sig"))).alias("sig"), F.max(F.when(F.col("side") == 1, F.col("sig"))).alias("edited_sig"))
+    both = docs.select("bucket", "row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("v")).where("v.text is not null")
+    item = (F.col("row").cast("long") * 2 + F.col("v.side")).alias("item")
+    sigs = fingerprints.fingerprint(both.select("bucket", item, fingerprints.words_of(F.col("v.text")).alias("words")), ["bucket", "item"], "words")
+    side = F.pmod("item", F.lit(2))
+    pair = sigs.groupBy("bucket", F.floor(F.col("item") / 2).alias("row")).agg(F.max(F.when(side == 0, F.col("sig"))).alias("sig"), F.max(F.when(side == 1, F.col("sig"))).alias("edited_sig"))
     pair = pair.withColumn("next_sig", F.lead("sig").over(W.partitionBy("bucket").orderBy("row")))
-    facts = docs.where("ghost = 0").select("bucket", "row", "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    out = facts.join(pair, ["bucket", "row"])
-    return out.select(
-        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprints.as_text(F.col("sig")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sig")).alias("edited_fingerprint"),
+    pair = pair.where("edited_sig is not null").select(
+        "bucket", "row", fingerprints.as_text(F.col("sig")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sig")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), fingerprints.likeness(F.col("sig"), F.coalesce("next_sig", "sig")).alias("near_next"),
     )
+    facts = docs.where("ghost = 0").select("bucket", F.col("row").cast("long").alias("row"), "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    return facts.join(pair, ["bucket", "row"]).select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
