@@ -37,8 +37,8 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BAD = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion adsense adslot "
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs toolbar pagination pager topbar masthead "
-    "header siteheader pageheader footer sitefooter pagefooter colophon bottom sidebar sidebars aside rail widget widgets complementary contentinfo "
-    "comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
+    "header siteheader pageheader footer sitefooter pagefooter colophon sidebar sidebars aside rail widget widgets complementary contentinfo "
+    "comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations popular trending search searchbox form copyright legal disclaimer skip hidden".split()
 )
 _WORD = re.compile(r"[a-z]+")
@@ -59,7 +59,7 @@ def _boilerplate(tag: str, attrs: str, parent: Node) -> bool:
     inside = parent
     while inside is not None and inside.tag not in ("article", "main"):
         inside = inside.parent
-    if tag == "header" and inside is None:
+    if tag == "header" and inside is None:  # an article's own header holds its title
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
@@ -73,7 +73,7 @@ def _boilerplate(tag: str, attrs: str, parent: Node) -> bool:
                 return True
         elif name in ("class", "id", "role", "aria-label") and name != "aria-label":
             words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-            if words & _BAD and not (tag == "header" and inside is not None):
+            if words & (_BAD - {"header"} if inside is not None else _BAD):
                 return True
     return False
 
