@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_tokens() -> None:
+    """Empties the token cache that an earlier stage left in this Python worker, which Spark reuses."""
+    if (bpe := sys.modules.get("codestrata.llm.bpe")) is not None and bpe.vocabulary.cache_info().currsize:
+        bpe.vocabulary.cache_clear()
+        gc.collect()
+
+
 def unit_hash(*cols: Column, salt: int = 0) -> Column:
     """A number in [0, 1) that depends on the columns only."""
     return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(1 << 24)) / F.lit(float(1 << 24))

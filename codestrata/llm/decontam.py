@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut, small_batches
+from codestrata.llm.common import cut, release_tokens, small_batches
 
 WIDTH, LITERALS, SHARE, BLOCK = 5, 3, 0.6, 1_000_000
 CACHE = 200_000
@@ -97,6 +97,7 @@ def _windows(df: DataFrame, text: str, wanted: np.ndarray | None = None) -> Data
     @F.pandas_udf("array<struct<hash:long,pos:int,slots:array<string>>>")
     def cutter(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache: dict[str, int] = {}
+        release_tokens()
         for batch in batches:
             out = []
             for t in batch:

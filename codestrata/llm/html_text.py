@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import small_batches
+from codestrata.llm.common import release_tokens, small_batches
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -252,6 +252,7 @@ def extract(df: DataFrame, html: str = "html", into: str = "main_text") -> DataF
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release_tokens()
         for batch in batches:
             yield pd.Series([main_text(x) for x in batch], dtype=object)
 

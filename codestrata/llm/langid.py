@@ -15,7 +15,6 @@ are not learned from.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import bounded_sample, not_held_out, small_batches
+from codestrata.llm.common import bounded_sample, not_held_out, release_tokens, small_batches
 
 #: Training documents of each language (expected number; the choice is by hash).
 SAMPLE = 600
@@ -34,7 +33,7 @@ LONGEST = 5
 #: Words per worker whose scores are kept.
 CACHE = 60_000
 #: A word or n-gram must occur this often in the sample to count as known.
-LEAST, LEAST_GRAM = 2, 4
+LEAST, LEAST_GRAM = 2, 6
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -42,7 +41,7 @@ class Model:
     def __init__(self, texts: list[tuple[str, str]], longest: int = LONGEST):
         self.langs = sorted({lang for lang, _ in texts})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        n, self.longest = len(self.langs), longest
+        n = max(1, len(self.langs))
         words: dict[str, list[int]] = {}
         for lang, text in texts:
             for w, c in Counter(_LETTERS.findall(text.lower())).items():
@@ -55,16 +54,21 @@ class Model:
                     row = grams[size].setdefault(padded[i : i + size], [0] * n)
                     for j in range(n):
                         row[j] += counts[j]
-        self.words = self._logs({w: c for w, c in words.items() if sum(c) >= LEAST}, n)
-        self.grams = [self._logs({g: c for g, c in level.items() if sum(c) >= LEAST_GRAM}, n) for level in grams]
-        self.cache: dict[str, tuple[float, ...]] = {}
-
-    @staticmethod
-    def _logs(counts: dict[str, list[int]], n: int) -> dict[str, tuple[float, ...]]:
-        totals = [sum(c[j] for c in counts.values()) + 0.5 * len(counts) + 1 for j in range(n)]
-        return {k: tuple(math.log((c[j] + 0.5) / totals[j]) for j in range(n)) for k, c in counts.items()}
-
-    def word(self, w: str) -> tuple[float, ...]:
+        # all log frequencies are rows of one matrix: a dictionary entry costs a key and a number
+        tables, logs, self.longest = [], [np.zeros((1, n))], longest
+        for counts, least in ((words, LEAST), *((level, LEAST_GRAM) for level in grams)):
+            known = {k: c for k, c in counts.items() if sum(c) >= least}
+            first = sum(map(len, logs))
+            tables.append({k: first + i for i, k in enumerate(known)})
+            values = np.array(list(known.values()), dtype=np.float64).reshape(-1, n) + 0.5
+            logs.append(np.log(values / (values.sum(axis=0) + 1)))
+        self.words, self.grams = tables[0], tables[1:]
+        self.rows = np.concatenate(logs).astype(np.float32)
+        self.cache: dict[str, int] = {}
+        self.extra = np.zeros((0, n), dtype=np.float32)
+
+    def word(self, w: str) -> int | np.ndarray:
+        """The row of a known word, or the mean of the rows of an unseen word's longest known n-grams."""
         if (found := self.words.get(w)) is not None:
             return found
         padded = f" {w} "
@@ -72,20 +76,31 @@ class Model:
             level = self.grams[size]
             rows = [r for i in range(len(padded) - size + 1) if (r := level.get(padded[i : i + size])) is not None]
             if rows:
-                return tuple(sum(x) / len(rows) for x in zip(*rows, strict=True))
-        return (0.0,) * len(self.langs)
+                return self.rows[rows[0]] if len(rows) == 1 else self.rows[rows].mean(axis=0)
+        return 0
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = Counter(_LETTERS.findall((text or "").lower()))
         if not found or not self.langs:
             return "und", 0.0
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache, word = self.cache, self.word
+        if len(self.cache) > CACHE or not len(self.extra):
+            self.cache, self.extra, self.used = {}, np.zeros((CACHE, len(self.langs)), dtype=np.float32), 0
+        cache, n, at = self.cache, len(self.rows), []
         for w in found:
-            if w not in cache:
-                cache[w] = word(w)
-        scores = np.array([cache[w] for w in found]).T @ np.fromiter(found.values(), dtype=np.float64)
+            i = cache.get(w)
+            if i is None:
+                i = self.word(w)
+                if not isinstance(i, int):
+                    if self.used == len(self.extra):
+                        self.extra = np.concatenate([self.extra, np.zeros_like(self.extra)])
+                    self.extra[self.used] = i
+                    i = n + self.used
+                    self.used += 1
+                cache[w] = i
+            at.append(i)
+        idx, count = np.array(at), np.fromiter(found.values(), dtype=np.float64)
+        seen = idx < n
+        scores = count[seen] @ self.rows[idx[seen]] + count[~seen] @ self.extra[idx[~seen] - n]
         best = int(scores.argmax())
         share = scores - scores[best]
         return self.langs[best], float(1.0 / np.exp(np.maximum(share, -700.0)).sum())
@@ -102,6 +117,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", into: str = "__lang
 
     @F.pandas_udf("lang_pred string, score double")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release_tokens()
         for batch in batches:
             yield pd.DataFrame([model.predict(t) for t in batch], columns=["lang_pred", "score"])
 

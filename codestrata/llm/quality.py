@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import bounded_sample, not_held_out, small_batches
+from codestrata.llm.common import bounded_sample, not_held_out, release_tokens, small_batches
 
 #: Labelled training documents of each class (expected number; the choice is by hash).
 SAMPLE = 2000
@@ -63,6 +63,7 @@ def statistics(text: str) -> tuple[float, ...]:
 def with_statistics(df: DataFrame, text: str = "text", into: str = "__stats") -> DataFrame:
     @F.pandas_udf(", ".join(f"{s} double" for s in STATISTICS))
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release_tokens()
         for batch in batches:
             yield pd.DataFrame([statistics(t) for t in batch.fillna("")], columns=list(STATISTICS), dtype="float64")
 

@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import cut, small_batches
+from codestrata.llm.common import cut, release_tokens, small_batches
 from codestrata.llm.graph import components
 
 #: Distinct fingerprints of a key up to which its pairs are verified one by one.
 PAIRS = 16
+#: Distinct fingerprints that a task turns into keys.
+SPREAD = 16_000
 #: Distinct fingerprints of a key that one task searches (8 bytes each).
 CROWD = 20_000
 BITS = 3
@@ -59,6 +61,7 @@ def fingerprints(df: DataFrame, text: str = "text", into: str = "fp") -> DataFra
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release_tokens()
         for batch in batches:
             yield pd.Series([simhash(t) for t in batch.fillna("")], dtype="int64")
 
@@ -101,7 +104,9 @@ def links(distinct: DataFrame, crowd: int = CROWD, pairs_up_to: int = PAIRS) ->
 
     Not every such pair is an edge, but edges join the same fingerprints as all pairs would.
     """
-    keyed = distinct.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
+    # 64 keys each: tasks of about SPREAD fingerprints keep the count of a task's keys small
+    spread = distinct.repartition(max(1, -(-distinct.count() // SPREAD)))
+    keyed = spread.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).where("n > 1"))
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS
     twos = shared.where("n = 2").select("x", "y").where(near)

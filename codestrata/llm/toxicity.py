@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import bounded_sample, not_held_out, small_batches
+from codestrata.llm.common import bounded_sample, not_held_out, release_tokens, small_batches
 
 #: Labelled training documents of each class (expected number; the choice is by hash).
 SAMPLE = 2000
@@ -218,6 +218,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", into: str = "__toxi
 
     @F.pandas_udf("score double, passages array<struct<start:int,end:int,evidence:double>>")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release_tokens()
         for batch in batches:
             yield pd.DataFrame([model.predict(t) for t in batch], columns=["score", "passages"])
 
