@@ -19,6 +19,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ from codestrata.llm.common import small_batches
 
 #: Words of a generation of the cache; a Python worker keeps two, over all its tasks.
 CACHE_WORDS = 120_000
+#: Characters of the texts whose words are held, and merged, at once.
+CHUNK = 500_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 #: The same words for texts of Latin-1 characters, by the faster standard library.
@@ -63,8 +66,9 @@ class Vocabulary:
         self.tokens = np.full(max([*ids.values(), *self.special.values()]) + 1, "", dtype=object)
         for token, i in [*ids.items(), *self.special.items()]:
             self.tokens[i] = token
-        self.young: dict = {}
-        self.old: dict = {}
+        # a word's ids are kept as packed bytes, a third of a list's size, and a text's ids are their concatenation
+        self.young: dict[str | int, bytes] = {}
+        self.old: dict[str | int, bytes] = {}
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
 
     def merge_words(self, words: list[str]) -> list[list[int]]:
@@ -143,11 +147,12 @@ class Vocabulary:
                 if (found := old.get(w)) is not None:
                     young[w] = found
                 elif isinstance(w, int):
-                    young[w] = [w]
+                    young[w] = np.int32(w).tobytes()
                 else:
                     new.append(w)
-        young.update(zip(new, self.merge_words(new), strict=True))
-        return [np.fromiter(chain.from_iterable(map(young.__getitem__, row)), dtype=np.int32) for row in rows]
+        for w, row in zip(new, self.merge_words(new), strict=True):
+            young[w] = pack(f"{len(row)}i", *row)
+        return [np.frombuffer(b"".join(map(young.__getitem__, row)), dtype=np.int32) for row in rows]
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(self.tokens[ids])
@@ -165,9 +170,16 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _encoded(vocab: Vocabulary, batch: pd.Series, chunk: int = 256) -> list[np.ndarray]:
-    texts = batch.fillna("").tolist()
-    return [ids for at in range(0, len(texts), chunk) for ids in vocab.encode(texts[at : at + chunk])]
+def _encoded(vocab: Vocabulary, batch: pd.Series, chunk: int = CHUNK) -> list[np.ndarray]:
+    """Ids of every text of a batch; texts are merged together up to ``chunk`` characters, a longer one alone."""
+    found, waiting, size = [], [], 0
+    for text in batch.fillna(""):
+        if waiting and size + len(text) > chunk:
+            found += vocab.encode(waiting)
+            waiting, size = [], 0
+        waiting.append(text)
+        size += len(text)
+    return found + vocab.encode(waiting)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
