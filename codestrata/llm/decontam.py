@@ -106,7 +106,9 @@ def _windows(df: DataFrame, text: str, wanted: np.ndarray | None = None) -> Data
                 out.append(template_windows(t or "", cache, wanted))
             yield pd.Series(out, dtype=object)
 
-    return small_batches(df).withColumn("__w", cutter(F.col(text)))
+    # nondeterministic, so that filters on the windows do not evaluate the function a second time below them,
+    # in a second Python worker of each task
+    return small_batches(df).withColumn("__w", cutter.asNondeterministic()(F.col(text)))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:
@@ -121,7 +123,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     for i in range(passes):
         part = bench.where(F.pmod(F.xxhash64("hash"), F.lit(passes)) == i)
         wanted = np.unique(np.array([r[0] for r in part.select("hash").distinct().collect()], dtype=np.int64))
-        got = _windows(source, "text", wanted).where(F.size("__w") > 0).select("doc_id", F.explode("__w").alias("w"))
+        got = _windows(source, "text", wanted).select("doc_id", F.explode("__w").alias("w"))
         got = got.select("doc_id", F.col("w.hash").alias("hash"), F.col("w.pos").alias("pos"), F.col("w.slots").alias("slots")).join(part, "hash")
         found = got if found is None else found.unionByName(got)
     aligned = found.groupBy("doc_id", "item_id", "copy", (F.col("pos") - F.col("bpos")).alias("shift")).agg(
