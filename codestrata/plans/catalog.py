@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import code as K
 from codestrata.functions import text as T
+from codestrata.operators import assemble as A
 from codestrata.operators import context as C
 from codestrata.operators import detectors as D
 from codestrata.operators import graph as G
@@ -599,3 +600,20 @@ def symbols_and_complexity(spark, d):
     content = F.concat(F.lit("export function f"), F.col("doc_id").cast("string"), F.lit("(x) {\n if (x) { return 1; }\n}\n"))
     src = doc.select(F.col("doc_id").cast("string").alias("path"), content.alias("content"), F.lit("typescript").alias("language"))
     return K.extract(src, "symbols").join(K.extract(src, "complexity"), "path").select(F.col("path").cast("long").alias("path"), "name", "complexity")
+
+
+# --- composed contexts
+
+_CUT = "SELECT heading, CAST(priority AS INT) AS priority, CASE WHEN tokens <= {b} - before THEN content ELSE substr(content, 1, CAST(({b} - before) * 4 AS BIGINT)) || chr(10) || chr(10) || '[truncated]' END AS content, CAST(least(tokens, {b} - before) AS BIGINT) AS tokens, tokens > {b} - before AS truncated FROM (SELECT *, coalesce(sum(tokens) OVER (ORDER BY priority, heading ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT heading, priority, content, ceil(length(content) / 4.0) AS tokens FROM (SELECT heading, priority, string_agg(content, chr(10) || chr(10) ORDER BY relevance DESC, ord, content) AS content FROM items GROUP BY ALL))) WHERE before < {b}"
+_TOGETHER = "SELECT b.file_path, count(*) AS co_changes FROM (SELECT *, row_number() OVER () AS rid FROM commit_files) a JOIN (SELECT *, row_number() OVER () AS rid FROM commit_files) b ON a.commit_id = b.commit_id AND a.rid <> b.rid WHERE a.file_id = 7 GROUP BY 1 ORDER BY co_changes DESC, b.file_path"
+_LINES = "SELECT 'Recent Commits' AS heading, 1 AS priority, -epoch_us(committed_at) AS ord, '`' || substr(sha, 1, 7) || '` ' || message || coalesce(' — ' || author_name, '') || ' (' || strftime(committed_at, '%Y-%m-%d') || ')' AS content, 0.7 AS relevance FROM scope UNION ALL SELECT 'Author Distribution', 4, -count(*), coalesce(author_name, 'unknown') || ': ' || count(*) || ' commits', 0.4 FROM scope GROUP BY author_name"
+
+
+@query(sql(f", scope AS (SELECT * FROM commits WHERE committed_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-31'), items AS ({_LINES}) {_CUT.format(b=900)}", "commits"))
+def change_context_range(spark, d):
+    return A.change_context(P.commits(spark, d), P.commit_files(spark, d), 900, since="1996-01-01", until="1996-03-31")
+
+
+@query(sql(f", scope AS (SELECT * FROM commits WHERE id IN (SELECT commit_id FROM commit_files WHERE file_id = 7) ORDER BY committed_at DESC, id DESC LIMIT 20), times AS (SELECT count(*) AS n FROM commit_files WHERE file_id = 7), items AS ({_LINES} UNION ALL SELECT 'Change Frequency', 2, 0, 'Changed ' || n || ' times' || CASE WHEN n > 10 THEN ' (**hotspot** — consider refactoring)' ELSE '' END, CASE WHEN n > 10 THEN 0.9 ELSE 0.5 END FROM times WHERE n > 0 UNION ALL SELECT 'Co-Change Patterns', 3, -co_changes, '**' || file_path || '** — changed together ' || co_changes || ' times', least(1.0, co_changes / 10.0) FROM ({_TOGETHER} LIMIT 8)) {_CUT.format(b=4000)}", "commits", "commit_files"))
+def change_context_file(spark, d):
+    return A.change_context(P.commits(spark, d), P.commit_files(spark, d), file_id=7)

@@ -7,6 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from codestrata.functions import text as T
+from codestrata.operators import assemble as A
 from codestrata.operators import context as C
 from codestrata.operators import detectors as D
 from codestrata.operators import graph as G
@@ -135,3 +136,32 @@ def test_templates(spark):
 def test_edit_ratio(spark):
     df = spark.createDataFrame([("abcd", "abcd"), ("", ""), ("abcd", ""), ("abcd", "abxd")], "a string, b string")
     assert [r[0] for r in df.select(I.edit_ratio(F.col("a"), F.col("b"))).collect()] == [0.0, 0.0, 1.0, 0.25]
+
+
+def test_file_context(spark):
+    frame = spark.createDataFrame
+    changed = frame([(c, 1, f, f"src/{f}", 1.0) for c in range(12) for f in (1, 2)], "commit_id long, line long, file_id long, file_path string, lines_added double")
+    args = dict(
+        summaries=frame([("what it does", 1.0), ("its module", 0.9)], "content string, relevance double"),
+        users=frame([("b", 2, None), ("a", 1, "sum")], "path string, depth int, summary string"), uses=frame([], "path string, depth int, summary string"),
+        symbols=frame([("f(x)", "function"), (None, "class")], "signature string, kind string"), findings=frame([("low", "small"), ("critical", "big")], "severity string, content string"),
+        commit_files=changed,
+    )
+    whole = {r.heading: r for r in A.file_context(1, **args).collect()}
+    assert whole["File & Module Context"].content == "what it does\n\nits module"
+    assert whole["Blast Radius (imported by)"].content == "**a** (depth 1)\nsum\n\n**b** (depth 2)"
+    assert whole["Exported Symbols"].content == "`f(x)` (function)"
+    assert whole["Findings"].content == "big\n\nsmall"
+    assert whole["Change History"].content == "Co-changes with **src/2** (12 times)\n\nChanged 12 times (**hotspot**)"
+    assert "Dependencies (imports)" not in whole and not any(r.truncated for r in whole.values())
+    few = A.file_context(1, **args, budget=3).collect()
+    assert [(r.heading, r.tokens, r.truncated) for r in few] == [("File & Module Context", 3, True)] and few[0].content == "what it does" + C.MARK
+
+
+def test_change_context_of_a_module(spark):
+    commits = spark.sql("SELECT id, concat('sha', id) AS sha, IF(id = 2, NULL, 'ann') AS author_name, TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(CAST(id AS INT)) AS committed_at, 'm' AS message FROM range(6)")
+    changed = spark.sql("SELECT id AS commit_id, 1 AS line, id AS file_id, IF(id % 2 = 0, 'src/a/x', 'src/ab/x') AS file_path, 1.0 AS lines_added FROM range(6)")
+    got = {r.heading: r.content for r in A.change_context(commits, changed, module="src/a", most=4).collect()}
+    # the newest four are 2 to 5, of which 2 and 4 touch the module
+    assert got == {"Recent Commits": "`sha4` m — ann (2024-01-05)\n\n`sha2` m (2024-01-03)", "Author Distribution": "ann: 1 commits\n\nunknown: 1 commits"}
+    assert A.change_context(commits.limit(0), changed.limit(0), file_id=1).count() == 0
