@@ -68,6 +68,33 @@ def markdown_sections(docs: DataFrame, doc: str = "doc", text: str = "text") ->
     return rows.select(doc, F.col("section").cast("long").alias("section"), F.trim(F.regexp_extract(head, r"^#{1,6}\s+(.+)$", 1)).alias("heading"), F.char_length(F.regexp_extract(head, r"^(#{1,6})\s", 1)).cast("long").alias("level"), F.regexp_replace(F.array_join(body, "\n"), r"^\s+|\s+$", "").alias("content"))
 
 
+def document_chunks(docs: DataFrame, doc: str = "doc", text: str = "text", most: int = 12_000) -> DataFrame:
+    """(doc, chunk, heading, heading_path, content): second-level headings open chunks, third-level ones only
+    once the chunk is longer than ``most`` characters (K18).
+
+    The fold runs over the blocks between headings, in one expression; null text has no chunks.
+    """
+    none = F.lit("")
+    path = lambda s: F.when((s["h2"] != "") & (s["h3"] != ""), F.concat(s["h2"], F.lit(" > "), s["h3"])).when(s["h2"] != "", s["h2"]).otherwise(F.lit("Introduction"))
+    name = lambda s: F.when(s["h3"] != "", s["h3"]).when(s["h2"] != "", s["h2"]).otherwise(F.lit("Introduction"))
+    closed = lambda s: F.concat(s["done"], F.array(F.struct(name(s).alias("heading"), path(s).alias("heading_path"), s["open"].alias("content"))))
+
+    def step(s: Column, block: Column) -> Column:
+        second, third = F.startswith(block, F.lit("## ")), F.startswith(block, F.lit("### "))
+        opens = second | (third & (F.coalesce(F.char_length(s["open"]), F.lit(0)) > most))
+        title = F.trim(F.regexp_extract(block, r"^#+ ([^\n]*)", 1))
+        return F.struct(
+            F.when(opens & s["open"].isNotNull(), closed(s)).otherwise(s["done"]).alias("done"),
+            F.when(second, title).otherwise(s["h2"]).alias("h2"),
+            F.when(second, none).when(opens, title).otherwise(s["h3"]).alias("h3"),
+            F.when(opens | s["open"].isNull(), block).otherwise(F.concat(s["open"], F.lit("\n"), block)).alias("open"),
+        )
+
+    start = F.struct(F.from_json(F.lit("[]"), "array<struct<heading:string,heading_path:string,content:string>>").alias("done"), none.alias("h2"), none.alias("h3"), F.lit(None).cast("string").alias("open"))
+    chunks = F.aggregate(F.split(F.col(text), r"\n(?=###? )"), start, step, closed)
+    return docs.select(doc, F.posexplode(chunks).alias("chunk", "c")).select(doc, F.col("chunk").cast("long").alias("chunk"), "c.heading", "c.heading_path", "c.content")
+
+
 def mentions(text: Column) -> Column:
     """Path-like words of a task text, back-ticked ones first."""
     ticked = F.regexp_extract_all(text, F.lit(r"`([^`\s]*[./][^`\s]*)`"), 1)

@@ -617,3 +617,13 @@ def change_context_range(spark, d):
 @query(sql(f", scope AS (SELECT * FROM commits WHERE id IN (SELECT commit_id FROM commit_files WHERE file_id = 7) ORDER BY committed_at DESC, id DESC LIMIT 20), times AS (SELECT count(*) AS n FROM commit_files WHERE file_id = 7), items AS ({_LINES} UNION ALL SELECT 'Change Frequency', 2, 0, 'Changed ' || n || ' times' || CASE WHEN n > 10 THEN ' (**hotspot** — consider refactoring)' ELSE '' END, CASE WHEN n > 10 THEN 0.9 ELSE 0.5 END FROM times WHERE n > 0 UNION ALL SELECT 'Co-Change Patterns', 3, -co_changes, '**' || file_path || '** — changed together ' || co_changes || ' times', least(1.0, co_changes / 10.0) FROM ({_TOGETHER} LIMIT 8)) {_CUT.format(b=4000)}", "commits", "commit_files"))
 def change_context_file(spark, d):
     return A.change_context(P.commits(spark, d), P.commit_files(spark, d), file_id=7)
+
+
+@query("""WITH d AS (SELECT doc_id AS doc, '## Doc ' || doc_id || chr(10) || replace(coalesce(text, ''), chr(10), ' ') AS body, '### Source' || chr(10) || source AS tail, 'Doc ' || doc_id AS head FROM documents)
+SELECT doc, CAST(0 AS BIGINT) AS chunk, 'Introduction' AS heading, 'Introduction' AS heading_path, 'intro' AS content FROM d
+UNION ALL SELECT doc, 1, head, head, CASE WHEN length(body) > 12000 THEN body ELSE body || chr(10) || tail END FROM d
+UNION ALL SELECT doc, 2, 'Source', head || ' > Source', tail FROM d WHERE length(body) > 12000""")
+def document_chunks(spark, d):
+    doc = P.read(spark, d, "documents")
+    md = F.concat(F.lit("intro\n## Doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\n### Source\n"), F.col("source"))
+    return T.document_chunks(doc.select(F.col("doc_id").alias("doc"), md.alias("text")))

@@ -165,3 +165,13 @@ def test_change_context_of_a_module(spark):
     # the newest four are 2 to 5, of which 2 and 4 touch the module
     assert got == {"Recent Commits": "`sha4` m — ann (2024-01-05)\n\n`sha2` m (2024-01-03)", "Author Distribution": "ann: 1 commits\n\nunknown: 1 commits"}
     assert A.change_context(commits.limit(0), changed.limit(0), file_id=1).count() == 0
+
+
+def test_document_chunks(spark):
+    text = "## A\nbody\n### small\nx\n" + "y" * 20 + "\n### big \nz\n## B"
+    rows = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "#### no\n## C\n### c")], "doc long, text string")
+    got = [tuple(r)[:1] + tuple(r)[2:] for r in T.document_chunks(rows, most=20).orderBy("doc", "chunk").collect()]
+    assert got == [
+        (1, "A", "A", "## A\nbody\n### small\nx\n" + "y" * 20), (1, "big", "A > big", "### big \nz"), (1, "B", "B", "## B"),
+        (2, "Introduction", "Introduction", ""), (4, "Introduction", "Introduction", "#### no"), (4, "C", "C", "## C\n### c"),
+    ]
