@@ -19,6 +19,8 @@ HOTSPOT = 10
 COMMITS, FREQUENCY, TOGETHER, AUTHORS = ("Recent Commits", 1), ("Change Frequency", 2), ("Co-Change Patterns", 3), ("Author Distribution", 4)
 SUMMARY, USED_BY, USES, EXPORTS, HISTORY, FINDINGS = ("File & Module Context", 1), ("Blast Radius (imported by)", 2), ("Dependencies (imports)", 3), ("Exported Symbols", 4), ("Change History", 4), ("Findings", 5)
 
+PURPOSE, SYSTEM, MODULES, LINKS, CRITICAL, HOTSPOTS = ("Purpose", 1), ("System Architecture", 1), ("Module Map", 2), ("Inter-Module Dependencies", 3), ("Critical Findings", 3), ("Change Hotspots", 5)
+
 
 def signal(df: DataFrame, section: tuple[str, int], content: Column, relevance: Column | float, order: Column | None = None) -> DataFrame:
     """One signal: ``order`` (a number, ascending) breaks ties of relevance, the content breaks its ties."""
@@ -87,3 +89,28 @@ def file_context(file_id, summaries: DataFrame, users: DataFrame, uses: DataFram
         _frequency(commit_files, file_id, HISTORY, " (**hotspot**)"),
         _together(commit_files, file_id, 5, HISTORY, "Co-changes with **", "** (", " times)"),
     ], budget)
+
+
+def architecture_context(summaries: DataFrame, links: DataFrame, findings: DataFrame, commit_files: DataFrame, budget: int = 5000) -> DataFrame:
+    """The project as a whole.
+
+    ``summaries`` (id, level, target_id, content), of which the smallest id of a kind counts; ``links`` (source,
+    target) between modules; ``findings`` (severity, content), critical and high ones only (J14).
+    """
+    purpose = F.contains(F.lower("target_id"), F.lit("purpose"))
+    kind = F.when(F.col("level") == "intent", "intent").when((F.col("level") == "system") & purpose, "purpose").when(F.col("level") == "system", "system")
+    first = summaries.select("id", "content", kind.alias("kind")).where("kind is not null").groupBy("kind").agg(F.min_by("content", "id").alias("content"))
+    # one text that serves as purpose and as intent is told once, as purpose
+    aims = first.where("kind <> 'system'").groupBy("content").agg(F.max(F.when(F.col("kind") == "purpose", 1.0).otherwise(0.9)).alias("relevance"))
+    modules = summaries.where("level = 'module'")
+    apart = links.where("source <> target").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("target")), ", ").alias("targets"))
+    no_links = apart.agg(F.count("*").alias("n")).where("n = 0")
+    return assemble([
+        signal(aims, PURPOSE, F.col("content"), F.col("relevance")),
+        signal(first.where("kind = 'system'"), SYSTEM, F.col("content"), 1.0),
+        signal(modules, MODULES, F.concat(F.lit("**"), F.regexp_replace("target_id", "^module:", ""), F.lit("**\n"), C.sentence_cut(F.col("content"), 200)), 0.7, F.col("id")),
+        signal(apart, LINKS, F.concat("source", F.lit(" → "), "targets"), 0.6),
+        signal(no_links, LINKS, F.lit("No cross-module dependencies detected."), 0.3),
+        signal(findings.where(F.col("severity").isin("critical", "high")), CRITICAL, F.col("content"), C.severity_relevance(F.col("severity"))),
+        signal(H.hotspots(commit_files, 10), HOTSPOTS, F.concat(F.lit("**"), "file_path", F.lit("** — "), F.col("changes").cast("string"), F.lit(" changes")), F.least(F.lit(1.0), F.col("changes") / 20), -F.col("changes")),
+    ], budget)

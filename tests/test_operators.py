@@ -175,3 +175,18 @@ def test_document_chunks(spark):
         (1, "A", "A", "## A\nbody\n### small\nx\n" + "y" * 20), (1, "big", "A > big", "### big \nz"), (1, "B", "B", "## B"),
         (2, "Introduction", "Introduction", ""), (4, "Introduction", "Introduction", "#### no"), (4, "C", "C", "## C\n### c"),
     ]
+
+
+def test_architecture_context(spark):
+    frame = spark.createDataFrame
+    told = frame([(1, "system", "system:purpose", "why"), (2, "system", "system:all", "how"), (3, "system", "system:late", "no"), (4, "intent", "intent", "why"), (5, "module", "module:src/a", "part a"), (6, "file", "file:x", "no")], "id long, level string, target_id string, content string")
+    links = frame([("a", "b"), ("a", "c"), ("a", "b"), ("b", "b")], "source string, target string")
+    found = frame([("high", "second"), ("critical", "first"), ("low", "no")], "severity string, content string")
+    changed = frame([(1, 1, 1, "x", 1.0), (2, 1, 1, "x", 1.0)], "commit_id long, line long, file_id long, file_path string, lines_added double")
+    got = {r.heading: r.content for r in A.architecture_context(told, links, found, changed).collect()}
+    assert got == {
+        "Purpose": "why", "System Architecture": "how", "Module Map": "**src/a**\npart a", "Inter-Module Dependencies": "a → b, c",
+        "Critical Findings": "first\n\nsecond", "Change Hotspots": "**x** — 2 changes",
+    }
+    empty = A.architecture_context(told.limit(0), links.limit(0), found.limit(0), changed.limit(0)).collect()
+    assert [(r.heading, r.content) for r in empty] == [("Inter-Module Dependencies", "No cross-module dependencies detected.")]
