@@ -9,9 +9,8 @@ and b ~ U(0, 1) from hashes of the term and the round alone, and
 the sample is the (term, t) with the smallest a, and two documents agree in it with the probability
 of their generalised Jaccard similarity, sum(min(w, v)) / sum(max(w, v)).
 
-Sampling is bin-wise: in each of ``ROUNDS`` rounds the terms are dealt over ``BINS`` bins by hash and
-every bin takes its sample, so a term makes 8 draws for 64 samples.  Bins that stay empty are marked,
-and likeness counts agreement among the bins that are not empty in both fingerprints.
+Every term draws in all ``DRAWS`` samples.  A draw is one long, ln a in fixed point above the 32 bits of
+its sample, so a sample is a plain minimum; ``STEP`` draws of a term are made in one row.
 
 Everything is DataFrame functions.  Term counts and minima are aggregated where the document's row
 lies, so the text moves once (to its neighbour in id order) and the samples not at all.
@@ -29,8 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROUNDS, BINS = 8, 8
+DRAWS, STEP = 64, 8
 _EMPTY = 0xFFFFFFFF
+#: ln a lies between -96 and 32, so with 24 bits after the point it takes 31 bits.
+_LOWEST, _UNIT = -96.0, float(1 << 24)
 
 
 def _uniform(bits: Column, shift: int, width: int) -> Column:
@@ -45,24 +46,28 @@ def fingerprint(df: DataFrame, keys: list[str], words: str) -> DataFrame:
     ``words`` is an array<string> column; ``keys`` identify a row.  If ``df`` is partitioned by a
     subset of the keys, no exchange is added.
     """
-    # words are counted by hash and length, which are smaller keys than the words
-    terms = df.select(*keys, F.explode_outer(words).alias("w")).select(*keys, F.when(F.col("w").isNotNull(), F.xxhash64("w")).alias("term"), F.char_length("w").alias("length"))
+    # words are counted by hash and length, which are smaller keys than the words; length 0 is a text without words
+    terms = df.select(*keys, F.explode_outer(words).alias("w")).select(*keys, F.xxhash64("w").alias("term"), F.coalesce(F.char_length("w"), F.lit(0)).alias("length"))
     counted = terms.groupBy(*keys, "term", "length").agg(F.count(F.lit(1)).alias("n"))
-    weighed = counted.select(*keys, "term", F.log(F.col("n") * F.col("length")).alias("lnw"))
-    drawn = weighed.select(*keys, "term", "lnw", F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("round"))
-    drawn = drawn.select("*", F.xxhash64("term", "round").alias("p")).select("*", F.xxhash64("p").alias("q"))
-    drawn = drawn.select(
-        *keys, "term", "lnw", (F.col("round") * BINS + F.pmod(F.xxhash64("q", "round"), F.lit(BINS))).cast("int").alias("at"),
-        F.log(-F.log(_uniform(F.col("p"), 0, 32) * _uniform(F.col("p"), 32, 32))).alias("lnc"), (-F.log(_uniform(F.col("q"), 0, 22) * _uniform(F.col("q"), 22, 22))).alias("r"), _uniform(F.col("q"), 44, 20).alias("b"),
-    )
-    drawn = drawn.select("*", F.floor(F.col("lnw") / F.col("r") + F.col("b")).alias("t"))
-    chosen = F.xxhash64("term", "t").bitwiseAND(F.lit(_EMPTY - 1))
-    value = F.col("lnc") - F.col("r") * (F.col("t") - F.col("b") + F.lit(1.0))
-    least = drawn.groupBy(*keys, "at").agg(F.min_by(F.when(F.col("term").isNotNull(), chosen), value).alias("s"))
-    packed = least.groupBy(*keys).agg(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("at", "s"))).alias("set"))
-    rest = F.array_except(F.sequence(F.lit(0), F.lit(ROUNDS * BINS - 1)), F.col("set.at"))
-    filled = F.array_sort(F.concat("set", F.transform(rest, lambda i: F.struct(i.alias("at"), F.lit(_EMPTY).cast("long").alias("s")))))
-    return packed.select(*keys, filled["s"].alias("sig"))
+    some = F.col("length") > 0
+    weighed = counted.select(*keys, "term", some.alias("some"), F.coalesce(F.log(F.when(some, F.col("n") * F.col("length"))), F.lit(0.0)).alias("lnw"))
+    at = range(STEP)
+    drawn = weighed.select(*keys, "term", "some", "lnw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS // STEP - 1))).alias("part"))
+    drawn = drawn.select("*", *(F.xxhash64("term", F.col("part") * STEP + i).alias(f"p{i}") for i in at)).select("*", *(F.xxhash64(f"p{i}").alias(f"q{i}") for i in at))
+    u = lambda name, shift, width: _uniform(F.col(name), shift, width)
+    drawn = drawn.select(*keys, "term", "some", "lnw", "part", *(x for i in at for x in (
+        F.log(-F.log(u(f"p{i}", 0, 32) * u(f"p{i}", 32, 32))).alias(f"c{i}"), (-F.log(u(f"q{i}", 0, 22) * u(f"q{i}", 22, 22))).alias(f"r{i}"), u(f"q{i}", 44, 20).alias(f"b{i}"))))
+    drawn = drawn.select("*", *(F.floor(F.col("lnw") / F.col(f"r{i}") + F.col(f"b{i}")).alias(f"t{i}") for i in at))
+
+    def packed(i: int) -> Column:
+        value = F.col(f"c{i}") - F.col(f"r{i}") * (F.col(f"t{i}") - F.col(f"b{i}") + F.lit(1.0))
+        chosen = F.xxhash64("term", f"t{i}").bitwiseAND(F.lit(_EMPTY - 1))
+        fixed = F.floor((value - F.lit(_LOWEST)) * F.lit(_UNIT))
+        return F.when(F.col("some"), F.shiftleft(fixed, 32).bitwiseOR(chosen)).otherwise(F.lit(_EMPTY))
+
+    least = drawn.groupBy(*keys, "part").agg(*(F.min(packed(i)).alias(f"s{i}") for i in at))
+    parts = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", F.array(*(F.col(f"s{i}").bitwiseAND(F.lit(_EMPTY)) for i in at)).alias("s")))).alias("set"))
+    return parts.select(*keys, F.flatten(F.col("set.s")).alias("sig"))
 
 
 def words_of(text: Column) -> Column:
@@ -75,10 +80,9 @@ def as_text(sig: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal samples among the bins not empty in both: an estimate of the generalised Jaccard similarity."""
-    met = F.zip_with(a, b, lambda x, y: F.when((x == _EMPTY) & (y == _EMPTY), None).when(x == y, 1).otherwise(0))
-    met = F.filter(met, lambda m: m.isNotNull())
-    return F.when(F.size(met) == 0, 1.0).otherwise(F.aggregate(met, F.lit(0), lambda s, x: s + x) / F.greatest(F.size(met), F.lit(1)))
+    """Share of equal samples: an estimate of the generalised Jaccard similarity."""
+    met = F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0))
+    return F.aggregate(met, F.lit(0), lambda s, x: s + x) / F.lit(float(DRAWS))
 
 
 def with_neighbours(df: DataFrame, doc_id: str, text: str, least: int = 1024) -> DataFrame:

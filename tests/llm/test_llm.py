@@ -63,6 +63,23 @@ def test_equal_texts_have_equal_fingerprints(spark):
     assert len(got) == 12 and len(same) == 1 and none == {"f" * 512}
 
 
+def test_fingerprints_of_a_dominant_word(spark):
+    """Weight in one word counts as weight, shared or not, as every term draws in every sample."""
+    rows, exact = [], []
+    for k in range(20):
+        shared = f"heavy{k} " * 1000
+        a, b = (shared + " ".join(f"{side}{k}x{i}" for i in range(60)) for side in "ab")
+        c, d = (f"{side}eavy{k} " * 1000 + " ".join(f"s{k}x{i}" for i in range(60)) for side in "cd")
+        rows += [(4 * k + j, t) for j, t in enumerate((a, b, c, d))]
+        exact += [jaccard(weights(a), weights(b)), jaccard(weights(c), weights(d))]
+    df = spark.createDataFrame(rows, "k long, text string").repartition(4, "k")
+    sigs = fingerprints.fingerprint(df.select("k", fingerprints.words_of(F.col("text")).alias("w")), ["k"], "w").withColumn("pair", F.floor(F.col("k") / 2))
+    both = sigs.groupBy("pair").agg(F.min_by("sig", "k").alias("x"), F.max_by("sig", "k").alias("y"))
+    got = [r[0] for r in both.orderBy("pair").select(fingerprints.likeness(F.col("x"), F.col("y"))).collect()]
+    errors = np.array(got) - np.array(exact)
+    assert abs(errors[::2].mean()) < 0.03 and abs(errors[1::2].mean()) < 0.03 and np.abs(errors).max() < 0.2
+
+
 @pytest.mark.parametrize("least", [1, 2, 1000])
 def test_neighbours_wrap_around(spark, least):
     ids = [3, 50, 7, 1000, 999, 8, 2, 1]
