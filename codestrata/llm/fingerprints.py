@@ -23,12 +23,13 @@ told apart by position, and their order among each other is by text hash.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DRAWS, STEP = 64, 8
+DRAWS, STEP, RANGES = 64, 8, 20_000
 _EMPTY = 0xFFFFFFFF
 #: ln a lies between -96 and 32, so with 24 bits after the point it takes 31 bits.
 _LOWEST, _UNIT = -96.0, float(1 << 24)
@@ -85,24 +86,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(met, F.lit(0), lambda s, x: s + x) / F.lit(float(DRAWS))
 
 
-def with_neighbours(df: DataFrame, doc_id: str, text: str, least: int = 1024) -> DataFrame:
+def _at_most(bounds: list[int], x: Column) -> Column:
+    """How many of the sorted bounds are at most ``x``: a binary search by falling powers of two."""
+    if not bounds:
+        return F.lit(0)
+    known = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one constant
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= len(bounds)) & (F.get(known, n + s - 1) <= x), n + s).otherwise(n))
+
+
+def with_neighbours(df: DataFrame, doc_id: str, text: str, least: int = 64) -> DataFrame:
     """(bucket, ghost, row, id, text, next) with the next document's text in descending id order, cyclic.
 
-    Ids are cut into equal ranges of about max(least, sqrt(rows)) rows.  Each range is one window
-    partition; a copy of the next range's first row (ghost) closes it, so nothing crosses ranges.
-    Null ids come last.  Range heads number about sqrt(rows) at most, which bounds the broadcast.
+    Ids are cut at quantiles into ranges of about max(least, sqrt(rows) / 4) rows, whatever their values are;
+    an id of many rows has ranges of its own, by text hash.  Each range is one window partition; a copy
+    of the next range's first row (ghost) closes it, so nothing crosses ranges.  Null ids come last.
+    Ranges number ``RANGES`` at most, which bounds the quantiles and the broadcast of range heads.
     """
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
-    low, high = low or 0, high or 0
-    size = max(least, math.isqrt(n or 1))
-    width = max(1, math.ceil((high - low + 1) / max(1, n // size)))
-    docs = docs.withColumn("bucket", F.coalesce(F.floor((F.col("id") - F.lit(low)) / F.lit(float(width))), F.lit(-1)).cast("long"))
-    order = [F.col("id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    heads = docs.groupBy("bucket").agg(F.max("id").alias("head"))
-    down = W.partitionBy(F.lit(0)).orderBy(F.col("bucket").desc())
-    heads = heads.select("bucket", "head", F.coalesce(F.lag("bucket").over(down), F.min("bucket").over(W.partitionBy(F.lit(0)))).alias("before"))
-    ghosts = docs.join(F.broadcast(heads), (docs["bucket"] == heads["bucket"]) & docs["id"].eqNullSafe(heads["head"])).select("id", "text", F.col("before").alias("bucket"))
+    n = docs.select("id").count()
+    ranges = min(RANGES, max(1, n // max(least, math.isqrt(n or 1) // 4)))
+    shares = ",".join(repr(i / ranges) for i in range(1, ranges))
+    cuts = docs.agg(F.expr(f"percentile_approx(id, array({shares}), {10 * ranges})")).first()[0] or [] if ranges > 1 else []
+    times = Counter(cuts)
+    bounds = sorted(times.keys() | {v + 1 for v, k in times.items() if k > 1 and v < (1 << 63) - 1})
+    hash_ = F.xxhash64("text")
+    place = F.coalesce(_at_most(bounds, F.col("id")), F.lit(-1)).cast("long")
+    many = {v: k for v, k in times.items() if k > 1}
+    sub = F.lit(0).cast("long")
+    if many:  # the ranges of an id of many rows, in the order of the hashes
+        share = F.element_at(F.map_from_arrays(*(F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in (many.keys(), many.values()))), F.col("id"))
+        sub = F.coalesce(F.floor((F.shiftright(hash_, 32) + F.lit(1 << 31)) * share / F.lit(float(1 << 32))), F.lit(0)).cast("long")
+    # falling ids are rising buckets
+    docs = docs.withColumn("bucket", (F.lit(len(bounds)) - place) * F.lit(1 << 24) + sub).withColumn("h", hash_)
+    order = [F.col("id").desc_nulls_last(), F.col("h"), F.col("text")]
+    heads = docs.groupBy("bucket").agg(F.min(F.struct((-F.col("id")).isNull().alias("none"), (-F.col("id")).alias("minus"), "h")).alias("head"))
+    rising = W.partitionBy(F.lit(0)).orderBy("bucket")
+    heads = heads.select(F.col("bucket").alias("b"), (-F.col("head.minus")).alias("i"), F.col("head.h").alias("hh"), F.coalesce(F.lag("bucket").over(rising), F.max("bucket").over(W.partitionBy(F.lit(0)))).alias("before"))
+    ghosts = docs.join(F.broadcast(heads), (docs["bucket"] == heads["b"]) & docs["id"].eqNullSafe(heads["i"]) & (docs["h"] == heads["hh"])).select("id", "text", "h", F.col("before").alias("bucket"))
     both = docs.withColumn("ghost", F.lit(0)).unionByName(ghosts.withColumn("ghost", F.lit(1)))
     in_range = W.partitionBy("bucket").orderBy("ghost", *order)
     return both.select("bucket", "ghost", F.row_number().over(in_range).alias("row"), "id", "text", F.lead("text").over(in_range).alias("next"))

@@ -34,8 +34,9 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = docs.select("bucket", "row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("v")).where("v.text is not null")
     item = (F.col("row").cast("long") * 2 + F.col("v.side")).alias("item")
     sigs = fingerprints.fingerprint(both.select("bucket", item, fingerprints.words_of(F.col("v.text")).alias("words")), ["bucket", "item"], "words")
-    side = F.pmod("item", F.lit(2))
-    pair = sigs.groupBy("bucket", F.floor(F.col("item") / 2).alias("row")).agg(F.max(F.when(side == 0, F.col("sig"))).alias("sig"), F.max(F.when(side == 1, F.col("sig"))).alias("edited_sig"))
+    both_sides = F.array_sort(F.collect_list(F.struct(F.pmod("item", F.lit(2)).alias("side"), "sig")))
+    pair = sigs.groupBy("bucket", F.floor(F.col("item") / 2).alias("row")).agg(both_sides.alias("two"))
+    pair = pair.select("bucket", "row", F.get("two.sig", F.lit(0)).alias("sig"), F.get("two.sig", F.lit(1)).alias("edited_sig"))
     pair = pair.withColumn("next_sig", F.lead("sig").over(W.partitionBy("bucket").orderBy("row")))
     pair = pair.where("edited_sig is not null").select(
         "bucket", "row", fingerprints.as_text(F.col("sig")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sig")).alias("edited_fingerprint"),
