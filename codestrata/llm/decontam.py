@@ -1,24 +1,33 @@
 """Benchmark decontamination.
 
-Method: template canonicalisation.  Numbers, names (capitalised words inside a sentence) and units
-(unit words after a number) become typed placeholders; windows of five canonical tokens are hashed;
-windows of documents and benchmark items meet in a hash join.  Along each alignment of a document
-with an item the placeholders must be consistent: one value of the item always meets one value of
-the document and the reverse.  Consistent alignments mark the item's tokens they cover, and a
-document that covers at least ``SHARE`` of an item contains it, re-parameterised or not.
-
-Windows need ``LITERALS`` ordinary words, so text of placeholders alone matches nothing.
-Benchmark windows are sent to the tasks in blocks of at most ``BLOCK`` (a fixed bound); a larger
-benchmark takes several passes over the documents, and nothing is dropped.
-
-Defined results: null texts are empty; items of fewer than five tokens have no window and match
-nothing; repeated items each report; an empty table on either side gives no hits.
+Method: template canonicalisation.  Numbers, names (capitalised words) and units (unit words after a
+number) become typed placeholders; windows of five canonical tokens are hashed; windows of documents
+and benchmark items meet in a hash join.  A capitalised word that begins a sentence may be a name or
+not, so its windows are hashed both ways.  Matched windows on one alignment must fill the item's slots
+consistently: one value of the item always meets one value of the document and the reverse.
+Alignments at one place of the document (words may be inserted or left out between them) are united
+only while their values agree.  A document in which one place covers at least ``SHARE`` of an item's
+tokens contains the item, re-parameterised or not.
+
+A template of fewer than ``LITERALS`` ordinary words says little, so such windows (arithmetic, tables of
+numbers) are matched by their tokens as written, without regard to case.  An item shorter than a
+window is matched whole in the same way; one of one or two tokens, which prose holds by chance, only
+by a document that consists of nothing else.
+
+The distinct window hashes of the benchmark are sent to the tasks in blocks of at most ``BLOCK`` (a
+fixed bound of 8 MB), so that of a document's windows only those that some item has leave its task;
+a larger benchmark takes several passes over the documents, and nothing is dropped.
+
+Defined results: null and empty texts, and items without a token, match nothing; repeated items each
+report; rows of one document id are judged one by one, and the id is reported if any of them
+contains an item; an empty table on either side gives no hits; a null document id is an id.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +39,8 @@ from pyspark.sql import functions as F
 from codestrata.llm.common import cut, release_tokens, small_batches
 
 WIDTH, LITERALS, SHARE, BLOCK = 5, 3, 0.6, 1_000_000
+#: Shorter items are matched by whole documents only.
+PHRASE = 3
 CACHE = 200_000
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?:;\n]")
 #: Unit words and symbols that follow a number.
@@ -39,108 +50,204 @@ UNITS = frozenset(
     "week weeks month months year years dollar dollars cent cents euro euros pound pounds percent degree degrees mph kmh".split()
 )
 _P = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WIDTH)], dtype=np.uint64)
-_MARK = {"#": xxhash.xxh64_intdigest("\0number"), "@": xxhash.xxh64_intdigest("\0name"), "%": xxhash.xxh64_intdigest("\0unit")}
+_NUMBER, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(s)) for s in ("\0number", "\0name", "\0unit"))
+#: Windows as written, and items of 1, 2, ... tokens, are hashes of their own kind.
+_WRITTEN = [np.uint64(xxhash.xxh64_intdigest(f"\0written{n}")) for n in range(WIDTH + 1)]
+_PLAIN, _TITLE, _DIGITS, _BREAK = range(4)
+
+
+class Tokens:
+    """Kinds and hashes of the token strings met so far, as arrays that a text's tokens index."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.kind, self.unit, self.hash = np.zeros(1024, np.uint8), np.zeros(1024, bool), np.zeros(1024, np.uint64)
+
+    def add(self, tok: str) -> int:
+        code = self.codes[tok] = len(self.codes)
+        if code == len(self.kind):
+            self.kind, self.unit, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.unit, self.hash))
+        first, low = tok[0], tok.lower()
+        self.kind[code] = _BREAK if first in ".!?:;\n" else _DIGITS if first.isdigit() else _TITLE if first.isupper() and tok[1:].islower() else _PLAIN
+        self.unit[code] = low in UNITS
+        self.hash[code] = xxhash.xxh64_intdigest(low)
+        return code
+
+    def read(self, text: str) -> tuple[list[str], np.ndarray]:
+        if len(self.codes) > CACHE:
+            self.clear()
+        toks = _TOKEN.findall(text)
+        codes = self.codes
+        for tok in set(toks):
+            if tok not in codes:
+                self.add(tok)
+        return toks, np.fromiter(map(codes.__getitem__, toks), dtype=np.int64, count=len(toks))
+
+
+def _windows_of(h: np.ndarray, width: int) -> np.ndarray:
+    n = len(h) - width + 1
+    with np.errstate(over="ignore"):
+        return sum((h[i : i + n] * _P[i] for i in range(1, width)), h[:n] * _P[0])
+
+
+def template_windows(text: str, tokens: Tokens, wanted: np.ndarray | None = None, shorter: frozenset[int] | None = None) -> tuple[int, list[tuple[int, int, list[tuple[int, str]]]]]:
+    """The number of tokens, and (hash, position, slots as (offset, value)) of the windows.
+
+    ``wanted`` (sorted hashes) and ``shorter`` (token counts of short items) select what a document
+    looks for; without them the text is an item, all its windows are given, or itself if it is short.
+    """
+    toks, codes = tokens.read(text)
+    kind = tokens.kind[codes]
+    before = np.concatenate([[_BREAK], kind[:-1]]) if len(kind) else kind
+    keep = kind != _BREAK
+    kind, before, codes = kind[keep], before[keep], codes[keep]
+    n = len(codes)
+    item = wanted is None
+    if not n or not item and not len(wanted):
+        return n, []
+    written = tokens.hash[codes]
+    digits, title, unit = kind == _DIGITS, kind == _TITLE, tokens.unit[codes] & (before == _DIGITS)
+    inside, opening = title & (before != _BREAK), title & (before == _BREAK)
+    as_word = np.where(digits, _NUMBER, np.where(inside, _NAME, np.where(unit, _UNIT, written)))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []  # hashes, positions, tokens that are slots
+
+    def take(hashes: np.ndarray, chosen: np.ndarray | None, slots: np.ndarray | None) -> None:
+        signed = hashes.view(np.int64)
+        if wanted is not None:
+            hit = wanted[np.minimum(np.searchsorted(wanted, signed), len(wanted) - 1)] == signed
+            chosen = hit if chosen is None else hit & chosen
+        at = np.arange(len(signed)) if chosen is None else np.flatnonzero(chosen)
+        if len(at):
+            found.append((signed[at], at, slots))
+
+    if n >= WIDTH:
+        def enough(slots: np.ndarray) -> np.ndarray:
+            return np.convolve(~slots, np.ones(WIDTH, dtype=np.int64), "valid") >= LITERALS
+
+        few = digits | inside | unit
+        many = enough(few)
+        take(_windows_of(as_word, WIDTH), many, few)
+        if opening.any():
+            either = np.convolve(opening, np.ones(WIDTH, dtype=np.int64), "valid") > 0
+            take(_windows_of(np.where(opening, _NAME, as_word), WIDTH), either & enough(few | opening), few | opening)
+        if not many.all():
+            take(_windows_of(written, WIDTH) ^ _WRITTEN[WIDTH], ~many, digits)
+    for width in range(1, min(WIDTH - 1, n) + 1):
+        if (n == width) if item or width < PHRASE else width in (shorter or ()):
+            take(_windows_of(written, width) ^ _WRITTEN[width], None, digits)
+    if not found:
+        return n, []
+    kept = [t for t, k in zip(toks, keep.tolist(), strict=True) if k]
+    out = []
+    for hashes, places, slots in found:
+        for h, i in zip(hashes.tolist(), places.tolist(), strict=True):
+            out.append((h, i, [(j, kept[i + j].lower()) for j in np.flatnonzero(slots[i : i + WIDTH]).tolist()]))
+    return n, out
+
+
+def covered_tokens(matches: list[tuple[int, int, list[tuple[str, str]]]], n_tokens: int) -> int:
+    """Most item tokens that one place of a document covers consistently.
+
+    ``matches`` are (position in the document, position in the item, (item value, document value) of each
+    slot).  An alignment is one difference of positions, judged as a whole.  A place is a stretch of two
+    item lengths of such differences; places overlap by half, so alignments up to an item's length
+    apart, by words put in or left out, meet in one of them.
+    """
+    width = min(WIDTH, n_tokens)
+    places: dict[int, list] = defaultdict(list)
+    for m in matches:
+        at = (m[0] - m[1]) // n_tokens
+        for p in (at - 1, at):
+            places[p].append(m)
+    best = 0
+    for found in places.values():
+        alignments: dict[int, list] = defaultdict(list)
+        for pos, bpos, slots in found:
+            alignments[pos - bpos].append((bpos, slots))
+        if len(found) * width <= best:
+            continue
+        there: dict[str, str] = {}
+        back: dict[str, str] = {}
+        covered: set[int] = set()
+        for group in sorted(alignments.values(), key=len, reverse=True):
+            pairs = {p for _, slots in group for p in slots}
+            one, other = dict(pairs), {d: b for b, d in pairs}
+            if len(one) < len(pairs) or len(other) < len(pairs):
+                continue
+            if any(there.get(b, d) != d or back.get(d, b) != b for b, d in pairs):
+                continue
+            there |= one
+            back |= other
+            covered.update(t for bpos, _ in group for t in range(bpos, bpos + width))
+        best = max(best, len(covered))
+        if best >= n_tokens:
+            break
+    return min(best, n_tokens)
+
+
+_FOUND = "array<struct<hash:long,pos:int,slots:array<struct<at:int,value:string>>>>"
+
+
+def _item_windows(df: DataFrame, text: str) -> DataFrame:
+    @F.pandas_udf(f"n int, w {_FOUND}")
+    def cutter(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens()
+        for batch in batches:
+            yield pd.DataFrame([template_windows(t or "", tokens) for t in batch], columns=["n", "w"])
+
+    return small_batches(df).withColumn("__w", cutter.asNondeterministic()(F.col(text)))
 
 
-def canonical(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hashes of the canonical tokens, flags of the literal ones, and the tokens as written."""
-    hashes, literal, kept = [], [], []
-    start, number = True, False
-    for tok in _TOKEN.findall(text):
-        first = tok[0]
-        if first in ".!?:;\n":
-            start = True
-            continue
-        if first.isdigit():
-            hashes.append(_MARK["#"])
-            literal.append(False)
-            number = True
-        elif not start and first.isupper() and tok[1:].islower():
-            hashes.append(_MARK["@"])
-            literal.append(False)
-            number = False
-        else:
-            low = tok.lower()
-            if number and low in UNITS:
-                hashes.append(_MARK["%"])
-                literal.append(False)
-            else:
-                h = cache.get(low)
-                if h is None:
-                    h = cache[low] = xxhash.xxh64_intdigest(low)
-                hashes.append(h)
-                literal.append(True)
-            number = False
-        kept.append(tok)
-        start = False
-    return np.array(hashes, dtype=np.uint64), np.array(literal, dtype=bool), kept
-
-
-def template_windows(text: str, cache: dict[str, int], wanted: np.ndarray | None = None) -> list[tuple[int, int, list[str]]]:
-    """(hash, position, placeholder values with their offset) of the windows, or of the ``wanted`` ones (sorted hashes)."""
-    h, literal, kept = canonical(text, cache)
-    n = len(h) - WIDTH + 1
-    if n <= 0:
-        return []
-    with np.errstate(over="ignore"):
-        window = sum((h[i : i + n] * _P[i] for i in range(1, WIDTH)), h[:n] * _P[0])
-    enough = np.convolve(literal, np.ones(WIDTH, dtype=np.int64), "valid") >= LITERALS
-    signed = window.view(np.int64)
-    if wanted is not None:
-        if not len(wanted):
-            return []
-        enough &= wanted[np.minimum(np.searchsorted(wanted, signed), len(wanted) - 1)] == signed
-    return [(int(signed[i]), int(i), [f"{j}:{kept[i + j].lower()}" for j in range(WIDTH) if not literal[i + j]]) for i in np.flatnonzero(enough)]
-
-
-def _windows(df: DataFrame, text: str, wanted: np.ndarray | None = None) -> DataFrame:
-    @F.pandas_udf("array<struct<hash:long,pos:int,slots:array<string>>>")
+def _wanted_windows(df: DataFrame, text: str, wanted: np.ndarray, shorter: frozenset[int]) -> DataFrame:
+    @F.pandas_udf(_FOUND)
     def cutter(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[str, int] = {}
+        tokens = Tokens()
         release_tokens()
         for batch in batches:
-            out = []
-            for t in batch:
-                if len(cache) > CACHE:
-                    cache.clear()
-                out.append(template_windows(t or "", cache, wanted))
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([template_windows(t or "", tokens, wanted, shorter)[1] for t in batch], dtype=object)
 
     # nondeterministic, so that filters on the windows do not evaluate the function a second time below them,
     # in a second Python worker of each task
     return small_batches(df).withColumn("__w", cutter.asNondeterministic()(F.col(text)))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, covered, item_tokens, share) for each document that contains an item."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.monotonically_increasing_id().alias("copy"), F.col(item_text).alias("text"))
-    bench = _windows(items, "text").select("item_id", "copy", F.explode("__w").alias("w")).select("item_id", "copy", F.col("w.hash").alias("hash"), F.col("w.pos").alias("bpos"), F.col("w.slots").alias("bslots"))
-    bench = cut(bench)
-    lengths = bench.groupBy("copy").agg((F.max("bpos") + WIDTH).alias("item_tokens"))
+def _found(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, share: float, block: int) -> DataFrame:
+    """(doc_id, th, item_id, covered, item_tokens, share) of each row that contains an item; th is its text's hash."""
+    items = cut(benchmark.select(F.col(item_id).alias("item_id"), F.monotonically_increasing_id().alias("copy"), F.col(item_text).alias("text")))
+    read = cut(_item_windows(items, "text").select("item_id", "copy", "__w.n", "__w.w"))
+    bench = read.select("item_id", "copy", "n", F.explode("w").alias("w")).select("item_id", "copy", "n", F.col("w.hash").alias("hash"), F.col("w.pos").alias("bpos"), F.col("w.slots").alias("bslots"))
+    shorter = frozenset(r[0] for r in read.where(F.col("n") < WIDTH).select("n").distinct().collect())
     passes = max(1, math.ceil(bench.count() / block))
-    found = None
+    met = None
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     for i in range(passes):
         part = bench.where(F.pmod(F.xxhash64("hash"), F.lit(passes)) == i)
         wanted = np.unique(np.array([r[0] for r in part.select("hash").distinct().collect()], dtype=np.int64))
-        got = _windows(source, "text", wanted).select("doc_id", F.explode("__w").alias("w"))
-        got = got.select("doc_id", F.col("w.hash").alias("hash"), F.col("w.pos").alias("pos"), F.col("w.slots").alias("slots")).join(part, "hash")
-        found = got if found is None else found.unionByName(got)
-    aligned = found.groupBy("doc_id", "item_id", "copy", (F.col("pos") - F.col("bpos")).alias("shift")).agg(
-        F.collect_set("bpos").alias("bpos"),
-        F.array_distinct(F.flatten(F.collect_set(F.zip_with("bslots", "slots", lambda b, d: F.struct(F.substring_index(b, ":", 1).alias("kind"), F.substring_index(b, ":", -1).alias("b"), F.substring_index(d, ":", -1).alias("d")))))).alias("met"),
-    )
-    pairs = F.array_distinct(F.transform("met", lambda m: F.struct(m["b"].alias("b"), m["d"].alias("d"))))
-    one_way = F.size(F.array_distinct(F.transform(pairs, lambda m: m["b"])))
-    other_way = F.size(F.array_distinct(F.transform(pairs, lambda m: m["d"])))
-    aligned = aligned.where((one_way == F.size(pairs)) & (other_way == F.size(pairs)))
-    tokens = F.array_distinct(F.flatten(F.transform("bpos", lambda p: F.sequence(p, p + (WIDTH - 1)))))
-    covered = aligned.select("doc_id", "item_id", "copy", F.explode(tokens).alias("token")).groupBy("doc_id", "item_id", "copy").agg(F.count_distinct("token").alias("covered"))
-    scored = covered.join(lengths, "copy").withColumn("share", F.col("covered") / F.col("item_tokens")).where(F.col("share") >= share)
+        got = _wanted_windows(source, "text", wanted, shorter).select("doc_id", F.xxhash64("text").alias("th"), F.explode("__w").alias("w"))
+        got = got.select("doc_id", "th", F.col("w.hash").alias("hash"), F.col("w.pos").alias("pos"), F.col("w.slots").alias("slots")).join(part, "hash")
+        met = got if met is None else met.unionByName(got)
+    # a hash holds the kinds of its tokens, so both sides have their slots at the same offsets
+    values = F.zip_with("bslots", "slots", lambda b, d: F.struct(b["value"].alias("b"), d["value"].alias("d")))
+    grouped = met.groupBy("doc_id", "th", "item_id", "copy", "n").agg(F.collect_set(F.struct("pos", "bpos", values.alias("slots"))).alias("m"))
+
+    @F.pandas_udf("int")
+    def covered(matches: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([covered_tokens([(x["pos"], x["bpos"], [(s["b"], s["d"]) for s in x["slots"]]) for x in m], k) for m, k in zip(matches, n, strict=True)], dtype="int32")
+
+    scored = grouped.select("doc_id", "th", "item_id", F.col("n").alias("item_tokens"), covered.asNondeterministic()("m", "n").alias("covered"))
+    return scored.withColumn("share", F.col("covered") / F.col("item_tokens")).where(F.col("share") >= share)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:
+    """(doc_id, item_id, covered, item_tokens, share) for each document that contains an item."""
+    scored = _found(docs, benchmark, doc_id, text, item_id, item_text, share, block)
     return scored.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.max("share").alias("share"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item; columns stay as they are."""
-    bad = hits(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(doc_id) == F.col("__bad"), "left_anti")
+    bad = _found(docs, benchmark, doc_id, text, item_id, item_text, share, block).select(F.col("doc_id").alias("__bad"), F.col("th").alias("__th")).distinct()
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__bad")) & (F.xxhash64(text) == F.col("__th")), "left_anti")
