@@ -9,16 +9,21 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch: texts may be long, so a Python worker holds few of them at once.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where the cluster names none, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a local one only on a local master that names none, as in tests."""
     sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codestrata-checkpoints-"))
     return sc.getCheckpointDir()
 
@@ -30,10 +35,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bounds what a Python worker holds at once: texts may be long, so batches have few rows and bytes."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return df
+    """Bounds the Arrow batches of the session; a bound that the caller has set stays.
+
+    A table of fewer files than there are cores is dealt out, so that Python does not run in one task
+    (a file of one row group is never split); any larger table is not shuffled.
+    """
+    spark = df.sparkSession
+    settings = spark._jsparkSession.sessionState().conf()
+    for key, value in ARROW.items():
+        if not settings.contains(key):
+            spark.conf.set(key, value)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df._jdf.inputFiles()) < cores else df
 
 
 def release_tokens() -> None:
@@ -48,16 +61,19 @@ def unit_hash(*cols: Column, salt: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(1 << 24)) / F.lit(float(1 << 24))
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int, stratum: str | None = None) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, bound: int, stratum: str | None = None, total: int | None = None) -> DataFrame:
     """About ``bound`` rows (of each stratum), or all of them where there are fewer, chosen by a hash of ``key``.
 
-    The row count is read first (column-pruned), so the expected size does not grow with the input.
+    The row count is read first (column-pruned), so the expected size does not grow with the input;
+    ``total`` bounds the sum over strata, whose number may grow.
     """
     u = unit_hash(F.col(key), salt=17)
     if stratum is None:
         n = df.select(key).count()
         return df if n <= bound else df.where(u < bound / n)
     counts = {r[0]: r[1] for r in df.groupBy(stratum).count().collect() if r[0] is not None}
+    if total is not None:
+        bound = min(bound, max(1, total // max(1, len(counts))))
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(stratum) == F.lit(value), F.lit(min(1.0, bound / n))).otherwise(share)

@@ -14,13 +14,22 @@ apart, and every pair with one difference here and two there, or none and two, h
 Pairs with equal segments and three differences in the other one share a one-wildcard variant plus
 a centre of the rest.  So the work on a crowded key is linear in its members and no link is lost.
 
-Defined results: null text counts as empty and has fingerprint zero; a document of one or two words
-has one shingle; a row with null id keeps its fingerprint and forms its own component (null).
+A scheme says what is hashed.  :data:`NARROW` is one 64-bit fingerprint of three-word shingles, linked at
+three bits.  :data:`WIDE` links texts whose five-word shingles are similar (Jaccard) by 0.8 or more: a
+fingerprint of 512 bits is compared, on which that similarity is 77 differing bits in the mean, and
+candidates come from a second one of 256 bits of two-word shingles, of which an edited word touches
+fewer.  It is cut into eight segments; a wildcard covers four neighbouring bits, so that a segment with
+one differing bit, or with several in one wildcard, agrees, and there are 64 keys again.
+
+Defined results: null text counts as empty and has fingerprint zero; a document of fewer words than a
+shingle has one shingle; a row with null id keeps its fingerprint and forms its own component (null).
+Rows may share an id: classes are formed by fingerprints and kept rows are told apart by id and text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -50,8 +59,8 @@ def simhash(text: str, width: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(s, 42) for s in shingles), dtype="<u8")
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 8192):
-        ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # a byte can count 255 rows
+        ones += np.unpackbits(hashes[at : at + 255].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.uint8)
     bits = (ones * 2 > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
@@ -137,24 +146,159 @@ def _stars(members: DataFrame, keys: list[str]) -> DataFrame:
     return members.join(low, keys).where("fp != y").select(F.col("fp").alias("x"), "y").distinct()
 
 
+@dataclass(frozen=True)
+class Wide:
+    """Fingerprints of ``lanes`` x 64 bits over ``words``-word shingles, found by an index over ``index_words``."""
+
+    words: int = 5
+    lanes: int = 8
+    bits: int = 85
+    index_words: int = 2
+    index_lanes: int = 4
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"s{i}" for i in range(self.index_lanes + self.lanes)]
+
+
+NARROW, WIDE = None, Wide()
+_CACHE = 200_000
+_ODD = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(1, 65)], dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with every bit depending on all of the input's."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """Bits that over half of the hashes have, for each of the lanes derived from them."""
+    ones = np.zeros(64 * lanes, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # a byte can count 255 rows
+        rows = _mixed(hashes[at : at + 255, None] ^ _ODD[None, :lanes])
+        ones += np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits((ones * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def wide_simhash(text: str, scheme: Wide, cache: dict[bytes, int]) -> np.ndarray:
+    """The lanes of the index, then those that are compared; each shingle of a text counts once."""
+    words = text.encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(scheme.index_lanes + scheme.lanes, dtype=np.int64)
+    for w in words:
+        if w not in cache:
+            cache[w] = xxhash.xxh64_intdigest(w, 42)
+    h = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+    found = []
+    with np.errstate(over="ignore"):
+        for width, lanes in ((scheme.index_words, scheme.index_lanes), (scheme.words, scheme.lanes)):
+            n, width = max(1, len(h) - width + 1), min(width, len(h))
+            shingles = np.unique(_mixed(sum(h[i : i + n] * _ODD[i] for i in range(width))))
+            found.append(_majority(shingles, lanes))
+    return np.concatenate(found)
+
+
+def wide_fingerprints(df: DataFrame, scheme: Wide = WIDE, text: str = "text", into: str = "sig") -> DataFrame:
+    """Adds the struct of lanes of each whole text."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in scheme.columns))
+    def lanes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release_tokens()
+        cache: dict[bytes, int] = {}
+        for batch in batches:
+            rows = []
+            for t in batch.fillna(""):
+                if len(cache) > _CACHE:
+                    cache.clear()
+                rows.append(wide_simhash(t, scheme, cache))
+            yield pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, len(scheme.columns)), columns=scheme.columns)
+
+    return small_batches(df).withColumn(into, lanes(F.col(text)))
+
+
+def wide_spanning_links(ids: np.ndarray, lanes: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Edges between ids that connect what pairs at most ``bits`` apart connect."""
+    edges: list[tuple[int, int]] = []
+    lanes = lanes.view(np.uint64)  # of signed numbers the bits of the absolute value would be counted
+    rest = np.arange(len(ids))
+    while len(rest):
+        stack, rest = [rest[0]], rest[1:]
+        while stack and len(rest):
+            x = stack.pop()
+            near = np.bitwise_count(lanes[rest] ^ lanes[x]).sum(axis=1, dtype=np.int64) <= bits
+            if near.any():
+                edges += [(int(ids[y]), int(ids[x])) for y in rest[near]]
+                stack += rest[near].tolist()
+                rest = rest[~near]
+    return edges
+
+
+def wide_links(distinct: DataFrame, scheme: Wide = WIDE, crowd: int = CROWD, pairs_up_to: int = PAIRS) -> DataFrame:
+    """Edges (x, y) between rows (fp, lanes) of ``distinct`` whose compared lanes differ in at most ``scheme.bits``.
+
+    Candidates share a key of the index.  Keys of up to ``crowd`` members are verified in pairs or
+    searched as one group; more members are dealt into blocks of half that size, and every two blocks
+    of a key are searched together, so a task's memory is bounded and no candidate is left out.
+    """
+    compared = scheme.columns[scheme.index_lanes :]
+    spread = distinct.repartition(max(1, -(-distinct.count() // SPREAD)))
+    segment = lambda s: F.shiftrightunsigned(F.col(f"s{s // 2}"), 32 * (s % 2)).bitwiseAND(F.lit(_LOW))
+    keys = F.array(*(F.lit((s * 8 + w) << 32).bitwiseOR(segment(s).bitwiseAND(F.lit(_LOW ^ (15 << 4 * w)))) for s in range(2 * scheme.index_lanes) for w in range(8)))
+    keyed = spread.select("fp", F.explode(keys).alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).where("n > 1"))
+    more = cut(keyed.join(shared.where("n > 2").select("key", "n"), "key"))
+    few = more.where(F.col("n") <= pairs_up_to).select("key", "fp")
+    pairs = few.select("key", F.col("fp").alias("x")).join(few.select("key", F.col("fp").alias("y")), "key").where("x < y").select("x", "y")
+    pairs = shared.where("n = 2").select("x", "y").unionByName(pairs).distinct()
+    side = lambda name: distinct.select(F.col("fp").alias(name), F.struct(*compared).alias(f"l{name}"))
+    apart = sum((F.bit_count(F.col(f"lx.{c}").bitwiseXOR(F.col(f"ly.{c}"))) for c in compared[1:]), F.bit_count(F.col(f"lx.{compared[0]}").bitwiseXOR(F.col(f"ly.{compared[0]}"))))
+    verified = pairs.join(side("x"), "x").join(side("y"), "y").where(apart <= scheme.bits).select("x", "y")
+    large = more.where(F.col("n") > pairs_up_to).join(distinct.select("fp", *compared), "fp")
+    blocks = F.when(F.col("n") > crowd, F.ceil(F.col("n") / F.lit(max(1, crowd // 2)))).otherwise(1).cast("int")
+    large = large.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    large = large.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def search(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(wide_spanning_links(g["fp"].to_numpy(), np.ascontiguousarray(g[compared].to_numpy(np.int64)), scheme.bits), columns=["x", "y"], dtype="int64")
+
+    searched = large.groupBy("key", "i", "j").applyInPandas(search, "x long, y long")
+    return verified.unionByName(searched).distinct()
+
+
+def _classes(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, label): the label is the smallest fingerprint that edges reach."""
+    found = components(edges)
+    return distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"))
+
+
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **tiers: int) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable over links."""
     fps = cut(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    edges = links(distinct.where("node is not null").select("fp"), **tiers)
-    name = distinct.select("fp", "node")
-    edges = edges.join(name.select(F.col("fp").alias("x"), F.col("node").alias("a")), "x").join(name.select(F.col("fp").alias("y"), F.col("node").alias("b")), "y").select("a", "b")
-    found = components(edges)
-    classes = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    known = distinct.where("node is not null")
+    labels = _classes(known, links(known.select("fp"), **tiers))
+    smallest = known.join(labels, "fp").groupBy("label").agg(F.min("node").alias("component_id"))
+    classes = labels.join(smallest, "label").select("fp", "component_id")
+    return fps.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that represent their group: the smallest id of each component, one row of it.
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scheme: Wide = WIDE, **tiers: int) -> DataFrame:
+    """The rows of ``df`` that represent their class of near copies: one row, of the smallest id (then text hash).
 
-    Every row with a null id is kept.  Columns stay as they are.
+    Rows of one id with unrelated texts are unrelated rows and each is judged by its text.  Every row
+    with a null id is kept.  Columns stay as they are.
     """
-    rest = groups(df, doc_id, text).where("doc_id != component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    kept = df.join(rest, F.col(doc_id) == F.col("__drop"), "left_anti")
-    named = kept.where(F.col(doc_id).isNotNull())
-    return named.dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+    th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = wide_fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), scheme)
+    rows = rows.where("doc_id is not null").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "sig.*")
+    rows = cut(rows.withColumn("fp", F.xxhash64(*scheme.columns)))
+    distinct = cut(rows.groupBy("fp").agg(*(F.max(c).alias(c) for c in scheme.columns)))
+    labels = _classes(distinct.select("fp"), wide_links(distinct, scheme, **tiers))
+    first = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("first")).join(labels, "fp").groupBy("label").agg(F.min("first").alias("first"))
+    first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th"))
+    named = df.where(F.col(doc_id).isNotNull())
+    kept = named.withColumn("__own", th).join(first, (F.col(doc_id) == F.col("__id")) & (F.col("__own") == F.col("__th")), "left_semi")
+    return kept.dropDuplicates([doc_id, "__own"]).drop("__own").unionByName(df.where(F.col(doc_id).isNull()))
