@@ -9,8 +9,12 @@ and b ~ U(0, 1) from hashes of the term and the round alone, and
 the sample is the (term, t) with the smallest a, and two documents agree in it with the probability
 of their generalised Jaccard similarity, sum(min(w, v)) / sum(max(w, v)).
 
-Every term draws in all ``DRAWS`` samples.  A draw is one long, ln a in fixed point above the 32 bits of
-its sample, so a sample is a plain minimum; ``STEP`` draws of a term are made in one row.
+Every term draws in all ``DRAWS`` samples, whatever its weight.  A draw takes one hash: r is read from a
+table of equally likely values of its distribution; c needs a fine lower tail, where samples are won,
+so the zeros at the end of its bits choose a power of two and four more bits a sixteenth of it.  A draw
+is one long, ln a in fixed point above the 32 bits of its sample, so a sample is a plain minimum;
+``STEP`` draws of a term are made in one row, few enough that the generated code is compiled.  Words are
+counted as numbers, 44 bits of hash above 20 bits of length (a longer word weighs that much).
 
 Everything is DataFrame functions.  Term counts and minima are aggregated where the document's row
 lies, so the text moves once (to its neighbour in id order) and the samples not at all.
@@ -29,40 +33,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DRAWS, STEP, RANGES = 64, 8, 20_000
+DRAWS, STEP, RANGES = 64, 4, 20_000
 _EMPTY = 0xFFFFFFFF
 #: ln a lies between -96 and 32, so with 24 bits after the point it takes 31 bits.
 _LOWEST, _UNIT = -96.0, float(1 << 24)
+#: Bits of a power of two of c, and of r.
+_PART, _R = 4, 7
+_ZEROS = 24
+_LENGTH = 20
 
 
-def _uniform(bits: Column, shift: int, width: int) -> Column:
-    """A number strictly between 0 and 1 from ``width`` bits of a hash."""
-    part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
-    return (part + F.lit(0.5)) * F.lit(1.0 / (1 << width))
+def gamma_quantile(u: float) -> float:
+    """The value that a Gamma(2, 1) variable stays below with probability u."""
+    low, high = 0.0, 60.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        # 1 - (1 + x) exp(-x) loses its digits for a small x, where it is x^2 / 2 - x^3 / 3 + x^4 / 8
+        under = mid * mid / 2 - mid**3 / 3 + mid**4 / 8 if mid < 1e-3 else -math.expm1(-mid) - mid * math.exp(-mid)
+        low, high = (mid, high) if under < u else (low, mid)
+    return (low + high) / 2
+
+
+def _tables() -> tuple[list[float], list[float]]:
+    """ln c by (zeros, sixteenth) and r by its bits, each at the middle of the probability it stands for."""
+    part = 1 << _PART
+    lnc = [round(math.log(gamma_quantile(2.0 ** -(g + 1) * (1 + (i + 0.5) / part))), 5) for g in range(_ZEROS + 1) for i in range(part)]
+    return lnc, [round(gamma_quantile((i + 0.5) / (1 << _R)), 5) for i in range(1 << _R)]
+
+
+def _constant(values: list[float]) -> Column:
+    return F.array(*map(F.lit, values))
 
 
 def fingerprint(df: DataFrame, keys: list[str], words: str) -> DataFrame:
-    """One row (keys..., sig) for each row of ``df``: ``sig`` is an array of 64 32-bit numbers.
+    """One row (keys..., sig) for each row of ``df``: ``sig`` is an array of ``DRAWS`` 32-bit numbers.
 
     ``words`` is an array<string> column; ``keys`` identify a row.  If ``df`` is partitioned by a
     subset of the keys, no exchange is added.
     """
-    # words are counted by hash and length, which are smaller keys than the words; length 0 is a text without words
-    terms = df.select(*keys, F.explode_outer(words).alias("w")).select(*keys, F.xxhash64("w").alias("term"), F.coalesce(F.char_length("w"), F.lit(0)).alias("length"))
-    counted = terms.groupBy(*keys, "term", "length").agg(F.count(F.lit(1)).alias("n"))
-    some = F.col("length") > 0
-    weighed = counted.select(*keys, "term", some.alias("some"), F.coalesce(F.log(F.when(some, F.col("n") * F.col("length"))), F.lit(0.0)).alias("lnw"))
+    number = lambda w: F.xxhash64(w).bitwiseAND(F.lit(-1 << _LENGTH)).bitwiseOR(F.least(F.char_length(w), F.lit((1 << _LENGTH) - 1)).cast("long"))
+    terms = df.select(*keys, F.explode_outer(F.transform(F.array_remove(words, ""), number)).alias("term"))
+    counted = terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    weight = F.coalesce(F.log(F.col("n") * F.col("term").bitwiseAND(F.lit((1 << _LENGTH) - 1))), F.lit(0.0))
+    weighed = counted.select(*keys, "term", F.col("term").isNotNull().alias("some"), weight.alias("lnw"))
     at = range(STEP)
     drawn = weighed.select(*keys, "term", "some", "lnw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS // STEP - 1))).alias("part"))
-    drawn = drawn.select("*", *(F.xxhash64("term", F.col("part") * STEP + i).alias(f"p{i}") for i in at)).select("*", *(F.xxhash64(f"p{i}").alias(f"q{i}") for i in at))
-    u = lambda name, shift, width: _uniform(F.col(name), shift, width)
-    drawn = drawn.select(*keys, "term", "some", "lnw", "part", *(x for i in at for x in (
-        F.log(-F.log(u(f"p{i}", 0, 32) * u(f"p{i}", 32, 32))).alias(f"c{i}"), (-F.log(u(f"q{i}", 0, 22) * u(f"q{i}", 22, 22))).alias(f"r{i}"), u(f"q{i}", 44, 20).alias(f"b{i}"))))
+    drawn = drawn.select(*keys, "some", "lnw", "part", *(F.xxhash64("term", F.col("part") * STEP + i).alias(f"p{i}") for i in at))
+    lnc_of, r_of = map(_constant, _tables())
+    low = lambda x, width: x.bitwiseAND(F.lit((1 << width) - 1))
+
+    def lnc(p: Column) -> Column:
+        x = F.shiftrightunsigned(p, 64 - _ZEROS - _PART).bitwiseOR(F.lit(1 << _ZEROS))
+        zeros = F.bit_count(F.bitwise_not(x).bitwiseAND(x - 1))  # the bits above them choose nothing here
+        return F.get(lnc_of, (zeros * (1 << _PART) + low(F.shiftrightunsigned(p, 32), _PART)).cast("int"))
+
+    drawn = drawn.select(*keys, "some", "lnw", "part", *(x for i in at for x in (
+        F.col(f"p{i}"), lnc(F.col(f"p{i}")).alias(f"c{i}"), F.get(r_of, low(F.col(f"p{i}"), _R).cast("int")).alias(f"r{i}"),
+        ((low(F.shiftrightunsigned(f"p{i}", _R), 20) + F.lit(0.5)) * F.lit(1.0 / (1 << 20))).alias(f"b{i}"),
+    )))
     drawn = drawn.select("*", *(F.floor(F.col("lnw") / F.col(f"r{i}") + F.col(f"b{i}")).alias(f"t{i}") for i in at))
 
     def packed(i: int) -> Column:
         value = F.col(f"c{i}") - F.col(f"r{i}") * (F.col(f"t{i}") - F.col(f"b{i}") + F.lit(1.0))
-        chosen = F.xxhash64("term", f"t{i}").bitwiseAND(F.lit(_EMPTY - 1))
+        chosen = F.col(f"p{i}").bitwiseXOR(F.shiftleft(f"t{i}", 20)).bitwiseAND(F.lit(_EMPTY - 1))
         fixed = F.floor((value - F.lit(_LOWEST)) * F.lit(_UNIT))
         return F.when(F.col("some"), F.shiftleft(fixed, 32).bitwiseOR(chosen)).otherwise(F.lit(_EMPTY))
 
@@ -73,7 +106,7 @@ def fingerprint(df: DataFrame, keys: list[str], words: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Lower-cased words between white space; none for an empty text."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
 def as_text(sig: Column) -> Column:
