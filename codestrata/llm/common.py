@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import re
 import sys
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,14 @@ from pyspark.sql import functions as F
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
+@lru_cache(maxsize=1)
+def word_pattern() -> re.Pattern:
+    """Runs of letters (general category L), which the standard library has no class for: of the characters
+    that count as alphanumeric it leaves out numbers such as superscripts, fractions and circled digits."""
+    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{numbers}]+")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
