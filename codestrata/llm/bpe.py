@@ -7,7 +7,8 @@ only the lists of the neighbouring pairs change.  Words already seen in the part
 bounded cache.
 
 Defined results: null text encodes as empty; strings of special tokens inside a text become their
-special id; symbols without a vocabulary entry are dropped, as the public library does.
+special id; symbols without a vocabulary entry are dropped, as the public library does; repeated rows
+are encoded each; a very long text is encoded whole, merged alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +34,38 @@ from codestrata.llm.common import small_batches
 CACHE_WORDS = 120_000
 #: Characters of the texts whose words are held, and merged, at once.
 CHUNK = 500_000
-_SPACE = r"\t-\r \x85\xa0  -     　"
-_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-#: The same words for texts of Latin-1 characters, by the faster standard library.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The words of texts of Latin-1 characters, by small classes.
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
 _LATIN = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+#: Letters, numbers, capitals and their small letters that Unicode 16 added, which the
+#: public library knows and this Python's tables may not.
+_NEW_LETTERS = "\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0"
+_NEW_NUMBERS = "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa"
+_NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}}
+#: Capitals of Unicode 17, which the public library lowers but does not take for letters.
+_NEW_CAPITALS |= {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+_CAPITAL = re.compile(f"[{''.join(map(chr, _NEW_CAPITALS))}]")
+
+
+def _ranges(kind: str) -> str:
+    """The characters of a general category of Unicode 15.1, as ranges of a pattern."""
+    newer = re.compile(f"[{_NEW_LETTERS}{_NEW_NUMBERS}]")
+    out: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c))[0] == kind and not newer.match(chr(c)):
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@lru_cache(maxsize=1)
+def _any_words() -> re.Pattern:
+    """Words of any text; letters and numbers are those of Unicode 16, as in the public library."""
+    letter, number = _ranges("L") + _NEW_LETTERS, _ranges("N") + _NEW_NUMBERS
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_SPACE}{letter}{number}]+")
 
 
 def _byte_symbols() -> list[str]:
@@ -162,7 +190,11 @@ def _words(text: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
     text = text.lower()
-    return (_LATIN if text.isascii() or max(text) < "Ā" else _WORDS).findall(text)
+    if text.isascii() or max(text) < "Ā":
+        return _LATIN.findall(text)
+    if _CAPITAL.search(text):
+        text = text.translate(_NEW_CAPITALS)
+    return _any_words().findall(text)
 
 
 @lru_cache(maxsize=2)
