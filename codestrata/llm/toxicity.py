@@ -11,13 +11,14 @@ The model is fitted on about ``SAMPLE`` labelled documents of each class at most
 id, counted beforehand).  The curve is fitted on scores from the other half's log-odds.
 
 Defined results: null and empty texts have no passage and the score of no evidence; without labels
-of both classes every score is 0; documents labelled twice count twice; null labels are left out.
+of both classes every score is 0; documents labelled twice count twice; null labels are left out;
+repeated rows get the same score, very long texts are scanned whole, an empty table gives no rows;
+columns of the table named like a result stay beside it.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,14 +28,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import bounded_sample, not_held_out, release_tokens, small_batches
+from codestrata.llm.common import bounded_sample, not_held_out, release_tokens, small_batches, word_pattern
 
 #: Labelled training documents of each class (expected number; the choice is by hash).
 SAMPLE = 2000
 PREFIXES = (5, 4)
 PRIOR, LEAST, DRIFT, CEILING, CLEAR, MANY, SIGNIFICANT = 20.0, 4, 0.8, 5.0, 3.5, 40, 0.01
 CACHE = 150_000
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    return word_pattern().findall((text or "").lower())
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -68,10 +72,10 @@ def _clearness(y1: int, y0: int, n1: int, n0: int) -> float:
 class Odds:
     """Log-odds of words and prefixes with a Dirichlet prior."""
 
-    def __init__(self, texts: list[str], toxic: list[int]):
+    def __init__(self, texts: list[list[str]], toxic: list[int]):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for text, label in zip(texts, toxic, strict=True):
-            words = set(_WORD.findall(text.lower()))
+            words = set(text)
             counts[label].update({w for w in words} | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) >= n})
         n1, n0 = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
         self.known: dict[str, float] = {}
@@ -95,8 +99,7 @@ class Odds:
             s = next((x for n in PREFIXES if (x := self.known.get(f"{w[:n]}*")) is not None and len(w) >= n), 0.0)
         return max(min(s, CEILING), -CEILING / 2) - DRIFT
 
-    def scores(self, text: str) -> list[float]:
-        words = _WORD.findall(text.lower())
+    def scores(self, words: list[str]) -> list[float]:
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
@@ -106,15 +109,14 @@ class Odds:
         return [cache[w] for w in words]
 
 
-def distinct_texts(texts: list[str]) -> list[int]:
+def distinct_texts(texts: list[list[str]]) -> list[int]:
     """Indices of texts that are no near copies of earlier ones, by two bands of two min-hashes of word triples.
 
     Copies would count one author's words many times over.
     """
     seen: set = set()
     kept = []
-    for i, t in enumerate(texts):
-        w = _WORD.findall(t.lower())
+    for i, w in enumerate(texts):
         h = [zlib.crc32(" ".join(x).encode()) for x in zip(w, w[1:], w[2:])] or [zlib.crc32(" ".join(w).encode())]
         low = [min((x * m + 12345) & 0xFFFFFFFF for x in h) for m in (2654435761, 2246822519, 3266489917, 668265263)]
         bands = {(0, low[0], low[1]), (1, low[2], low[3])}
@@ -127,8 +129,9 @@ def distinct_texts(texts: list[str]) -> list[int]:
 class Calibration:
     """Extreme-value parameters of the best segment score in texts that are not toxic."""
 
-    def __init__(self, odds: Odds, clean: list[str]):
-        seen = Counter(round(s, 2) for t in clean for s in odds.scores(t)) or Counter({-1.0: 1})
+    def __init__(self, odds: Odds, clean: list[list[str]]):
+        rows = [odds.scores(t) for t in clean]
+        seen = Counter(round(s, 2) for row in rows for s in row) or Counter({-1.0: 1})
         values = np.array(list(seen), dtype=float)
         share = np.array(list(seen.values()), dtype=float) / sum(seen.values())
         low, high = 1e-3, 8.0
@@ -137,8 +140,7 @@ class Calibration:
             low, high = (mid, high) if float(share @ np.exp(mid * values)) < 1 else (low, mid)
         self.rate = low
         excess = []
-        for t in clean:
-            row = odds.scores(t)
+        for row in rows:
             best = max((s for _, _, s in segments(row)), default=0.0)
             if row:
                 excess.append(self.rate * best - math.log(len(row)))
@@ -153,8 +155,9 @@ class Calibration:
 
 class Model:
     def __init__(self, texts: list[str], toxic: list[int]):
-        own = distinct_texts(texts)
-        texts, toxic = [texts[i] for i in own], [toxic[i] for i in own]
+        read = [words_of(t) for t in texts]
+        own = distinct_texts(read)
+        texts, toxic = [read[i] for i in own], [toxic[i] for i in own]
         self.ready = 0 < sum(toxic) < len(toxic)
         if not self.ready:
             return
@@ -174,7 +177,7 @@ class Model:
         self.slope, self.shift = _logistic(np.array(xs), np.array(ys, dtype=float)) if xs else (1.0, -5.0)
 
     @staticmethod
-    def _sum(odds: Odds, cal: Calibration, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+    def _sum(odds: Odds, cal: Calibration, text: list[str]) -> tuple[float, list[tuple[int, int, float]]]:
         row = odds.scores(text)
         scored = [(a, b, cal.evidence(s, len(row))) for a, b, s in segments(row)]
         passages = [x for x in scored if x[2] > -math.log(SIGNIFICANT)]
@@ -185,7 +188,7 @@ class Model:
         """The score of a text and its toxic passages (first word, end, evidence)."""
         if not self.ready:
             return 0.0, []
-        x, passages = self._sum(self.odds, self.cal, text or "")
+        x, passages = self._sum(self.odds, self.cal, words_of(text))
         return 1.0 / (1.0 + math.exp(-max(min(self.slope * x + self.shift, 50.0), -50.0))), passages
 
 
