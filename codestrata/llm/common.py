@@ -15,12 +15,27 @@ from pyspark.sql import functions as F
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
+_ASCII, _ALNUM = re.compile("[a-z]+"), re.compile(r"[^\W\d_]+")
+
+
 @lru_cache(maxsize=1)
-def word_pattern() -> re.Pattern:
-    """Runs of letters (general category L), which the standard library has no class for: of the characters
-    that count as alphanumeric it leaves out numbers such as superscripts, fractions and circled digits."""
-    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{numbers}]+")
+def _odd_numbers() -> tuple[re.Pattern, dict[int, str]]:
+    """Numbers that count as alphanumeric but are no letters, such as superscripts and circled digits.
+
+    The pattern finds those of the basic plane, and any character beyond it; the table makes them blanks.
+    """
+    numbers = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    low = "".join(c for c in numbers if c <= "\uffff")
+    return re.compile(f"[{low}\U00010000-\U0010ffff]"), dict.fromkeys(map(ord, numbers), " ")
+
+
+def letter_runs(text: str | None) -> list[str]:
+    """Runs of letters (general category L) of a text in lower case."""
+    low = (text or "").lower()
+    if low.isascii():
+        return _ASCII.findall(low)
+    odd, blank = _odd_numbers()
+    return _ALNUM.findall(low.translate(blank) if odd.search(low) else low)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

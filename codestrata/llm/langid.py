@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import bounded_sample, cut, not_held_out, release_tokens, small_batches, word_pattern
+from codestrata.llm.common import bounded_sample, cut, not_held_out, release_tokens, small_batches, letter_runs
 
 #: Training documents of each language (expected number; the choice is by hash).
 SAMPLE = 600
@@ -76,7 +76,7 @@ class Model:
         return 0
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = Counter(word_pattern().findall((text or "").lower()))
+        found = Counter(letter_runs(text))
         if not found or not self.langs:
             return "und", 0.0
         if len(self.cache) > CACHE or not len(self.extra):

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.common import bounded_sample, not_held_out, release_tokens, small_batches, word_pattern
+from codestrata.llm.common import bounded_sample, not_held_out, release_tokens, small_batches, letter_runs
 
 #: Labelled training documents of each class (expected number; the choice is by hash).
 SAMPLE = 2000
@@ -38,7 +38,7 @@ CACHE = 150_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return word_pattern().findall((text or "").lower())
+    return letter_runs(text)
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
