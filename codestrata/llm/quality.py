@@ -8,7 +8,9 @@ The model is fitted on about ``SAMPLE`` labelled documents of each class at most
 id, counted beforehand); only their statistics reach the driver.
 
 Defined results: null text is empty, an empty text has statistics of zero and is scored like any
-other; without labels of both classes every score is the share of label 1 (0.5 without labels).
+other; without labels of both classes every score is the share of label 1 (0.5 without labels);
+repeated rows get the same score, ties of thresholds go to the side below, very long texts are read
+whole, an empty table gives no rows; other columns stay.
 """
 
 from __future__ import annotations
@@ -183,7 +185,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     rows.sort(key=lambda r: r[0])
     y = np.array([r[1] for r in rows], dtype=float)
     model = train(np.array([r[2:] for r in rows], dtype=float).reshape(-1, len(STATISTICS)), y)
-    if share and 0 < share < 1 and 0 < y.mean() < 1:  # the sample holds the classes alike, the labels don't
+    if share and 0 < share < 1 and len(y) and 0 < y.mean() < 1:  # the sample holds the classes alike, the labels don't
         model.shift += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
     return model
 

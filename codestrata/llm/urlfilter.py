@@ -12,7 +12,8 @@ ranges at rule quantiles, long intervals are entered in each range they cover, a
 dealt over salts by url, so no task gets more than a bounded share of a hot host.
 
 Defined results: null urls and urls without ``://`` have empty host and path and match nothing;
-rules with null host or path are left out; repeated rules count once; the default verdict is allow.
+rules with null host or path are left out; repeated rules count once; the default verdict is allow;
+columns host, path, rule and verdict of the table are replaced, all others stay, repeated rows too.
 """
 
 from __future__ import annotations
@@ -112,13 +113,14 @@ def _judge_small(named: DataFrame, rules: list[tuple[str, str, str]]) -> DataFra
         for hosts, paths in batches:
             yield pd.DataFrame(_answer(list(zip(hosts, paths, strict=True)), rules), columns=["rule", "verdict"])
 
-    asked = named.withColumn("__found", ask("host", "path"))
-    return asked.withColumns({"rule": F.col("__found.rule"), "verdict": F.col("__found.verdict")}).drop("__found")
+    others = [c for c in named.columns if c not in ("rule", "verdict")]
+    found = ask("host", "path")
+    return named.select(*others, found.alias("rule and verdict")).select(*others, F.col("`rule and verdict`.rule").alias("rule"), F.col("`rule and verdict`.verdict").alias("verdict"))
 
 
 def _judge_ranges(named: DataFrame, rules: DataFrame, ranges: int, salts: int) -> DataFrame:
-    key = F.udf(_key, "string")
-    keyed = rules.withColumn("key", key("host", "path"))
+    reversed_host = F.array_join(F.reverse(F.split("host", "[.]")), ".")
+    keyed = rules.withColumn("key", F.concat(reversed_host, F.lit("\0"), "path"))
     share = min(1.0, 200 * ranges / max(1, rules.count()))
     sample = sorted(r[0] for r in keyed.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)).select("key").collect())
     bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
@@ -131,20 +133,19 @@ def _judge_ranges(named: DataFrame, rules: DataFrame, ranges: int, salts: int) -
     def levels(hosts: pd.Series, paths: pd.Series) -> pd.Series:
         return pd.Series([[(bisect_right(bounds, k), k) for k in level_keys(h, p)] for h, p in zip(hosts, paths, strict=True)])
 
-    salt = F.pmod(F.xxhash64("host", "path", "__row"), F.lit(salts)).cast("int")
-    rowed = named.withColumn("__row", F.xxhash64(*[F.col(c) for c in ("host", "path")]))
-    urls = rowed.select("host", "path", "__row").distinct()
+    salt = F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int")
+    urls = named.select("host", "path").distinct()
     asked = urls.select("host", "path", salt.alias("salt"), F.explode(levels("host", "path")).alias("q")).select("host", "path", "salt", "q.part", "q.key")
     spread = keyed.select("key", "host", "path", "rule", "verdict", F.explode(covered("key")).alias("part")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own = _prepared(zip(right["host"], right["path"], right["rule"], right["verdict"], strict=True))
-        left = left.sort_values("key", kind="stable")
-        hit = sweep(left["key"].tolist(), own)
-        left = left.assign(rule=[own[i][1] if i >= 0 else None for i in hit], verdict=[own[i][2] if i >= 0 else None for i in hit])
-        return left.loc[left["rule"].notna(), ["host", "path", "rule", "verdict"]]
+        asked_for = sorted(zip(left["key"], left["host"], left["path"], strict=True))
+        hit = sweep([key for key, _, _ in asked_for], own)
+        return pd.DataFrame([(h, p, own[i][1], own[i][2]) for (_, h, p), i in zip(asked_for, hit, strict=True) if i >= 0], columns=["host", "path", "rule", "verdict"], dtype=object)
 
     hits = asked.groupBy("part", "salt").cogroup(spread.groupBy("part", "salt")).applyInPandas(merge, "host string, path string, rule string, verdict string")
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule").alias("n"), (F.col("verdict") == "block").alias("block"), "rule", "verdict")).alias("best"))
-    best = best.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-    return named.drop("rule", "verdict").join(best, (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left").drop("__h", "__p")
+    best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    others = [c for c in named.columns if c not in ("rule", "verdict")]
+    return named.select(*others).join(best, ["host", "path"], "left").select(*others, "rule", "verdict")

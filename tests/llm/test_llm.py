@@ -585,6 +585,24 @@ def test_url_filter(spark, small):
     assert {r["verdict"] for r in urlfilter.judge(df, urlfilter.rules_table(spark, rules).limit(0)).collect()} == {"allow"}
 
 
+def test_url_filter_keeps_odd_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.com/en/", "x", "y"), (1, "http://a.com/en/", "x", "y")], "page_id long, url string, __h string, __found string")
+    for small in (50_000, 0):
+        got = urlfilter.judge(df, urlfilter.rules_table(spark, [("block", "com/en/")]), small=small)
+        assert got.columns == ["page_id", "url", "__h", "__found", "host", "path", "rule", "verdict"] and [tuple(r) for r in got.collect()] == [(1, "http://a.com/en/", "x", "y", "a.com", "/en/", "com/en/", "block")] * 2
+
+
+def test_odd_columns_and_empty_tables_of_scorers(spark):
+    """Clashing columns stay where operators add results of their own, and empty tables give no rows."""
+    docs = odd_docs(spark)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for scored in (quality.score(docs, quality.fit(docs, none)), toxicity.predict(docs, toxicity.fit(docs, none)), langid.predict(docs, langid.fit(docs))):
+        assert [c for c in scored.columns if c in docs.columns] == docs.columns and scored.count() == 12
+        assert sorted(str(r["score"]) for r in scored.select("score").collect()) == ["0.5"] * 12
+    assert quality.score(empty(spark), quality.fit(docs, none)).count() == 0 and toxicity.predict(empty(spark), toxicity.fit(docs, none)).count() == 0
+    assert bpe.encode(empty(spark), queries.vocabulary_path()).count() == 0 and decontam.clean(empty(spark), spark.createDataFrame(BENCH, "item_id long, text string")).count() == 0
+
+
 def test_url_sql(spark):
     from compare import differs, duck
 
