@@ -36,12 +36,15 @@ def language(path: Column) -> Column:
 
 
 def is_doc(path: Column) -> Column:
-    p = F.lower(path)
-    return p.rlike(r"\.(md|rst|txt|adoc)$") | p.rlike("readme|changelog|contributing")
+    """Documents by extension or by the name of the file."""
+    name = F.lower(F.substring_index(path, "/", -1))
+    own = name.rlike(r"^(readme|changelog|contributing)(\.(md|rst|txt|adoc))?$|^(license|code_of_conduct|security|architecture|design)(\.(md|txt))?$|\.(md|rst|adoc)$")
+    return own | (path.rlike(r"(^|/)docs?/") & name.rlike(r"\.(md|rst|txt|adoc)$"))
 
 
 def is_test(path: Column) -> Column:
-    return F.lower(path).rlike(r"\.(test|spec)\.|/tests?/|__tests__|(^|/)test_")
+    """Paths of tests, in the case they are written."""
+    return path.rlike(r"\.(test|spec)\.|__tests__|/test/|/tests/|_test\.(py|go)$")
 
 
 def commit_tickets(message: Column) -> Column:
@@ -55,17 +58,21 @@ def commit_issues(message: Column) -> Column:
 
 
 def markdown_sections(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, section, heading, level, content): headings open sections, text before the first is dropped.
+    """(doc, section, heading, level, content): headings open sections, text before the first is dropped; a text
+    without headings is one section of level 0 (K14).
 
     The lines of a document stay one array; only its sections become rows.
     """
     lines = F.split(F.col(text), "\n")
     at = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(r"^#{1,6}\s+.+$"), i)), lambda i: i.isNotNull())
-    rows = docs.select(doc, lines.alias("lines"), at.alias("at")).select(doc, "lines", F.size("lines").alias("n"), F.posexplode("at").alias("section", "i"), "at")
+    rows = docs.where(F.col(text).isNotNull()).select(doc, lines.alias("lines"), at.alias("at"))
+    bare = F.regexp_replace(F.array_join("lines", "\n"), r"^\s+|\s+$", "")
+    whole = rows.where(F.size("at") == 0).select(doc, F.lit(0).cast("long").alias("section"), F.lit("").alias("heading"), F.lit(0).cast("long").alias("level"), bare.alias("content")).where("content <> ''")
+    rows = rows.select(doc, "lines", F.size("lines").alias("n"), F.posexplode("at").alias("section", "i"), "at")
     stop = F.coalesce(F.get("at", F.col("section") + 1), F.col("n"))
     head = F.get("lines", F.col("i"))
     body = F.slice("lines", F.col("i") + 2, stop - F.col("i") - 1)
-    return rows.select(doc, F.col("section").cast("long").alias("section"), F.trim(F.regexp_extract(head, r"^#{1,6}\s+(.+)$", 1)).alias("heading"), F.char_length(F.regexp_extract(head, r"^(#{1,6})\s", 1)).cast("long").alias("level"), F.regexp_replace(F.array_join(body, "\n"), r"^\s+|\s+$", "").alias("content"))
+    return whole.unionByName(rows.select(doc, F.col("section").cast("long").alias("section"), F.trim(F.regexp_extract(head, r"^#{1,6}\s+(.+)$", 1)).alias("heading"), F.char_length(F.regexp_extract(head, r"^(#{1,6})\s", 1)).cast("long").alias("level"), F.regexp_replace(F.array_join(body, "\n"), r"^\s+|\s+$", "").alias("content")))
 
 
 def document_chunks(docs: DataFrame, doc: str = "doc", text: str = "text", most: int = 12_000) -> DataFrame:
@@ -96,10 +103,10 @@ def document_chunks(docs: DataFrame, doc: str = "doc", text: str = "text", most:
 
 
 def mentions(text: Column) -> Column:
-    """Path-like words of a task text, back-ticked ones first."""
-    ticked = F.regexp_extract_all(text, F.lit(r"`([^`\s]*[./][^`\s]*)`"), 1)
-    bare = F.regexp_extract_all(text, F.lit(r"(?:^|[\s(\"'])((?:[\w.-]+/)+[\w.-]+|[\w-]+\.[a-zA-Z]{1,4})(?=$|[\s,;:)\"'])"), 1)
-    return F.array_distinct(F.filter(F.concat(ticked, bare), lambda m: ~m.rlike(r"^https?:|^v?\d+(\.\d+)+$")))
+    """Distinct file names of a task text: back-ticked ones, then bare words with an extension."""
+    ticked = F.regexp_extract_all(text, F.lit(r"`([^`]+\.[a-zA-Z]+)`"), F.lit(1))
+    bare = F.regexp_extract_all(text, F.lit(r"(?:^|\s)([\w./-]+/[\w./-]+|[\w-]+\.\w{1,10})(?=\s|$|[,;:!?)}\]])"), F.lit(1))
+    return F.array_distinct(F.concat(ticked, F.filter(bare, lambda m: m.rlike(r"\.[a-zA-Z]{1,10}$") & ~m.rlike(r"^\d+\.\d+"))))
 
 
 def slugify(text: Column) -> Column:
@@ -107,12 +114,6 @@ def slugify(text: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 50)
 
 
-def quality_score(answer: Column) -> Column:
-    """The stated confidence in [0, 1], 0.5 without one."""
-    found = F.regexp_extract(answer, r"(?i)CONFIDENCE:\s*([0-9]*\.?[0-9]+)", 1)
-    return F.when(found == "", 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), found.try_cast("double"))))
-
-
 def fill_template(template: str, values: dict[str, Column]) -> Column:
     """``{{name}}`` replaced by columns; ``{{#if name}}...{{/if}}`` kept where the value isn't empty."""
     import re

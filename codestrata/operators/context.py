@@ -6,32 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codestrata.functions import text as T
+
 CHARS_PER_TOKEN = 4
-MARK = "\n\n[truncated]"
+# What stands under a cut section and under a cut document.
+MARK = "\n\n*(truncated)*"
+NOTE = ("*Context truncated to ~", " tokens. Increase maxTokens for more detail.*")
 
 
 def relevance(score: Column, path: Column, words: list[str], include_tests: bool = False) -> Column:
     """Base score, cut for test paths and lifted for intent words in the path, in [0, 1]."""
-    low = F.lower(path)
-    test = low.rlike(r"\.(test|spec)\.|/tests?/|__tests__")
-    s = score if include_tests else F.when(test, score * 0.3).otherwise(score)
-    hits = sum((F.when(F.contains(low, F.lit(w.lower())), 1).otherwise(0) for w in words), F.lit(0))
+    s = score if include_tests else F.when(T.is_test(path), score * 0.3).otherwise(score)
+    hits = sum((F.when(F.contains(F.lower(path), F.lit(w.lower())), 1).otherwise(0) for w in words), F.lit(0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), s * (1 + 0.15 * hits)))
 
 
-def merge_ranked(a: DataFrame, b: DataFrame, wa: float = 0.6, wb: float = 0.4, both: float = 0.15) -> DataFrame:
-    """Two ranked lists merged on their first 100 characters."""
+def merge_ranked(a: DataFrame, b: DataFrame, wa: float = 0.6, wb: float = 0.4, both: float = 0.15, order: str = "id") -> DataFrame:
+    """Two ranked lists merged on their first 100 characters.
+
+    The last row of a key in the first list counts; rows of the second add up, each with the bonus where
+    the key is known already, from the first list or from an earlier row of the second.
+    """
     key = F.substring("content", 1, 100).alias("key")
-    x = a.groupBy(key).agg(F.max("relevance").alias("ra"))
-    y = b.groupBy(key).agg(F.max("relevance").alias("rb"))
+    x = a.groupBy(key).agg(F.max_by("relevance", order).alias("ra"))
+    y = b.groupBy(key).agg(F.sum("relevance").alias("rb"), F.count("*").alias("n"))
     j = x.join(y, "key", "full")
-    s = F.coalesce(F.col("ra") * wa, F.lit(0.0)) + F.coalesce(F.col("rb") * wb, F.lit(0.0)) + F.when(F.col("ra").isNotNull() & F.col("rb").isNotNull(), both).otherwise(0.0)
+    known = F.coalesce("n", F.lit(0)) - F.when(F.col("ra").isNull(), 1).otherwise(0)
+    s = F.coalesce(F.col("ra") * wa, F.lit(0.0)) + F.coalesce(F.col("rb") * wb, F.lit(0.0)) + known * both
     return j.select("key", F.round(s, 6).alias("relevance"))
 
 
-def build_sections(items: DataFrame) -> DataFrame:
-    """Sections from items (heading, priority, ord, content, relevance): most relevant first, a blank line between."""
+def build_sections(items: DataFrame, budget: int | None = None) -> DataFrame:
+    """Sections from items (heading, priority, ord, content, relevance): most relevant first, a blank line between.
+
+    With a ``budget`` only the items that so many tokens can show are gathered: a section is then a little longer
+    than the budget at most, whatever its heading holds, and :func:`truncate` cuts it as it would the whole.
+    """
     kept = items.where("content is not null and content <> ''")
+    if budget is not None:
+        w = W.partitionBy("heading", "priority").orderBy(F.desc("relevance"), "ord", "content")
+        # an item takes three characters at least, with the blank line: the first rows of a heading are found before the shuffle
+        kept = kept.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= budget * CHARS_PER_TOKEN // 3 + 2)
+        used = F.sum(F.char_length("content") + 2).over(w.rowsBetween(W.unboundedPreceding, -1))
+        kept = kept.withColumn("__used", F.coalesce(used, F.lit(0))).where(F.col("__used") <= budget * CHARS_PER_TOKEN).drop("__k", "__used")
     parts = F.array_sort(F.collect_list(F.struct((-F.col("relevance")).alias("r"), "ord", "content")))
     g = kept.groupBy("heading", "priority").agg(F.array_join(parts["content"], "\n\n").alias("content"))
     return g.withColumn("tokens", F.ceil(F.char_length("content") / CHARS_PER_TOKEN))
@@ -76,5 +93,6 @@ def severity_relevance(severity: Column) -> Column:
 def render_markdown(sections: DataFrame) -> DataFrame:
     """One markdown document from sections, with a note if any was cut."""
     parts = F.array_sort(F.collect_list(F.struct("priority", "heading", "content")))
-    body = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("## "), p["heading"], F.lit("\n\n"), p["content"])), "\n\n")
-    return sections.agg(F.concat(body, F.when(F.bool_or("truncated"), F.lit("\n\n_Some sections were cut to fit the budget._")).otherwise(F.lit(""))).alias("markdown"))
+    body = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("## "), p["heading"], F.lit("\n\n"), p["content"], F.lit("\n"))), "\n")
+    note = F.concat(F.lit("\n---\n" + NOTE[0]), F.sum("tokens").cast("string"), F.lit(NOTE[1]))
+    return sections.agg(F.concat(body, F.when(F.bool_or("truncated"), note).otherwise(F.lit(""))).alias("markdown"))

@@ -72,10 +72,18 @@ def coupling_findings(metrics: DataFrame, efferent: int = 15, afferent: int = 20
     return metrics.select("node", F.explode(rows).alias("f")).select("node", "f.metric", "f.value", "f.severity")
 
 
-def primary_file(evidence: Column) -> Column:
-    """First of the path keys of an evidence JSON text."""
-    keys = ("filePath", "file", "path", "sourceFilePath", "filePaths[0]")
-    return F.coalesce(*(F.get_json_object(evidence, f"$.{k}") for k in keys))
+def _path_of(evidence: Column, at: str) -> Column:
+    """The first path key of a JSON object that holds a text, else the first of its file paths."""
+    def text(key: str) -> Column:
+        v = F.try_variant_get(evidence, f"{at}.{key}", "variant")
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(evidence, f"{at}.{key}", "string"))
+    return F.coalesce(*(F.nullif(text(k), F.lit("")) for k in ("filePath", "file", "path", "sourceFilePath")), text("filePaths[0]"))
+
+
+def primary_file(evidence: Column, depth: int = 8) -> Column:
+    """The path that evidence (JSON text) is about; of an array the first ``depth`` elements are asked."""
+    v = F.try_parse_json(evidence)
+    return F.coalesce(_path_of(v, "$"), *(_path_of(v, f"$[{i}]") for i in range(depth)))
 
 
 def fingerprint(category: Column, primary: Column, severity: Column) -> Column:
@@ -98,8 +106,15 @@ def _related(a: str, b: str) -> bool:
     return {a, b} in ({"coupling", "god-module"}, {"circular-dep", "coupling"}) or a == b == "coupling"
 
 
+MERGED = "primary_file string, category string, severity string, title string, description string, suggestion string, merged string, confidence double, ord long"
+
+
 def merge_related(findings: DataFrame) -> DataFrame:
-    """Merges findings of related categories of one primary file, greedily in input order."""
+    """Merges findings of related categories of one primary file, greedily in input order.
+
+    The worst finding of a cluster gives category, severity and title; descriptions and suggestions follow
+    from the worst to the mildest.  A finding without a primary file stays alone, and needs no group.
+    """
     def one(g: pd.DataFrame) -> pd.DataFrame:
         clusters: list[list] = []
         for row in g.sort_values("ord").itertuples(index=False):
@@ -107,11 +122,45 @@ def merge_related(findings: DataFrame) -> DataFrame:
             (home.append(row) if home is not None else clusters.append([row]))
         out = []
         for c in clusters:
-            worst = max(c, key=lambda r: SEVERITY_RANK.get(r.severity, 0))
+            c = sorted(c, key=lambda r: -SEVERITY_RANK.get(r.severity, 0))
             suggestions = list(dict.fromkeys(r.suggestion for r in c if r.suggestion))
-            out.append((worst.primary_file, worst.category, worst.severity, worst.title, " Additionally: ".join(r.description for r in c), " Also: ".join(suggestions), ",".join(dict.fromkeys(r.category for r in c)), 1.0 if len(c) == 1 else min(1.0, 0.5 * len(c)), min(r.ord for r in c)))
+            out.append((c[0].primary_file, c[0].category, c[0].severity, c[0].title, " Additionally: ".join(r.description for r in c), " Also: ".join(suggestions), ",".join(dict.fromkeys(r.category for r in c)), 1.0 if len(c) == 1 else min(1.0, 0.5 * len(c)), min(r.ord for r in c)))
         return pd.DataFrame(out, columns=["primary_file", "category", "severity", "title", "description", "suggestion", "merged", "confidence", "ord"])
-    return findings.groupBy("primary_file").applyInPandas(one, "primary_file string, category string, severity string, title string, description string, suggestion string, merged string, confidence double, ord long")
+
+    alone = findings.where("primary_file is null").select("primary_file", "category", "severity", "title", "description", F.coalesce("suggestion", F.lit("")).alias("suggestion"), F.col("category").alias("merged"), F.lit(1.0).alias("confidence"), F.col("ord").cast("long").alias("ord"))
+    return findings.where("primary_file is not null").groupBy("primary_file").applyInPandas(one, MERGED).unionByName(alone)
+
+
+def detect(files: DataFrame, edges: DataFrame, symbols: DataFrame, referenced: DataFrame, components: DataFrame, metrics: DataFrame) -> DataFrame:
+    """All detectors over one project, related findings merged and repeats dropped.
+
+    ``files`` (id, path), ``edges`` (src, dst), ``symbols`` and ``referenced`` as for dead code, ``components``
+    (component, node) of the cycles, ``metrics`` (node, fan_in, fan_out, efferent, afferent, cohesion).
+    Returns the merged rows with their fingerprint, best first by confidence within a fingerprint.
+    """
+    path = files.select(F.col("id").alias("node"), "path")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    smallest = components.groupBy("component").agg(F.min("node").alias("node"))
+    cycles = circular_dependencies(components).join(smallest, "component").join(path, "node")
+    dead = dead_code(symbols, referenced).withColumnRenamed("file_id", "node").join(path, "node")
+    gods = god_modules(metrics).join(path, "node")
+    layers = layering_violations(edges, files)
+    coupled = coupling_findings(metrics).join(path, "node")
+    rows = [
+        (0, cycles, "circular-dep", F.col("path"), text("Circular dependency of ", F.col("cycle_length"), " files"), F.col("members")),
+        (1, dead, "dead-code", F.col("path"), text(F.col("n_dead"), " unused exports"), F.col("names")),
+        (2, gods, "god-module", F.col("path"), text("God module"), text("fan-in ", F.col("fan_in"), ", fan-out ", F.col("fan_out"))),
+        (3, layers, "layering-violation", F.col("src_path"), text("Layering violation (", F.col("kind"), ")"), text(F.col("src_path"), " -> ", F.col("dst_path"))),
+        (4, coupled, "coupling", F.col("path"), text("High ", F.col("metric")), text(F.col("metric"), " ", F.round("value", 4))),
+    ]
+    found = None
+    for no, df, category, primary, title, description in rows:
+        # the order of the detectors, then of the file and the text: what greedy merging follows
+        part = df.select(primary.alias("primary_file"), F.lit(category).alias("category"), "severity", title.alias("title"), description.alias("description"), F.lit(None).cast("string").alias("suggestion"), F.lit(no).alias("no"))
+        found = part if found is None else found.unionByName(part)
+    order = W.partitionBy("primary_file").orderBy("no", "title", "description")
+    merged = merge_related(found.withColumn("ord", F.row_number().over(order).cast("long")).drop("no"))
+    return dedup_findings(merged.withColumn("fingerprint", fingerprint(F.col("category"), F.col("primary_file"), F.col("severity"))))
 
 
 def parse_gaps(df: DataFrame, text: str = "response") -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in ``spark.checkpoint.dir`` (a local folder where none is set)."""
+    """Ends the lineage in ``spark.checkpoint.dir`` (a local folder on a local master that names none, as in tests)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codestrata-graph-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codestrata-graph-"))
     return df.checkpoint(eager=True)
 
 
@@ -84,13 +87,13 @@ def shared_dependencies(edges: DataFrame, files: DataFrame, least: int = 2) -> D
 def scc(edges: DataFrame, core: int = 200_000) -> DataFrame:
     """(node, component) of every strongly connected component of two or more nodes (F2).
 
-    Nodes without a way in or out are trimmed until none is left; the rest is small in dependency
-    graphs and is solved by one iterative pass if it has at most ``core`` edges, and by
-    forward-backward colouring over joins beyond that.  The component is its smallest node.
+    Up to ``core`` edges are solved by one iterative pass.  Of more, nodes without a way in or out are
+    trimmed until none is left; the rest is small in dependency graphs and is solved in the same way, or by
+    forward-backward colouring over joins.  The component is its smallest node.
     """
     e = _cut(edges.where("dst is not null and src <> dst").select("src", "dst").distinct())
     n = e.count()
-    while n:
+    while n > core:
         left = _cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         m = left.count()
         e, n, before = left, m, n
@@ -146,13 +149,16 @@ def _tarjan(g: pd.DataFrame) -> pd.DataFrame:
 
 def _spread(e: DataFrame, start: DataFrame) -> DataFrame:
     """Smallest label that reaches each node: (node, label), labels given by ``start``."""
+    told = F.bit_xor(F.xxhash64("node", "label"))  # cannot overflow, as a sum of labels can
     lab = _cut(start)
+    before = lab.agg(told).first()[0]
     while True:
         new = lab.unionByName(e.join(lab, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("label"))
         new = _cut(new)
-        if new.agg(F.sum("label")).first()[0] == lab.agg(F.sum("label")).first()[0]:
+        now = new.agg(told).first()[0]
+        if now == before:
             return new
-        lab = new
+        lab, before = new, now
 
 
 def _scc_by_colour(e: DataFrame) -> DataFrame:

@@ -100,6 +100,45 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
 
 
+def running_total(df: DataFrame, order: str, amount: str, into: str, ranges: int = 200) -> DataFrame:
+    """Adds the sum of ``amount`` over all rows before, in the order of a number.
+
+    Rows are cut into ranges at quantiles; sums within ranges and over the totals of at most ``ranges``
+    of them together give the total, so no task holds all rows.
+    """
+    shares = ",".join(repr(i / ranges) for i in range(1, ranges))
+    cuts = sorted(set(df.agg(F.expr(f"percentile_approx({order}, array({shares}), {10 * ranges})")).first()[0] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    dealt = df.withColumn("__part", part)
+    before = W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy("__part").agg(F.sum(amount).alias("__t")).withColumn("__t", F.coalesce(F.sum("__t").over(before), F.lit(0.0)))
+    within = W.partitionBy("__part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(amount).over(within), F.lit(0.0))
+    return dealt.join(F.broadcast(totals), "__part").withColumn(into, own + F.col("__t")).drop("__part", "__t")
+
+
+def rollup_levels(files: DataFrame, previous: DataFrame, render) -> DataFrame:
+    """Summaries of files, modules and the system, hash-equal ones reused (H9).
+
+    ``files`` is (path, content) of file summaries, ``previous`` (level, target_id, input_hash, content) of the
+    last run, ``render`` makes a summary from a column of input text.  A module's input is its files'
+    lines, the system's the modules', each in the order of targets.  Returns (level, target_id, input_hash,
+    content, reused); modules may be many, and only the system is one row.
+    """
+    def level(items: DataFrame, name: str, target: Column) -> DataFrame:
+        line = F.concat(F.lit("- "), "target", F.lit(": "), "content")
+        lines = F.array_join(F.array_sort(F.collect_list(F.struct("target", line.alias("line"))))["line"], "\n")
+        told = items.groupBy(target.alias("target_id")).agg(lines.alias("input")).withColumn("input_hash", F.sha2("input", 256))
+        old = previous.where(F.col("level") == name).select("target_id", "input_hash", F.col("content").alias("old"))
+        both = told.join(old, ["target_id", "input_hash"], "left")
+        return both.select(F.lit(name).alias("level"), "target_id", "input_hash", F.coalesce("old", render(F.col("input"))).alias("content"), F.col("old").isNotNull().alias("reused"))
+
+    own = files.where("content <> ''").select(F.col("path").alias("target"), "content")
+    modules = level(own.where(dirname(F.col("target")).isNotNull()), "module", F.concat(F.lit("module:"), dirname(F.col("target"))))
+    system = level(modules.select(F.col("target_id").alias("target"), "content"), "system", F.lit("system:project"))
+    return modules.unionByName(system)
+
+
 def budget_cutoff(items: DataFrame, group: str, order: list[str], cost: str, budget: float) -> DataFrame:
     """Items until the budget is spent; the one that crosses it still runs."""
     w = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)

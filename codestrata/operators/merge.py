@@ -40,9 +40,9 @@ def delete_project(old: DataFrame, project) -> DataFrame:
 
 
 def update_column(old: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
-    """One column updated by key, unmatched rows unchanged."""
-    n = new.select(key, F.col(column).alias("__new"))
-    return old.join(n, key, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+    """One column updated by key, to null as well; unmatched rows stay as they are."""
+    n = latest_per_group(new, [key], [F.col(column).desc_nulls_last()]).select(key, F.col(column).alias("__new"), F.lit(True).alias("__hit"))
+    return old.join(n, key, "left").withColumn(column, F.when(F.col("__hit"), F.col("__new")).otherwise(F.col(column))).drop("__new", "__hit").select(*old.columns)
 
 
 def latest_request(requests: DataFrame) -> DataFrame:

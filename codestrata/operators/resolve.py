@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: Endings tried for a relative import, in order.
 ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-INDEXES = ("/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+INDEXES = ("/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs")
 
 
 def ancestors(path: Column) -> Column:

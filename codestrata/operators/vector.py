@@ -120,3 +120,88 @@ def boost(found: DataFrame, keywords: DataFrame) -> DataFrame:
     j = strong.join(keywords, "path", "full")
     s = F.when(F.col("score").isNull(), F.least(F.lit(1.0), ONLY_BASE + BOOST_STEP * F.col("hits"))).when(F.col("hits").isNotNull(), F.least(F.lit(1.0), F.col("score") + BOOST_BASE + BOOST_STEP * F.col("hits"))).otherwise(F.col("score"))
     return j.select("path", F.round(s, 6).alias("score"))
+
+
+# --- approximate search
+
+def ann_index(embeddings: DataFrame, lists: int = 16, sample: int = 2000) -> tuple[np.ndarray, DataFrame]:
+    """An inverted-file index: centroids fitted on about ``sample`` rows, and every row with its list.
+
+    The sample is chosen by a hash of the id after a count; all rows are indexed, in the JVM.
+    """
+    n = embeddings.count()
+    share = min(1.0, sample / max(1, n))
+    picked = embeddings.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).orderBy("vec_id").limit(2 * sample)
+    rows = [r[0] for r in picked.select("embedding").collect() if r[0] is not None]
+    if not rows:
+        return np.zeros((0, 0)), embeddings.withColumn("list", F.lit(None).cast("int"))
+    x = np.array(rows, dtype=np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
+    for _ in range(10):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.stack([x[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    nearest = _nearest_lists(F.col("embedding"), centres, 1)
+    return centres, embeddings.withColumn("list", F.get(nearest, F.lit(0)))
+
+
+def _nearest_lists(vector: Column, centres: np.ndarray, k: int) -> Column:
+    scored = [F.struct((-dot(vector, F.array(*(F.lit(float(v)) for v in c)))).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(centres)]
+    return F.transform(F.slice(F.array_sort(F.array(*scored)), 1, k), lambda s: s["list"]) if scored else F.array().cast("array<int>")
+
+
+def ann_topk(index: tuple[np.ndarray, DataFrame], query: list[float], k: int = 10, probes: int = 12) -> DataFrame:
+    """(vec_id, distance, score) of the nearest vectors among the ``probes`` nearest lists."""
+    centres, rows = index
+    if not len(centres):
+        return topk(rows, query, k)
+    near = np.argsort(-(centres @ np.asarray(query, dtype=np.float64)), kind="stable")[:probes]
+    return topk(rows.where(F.col("list").isin(*near.tolist())), query, k)
+
+
+def full_text(docs: DataFrame, terms: list[str], each: int = 5) -> DataFrame:
+    """(path, content, term): documents that hold a term, the first ``each`` of a term by path, each path once (I8)."""
+    rows = None
+    for no, term in enumerate(terms):
+        at = F.instr(F.lower("content"), term.lower())
+        # from 100 characters before the term to 200 after its start
+        first = F.greatest(F.lit(1), at - 100)
+        cut = F.trim(F.substring(F.col("content"), first, at + 200 - first))
+        hit = docs.where(at > 0).orderBy("path").limit(each).select(F.lit(no).alias("no"), F.lit(term).alias("term"), "path", F.concat(F.lit("**"), "path", F.lit("** (full-text match)\n..."), cut, F.lit("...")).alias("content"))
+        rows = hit if rows is None else rows.unionByName(hit)
+    if rows is None:
+        return docs.select(F.lit("").alias("term"), "path", F.lit("").alias("content")).limit(0)
+    w = W.partitionBy("path").orderBy("no")
+    return rows.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k", "no")
+
+
+def partitioned_search(found: DataFrame, query: str, keywords: DataFrame, docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+    """(kind, target, content, relevance): code and documents of one search (I8).
+
+    ``found`` (target_id, level, path, summary, score) are the vector hits, ``keywords`` (path, hits) files by
+    name, ``docs`` (path, content) the texts to fall back on where fewer than three documents are hit.
+    """
+    from codestrata.operators import context as C
+
+    words = query.lower().split()
+    strong = found.where(F.col("score") >= least).withColumn("relevance", C.relevance(F.col("score"), F.coalesce("path", F.lit("")), words))
+    asks = any(w in DOC_WORDS for w in discriminating_split(query))
+    code = strong.where("level <> 'doc'").join(keywords, "path", "full")
+    lifted = F.when(F.col("target_id").isNull(), C.relevance(F.least(F.lit(1.0), ONLY_BASE + BOOST_STEP * F.col("hits")), F.col("path"), words)).when(F.col("hits").isNotNull(), F.least(F.lit(1.0), F.col("relevance") + BOOST_BASE + BOOST_STEP * F.col("hits"))).otherwise(F.col("relevance"))
+    label = F.when(F.col("target_id").isNull(), F.concat(F.lit("**"), "path", F.lit("**"))).otherwise(F.concat(F.lit("**"), F.coalesce("path", "target_id"), F.lit("** ("), "level", F.lit(")\n"), "summary"))
+    code = code.select(F.lit("code").alias("kind"), F.coalesce("path", "target_id").alias("target"), label.alias("content"), F.round(lifted, 6).alias("relevance"))
+    read = strong.where("level = 'doc'")
+    told = read.select(F.lit("doc").alias("kind"), F.col("target_id").alias("target"), F.concat(F.lit("**"), "target_id", F.lit("** (doc)\n"), "summary").alias("content"), F.round(F.least(F.lit(1.0), F.col("relevance") + (0.1 if asks else 0.0)), 6).alias("relevance"))
+    terms = list(dict.fromkeys(discriminating_words(query)))[:3]
+    enough = read.groupBy().agg(F.count("*").alias("n")).where("n < 3")  # one row, or none
+    text = full_text(docs.join(read.select("path"), "path", "left_anti"), terms).select(F.lit("doc").alias("kind"), F.col("path").alias("target"), "content", F.lit(0.5).alias("relevance"))
+    text = text.withColumn("n", F.lit(1)).join(enough.select(F.lit(1).alias("n")), "n", "left_semi").drop("n")
+    return code.unionByName(told).unionByName(text)
+
+
+def discriminating_split(query: str) -> list[str]:
+    """All words of a query in lower case, by white space and punctuation."""
+    import re
+
+    return [w for w in re.split(r"[\s,;:!?.()\[\]{}\"'`]+", query.lower()) if w]

@@ -5,9 +5,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import code as K
@@ -21,21 +18,12 @@ from codestrata.operators import incremental as I
 from codestrata.operators import merge as M
 from codestrata.operators import resolve as R
 from codestrata.operators import vector as V
+from codestrata.plans.registry import QUERIES, query
 from codestrata.sources import gitlog as L
 from codestrata.sources import proxies as P
 from codestrata.sources.proxies import with_tables as sql
 from codestrata.streaming import events as S
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = (f, oracle)
-        return f
-    return register
-
-
 # --- history
 
 @query(sql("SELECT file_path, file_id, count(*) AS changes FROM commit_files WHERE file_id IS NOT NULL GROUP BY 1, 2 ORDER BY changes DESC, file_path LIMIT 15", "commit_files"))
@@ -168,11 +156,16 @@ def pending_queue_head(spark, d):
     return I.claim_next(_jobs(spark, d)).select("id", "project_id", "created_at")
 
 
-@query(sql(f"SELECT project_id, min(created_at) AS requested_at FROM {_JOBS} j WHERE status = 'failed' AND project_id NOT IN (SELECT project_id FROM {_JOBS} a WHERE status IN ('pending', 'running') AND a.id % 40 = 0) GROUP BY 1", "runs"))
+_STATES = "(SELECT project_id, CASE arg_max(layer, (created_at, id)) WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'running' ELSE 'pending' END AS status FROM runs GROUP BY 1)"
+
+
+@query(sql(f"SELECT project_id, min(created_at) AS requested_at FROM {_JOBS} j WHERE status = 'failed' AND project_id NOT IN (SELECT project_id FROM {_STATES} WHERE status IN ('pending', 'running')) GROUP BY 1", "runs"))
 def active_project_dedup(spark, d):
+    """A project's job is in the state that its latest run left it in."""
+    last = P.runs(spark, d).groupBy("project_id").agg(F.max_by("layer", F.struct("created_at", "id")).alias("s"))
+    state = F.when(F.col("s") == "click", "completed").when(F.col("s") == "error", "failed").when(F.col("s") == "purchase", "running").otherwise("pending")
     j = _jobs(spark, d)
-    busy = j.where(F.pmod("id", F.lit(40)) == 0)  # the proxy has every project active all the time, so one job in forty stands for the job table
-    return I.drain_requests(j.where("status = 'failed'").withColumnRenamed("created_at", "requested_at"), busy)
+    return I.drain_requests(j.where("status = 'failed'").withColumnRenamed("created_at", "requested_at"), last.select("project_id", state.alias("status")))
 
 
 @query(sql(f"SELECT status, count(*) AS n FROM {_JOBS} GROUP BY 1", "runs"))
@@ -182,8 +175,8 @@ def job_counts(spark, d):
 
 @query("SELECT user_id AS project_id, arg_max(event_type, (ts, event_id)) AS layers, max(ts) AS requested_at FROM events GROUP BY 1")
 def latest_requests(spark, d):
-    e = P.runs(spark, d).groupBy("project_id").agg(F.max_by("layer", F.struct("created_at", "id")).alias("layers"), F.max("created_at").alias("requested_at"))
-    return e
+    r = P.runs(spark, d).select("project_id", F.col("layer").alias("layers"), F.struct("created_at", "id").alias("requested_at"))
+    return M.latest_request(r).select("project_id", "layers", F.col("requested_at.created_at").alias("requested_at"))
 
 
 # --- graph metrics and detectors
@@ -468,13 +461,15 @@ def relevance_score(spark, d):
     return P.files(spark, d).select("id", F.round(C.relevance(F.col("line_count") / 100, F.col("path"), ["api", "green"]), 6).alias("relevance"))
 
 
-_LIST = "SELECT substr(content, 1, 100) AS key, max(quality_score) AS r FROM summaries WHERE quality_score IS NOT NULL AND id % {} = 0 GROUP BY 1"
+_KEYED = "SELECT substr(content, 1, 100) AS key, id, quality_score AS r, 1 - quality_score AS r2 FROM summaries WHERE quality_score IS NOT NULL AND content IS NOT NULL"
 
 
-@query(sql(f"SELECT key, round(coalesce(0.6 * a.r, 0) + coalesce(0.4 * b.r, 0) + CASE WHEN a.r IS NOT NULL AND b.r IS NOT NULL THEN 0.15 ELSE 0 END, 6) AS relevance FROM ({_LIST.format(2)}) a FULL JOIN ({_LIST.format(3)}) b USING (key)", "summaries"))
+@query(sql(f"SELECT key, round(coalesce(0.6 * a.r, 0) + coalesce(0.4 * b.r, 0) + 0.15 * (coalesce(n, 0) - CASE WHEN a.r IS NULL THEN 1 ELSE 0 END), 6) AS relevance FROM (SELECT key, arg_max(r, id) AS r FROM ({_KEYED}) WHERE r >= 0.3 GROUP BY 1) a FULL JOIN (SELECT key, sum(r2) AS r, count(*) AS n FROM ({_KEYED}) WHERE r2 >= 0.3 GROUP BY 1) b USING (key)", "summaries"))
 def merge_ranked(spark, d):
-    s = P.summaries(spark, d).where("quality_score is not null").select("id", "content", F.col("quality_score").alias("relevance"))
-    return C.merge_ranked(s.where("id % 2 = 0"), s.where("id % 3 = 0"))
+    """The summaries that score well, and those that score well the other way round."""
+    s = P.summaries(spark, d).where("quality_score is not null and content is not null")
+    q = F.col("quality_score")
+    return C.merge_ranked(s.where(q >= 0.3).select("id", "content", q.alias("relevance")), s.where(1 - q >= 0.3).select("id", "content", (1 - q).alias("relevance")))
 
 
 @query(sql("SELECT node AS path, round(coalesce(0.3 / depth, 0) + 0.2 * least(1.0, coalesce(cc / 10, 0)) + CASE WHEN depth IS NOT NULL AND cc IS NOT NULL THEN 0.05 ELSE 0 END, 6)::DOUBLE AS score, concat_ws('+', CASE WHEN depth IS NOT NULL THEN 'dependency' END, CASE WHEN cc IS NOT NULL THEN 'co-change' END) AS relationship FROM (SELECT 'f' || dst AS node, 1 AS depth FROM edges30 WHERE src = 7 AND dst IS NOT NULL GROUP BY 1) FULL JOIN (SELECT 'f' || b.l_partkey AS node, count(*) AS cc FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey = 7 AND b.l_partkey <> 7 GROUP BY 1) USING (node) WHERE node <> 'f7' ORDER BY score DESC, path LIMIT 20", "edges30"))
@@ -486,24 +481,27 @@ def related_files(spark, d):
     return C.related_files(none, near, together)
 
 
-_ITEMS = "(SELECT source AS heading, 1 AS priority, doc_id AS ord, substr(text, 1, 200) AS content, (doc_id % 10) / 10.0 AS relevance FROM documents)"
+_ITEMS = "(SELECT source AS heading, 1 AS priority, doc_id AS ord, text AS content, (doc_id % 10) / 10.0 AS relevance FROM documents)"
 
 
-def _items(spark, d):
-    return P.read(spark, d, "documents").select(F.col("source").alias("heading"), F.lit(1).alias("priority"), F.col("doc_id").alias("ord"), F.substring("text", 1, 200).alias("content"), (F.col("doc_id") % 10 / 10.0).alias("relevance"))
+def _items(spark, d, heading=None):
+    return P.read(spark, d, "documents").select((F.col("source") if heading is None else heading).alias("heading"), F.lit(1).alias("priority"), F.col("doc_id").alias("ord"), F.col("text").alias("content"), (F.col("doc_id") % 10 / 10.0).alias("relevance"))
 
 
+_SHELF = "source || '/' || lang || '/' || (doc_id // 50)"
 _SECTIONS = f"SELECT heading, priority, string_agg(content, chr(10) || chr(10) ORDER BY relevance DESC, ord) AS content FROM {_ITEMS} WHERE content <> '' GROUP BY 1, 2"
 
 
-@query(f"SELECT heading, priority, content, CAST(ceil(length(content) / 4) AS BIGINT) AS tokens FROM ({_SECTIONS})")
+@query(f"SELECT heading, priority, content, CAST(ceil(length(content) / 4) AS BIGINT) AS tokens FROM ({_SECTIONS.replace('source AS heading', _SHELF + ' AS heading')})")
 def build_sections(spark, d):
-    return C.build_sections(_items(spark, d))
+    """Whole texts of a source, a language and fifty ids make a section."""
+    shelf = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 50).cast("string"))
+    return C.build_sections(_items(spark, d, shelf))
 
 
-@query(f"SELECT heading, priority, CASE WHEN tokens <= 9000 - before THEN content ELSE substr(content, 1, CAST((9000 - before) * 4 AS INT)) || chr(10) || chr(10) || '[truncated]' END AS content, CAST(least(tokens, 9000 - before) AS BIGINT) AS tokens, tokens > 9000 - before AS truncated FROM (SELECT *, coalesce(sum(tokens) OVER (ORDER BY priority, heading ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT *, CAST(ceil(length(content) / 4) AS BIGINT) AS tokens FROM ({_SECTIONS}))) WHERE before < 9000")
+@query(f"SELECT heading, priority, CASE WHEN tokens <= 9000 - before THEN content ELSE substr(content, 1, CAST((9000 - before) * 4 AS INT)) || chr(10) || chr(10) || '*(truncated)*' END AS content, CAST(least(tokens, 9000 - before) AS BIGINT) AS tokens, tokens > 9000 - before AS truncated FROM (SELECT *, coalesce(sum(tokens) OVER (ORDER BY priority, heading ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT *, CAST(ceil(length(content) / 4) AS BIGINT) AS tokens FROM ({_SECTIONS}))) WHERE before < 9000")
 def token_budget(spark, d):
-    return C.truncate(C.build_sections(_items(spark, d)), 9000)
+    return C.truncate(C.build_sections(_items(spark, d), 9000), 9000)
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 150 THEN text WHEN instr(substr(text, 1, 150), '.') > 0 AND length(substr(text, 1, 150)) - instr(reverse(substr(text, 1, 150)), '.') + 1 > 75 THEN substr(text, 1, length(substr(text, 1, 150)) - instr(reverse(substr(text, 1, 150)), '.') + 1) ELSE substr(text, 1, 150) || '...' END AS cut FROM documents")
@@ -604,7 +602,7 @@ def symbols_and_complexity(spark, d):
 
 # --- composed contexts
 
-_CUT = "SELECT heading, CAST(priority AS INT) AS priority, CASE WHEN tokens <= {b} - before THEN content ELSE substr(content, 1, CAST(({b} - before) * 4 AS BIGINT)) || chr(10) || chr(10) || '[truncated]' END AS content, CAST(least(tokens, {b} - before) AS BIGINT) AS tokens, tokens > {b} - before AS truncated FROM (SELECT *, coalesce(sum(tokens) OVER (ORDER BY priority, heading ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT heading, priority, content, ceil(length(content) / 4.0) AS tokens FROM (SELECT heading, priority, string_agg(content, chr(10) || chr(10) ORDER BY relevance DESC, ord, content) AS content FROM items GROUP BY ALL))) WHERE before < {b}"
+_CUT = "SELECT heading, CAST(priority AS INT) AS priority, CASE WHEN tokens <= {b} - before THEN content ELSE substr(content, 1, CAST(({b} - before) * 4 AS BIGINT)) || chr(10) || chr(10) || '*(truncated)*' END AS content, CAST(least(tokens, {b} - before) AS BIGINT) AS tokens, tokens > {b} - before AS truncated FROM (SELECT *, coalesce(sum(tokens) OVER (ORDER BY priority, heading ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT heading, priority, content, ceil(length(content) / 4.0) AS tokens FROM (SELECT heading, priority, string_agg(content, chr(10) || chr(10) ORDER BY relevance DESC, ord, content) AS content FROM items GROUP BY ALL))) WHERE before < {b}"
 _TOGETHER = "SELECT b.file_path, count(*) AS co_changes FROM (SELECT *, row_number() OVER () AS rid FROM commit_files) a JOIN (SELECT *, row_number() OVER () AS rid FROM commit_files) b ON a.commit_id = b.commit_id AND a.rid <> b.rid WHERE a.file_id = 7 GROUP BY 1 ORDER BY co_changes DESC, b.file_path"
 _LINES = "SELECT 'Recent Commits' AS heading, 1 AS priority, -epoch_us(committed_at) AS ord, '`' || substr(sha, 1, 7) || '` ' || message || coalesce(' — ' || author_name, '') || ' (' || strftime(committed_at, '%Y-%m-%d') || ')' AS content, 0.7 AS relevance FROM scope UNION ALL SELECT 'Author Distribution', 4, -count(*), coalesce(author_name, 'unknown') || ': ' || count(*) || ' commits', 0.4 FROM scope GROUP BY author_name"
 
@@ -627,3 +625,6 @@ def document_chunks(spark, d):
     doc = P.read(spark, d, "documents")
     md = F.concat(F.lit("intro\n## Doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\n### Source\n"), F.col("source"))
     return T.document_chunks(doc.select(F.col("doc_id").alias("doc"), md.alias("text")))
+
+
+from codestrata.plans import layers  # noqa: E402, F401  registers the queries of the documentation, semantic and context layers

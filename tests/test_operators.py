@@ -45,6 +45,13 @@ def test_scc(spark, core):
     assert got == brute_scc([p for p in pairs if p[0] != p[1]])
 
 
+def test_scc_of_large_ids(spark):
+    """Sums of such ids would overflow; the colouring path compares hashes."""
+    big = 1 << 62
+    got = G.scc(edges(spark, [(big + i, big + (i + 1) % 6) for i in range(6)]), 3).collect()
+    assert {r["component"] for r in got} == {big} and len(got) == 6
+
+
 def test_scc_of_nothing(spark):
     assert G.scc(edges(spark, [])).count() == 0
     assert G.scc(edges(spark, [(1, 2), (2, 3), (1, None)])).count() == 0
@@ -93,7 +100,7 @@ def test_related_findings_merge(spark):
     rows = [("a.ts", "circular-dep", "low", "t1", "d1", "s1", 0), ("a.ts", "god-module", "high", "t2", "d2", "s2", 1), ("a.ts", "coupling", "medium", "t3", "d3", "s1", 2), ("b.ts", "layering", "low", "t4", "d4", None, 3)]
     f = spark.createDataFrame(rows, "primary_file string, category string, severity string, title string, description string, suggestion string, ord long")
     got = {(r["primary_file"], r["merged"]): (r["severity"], r["description"], r["confidence"]) for r in D.merge_related(f).collect()}
-    assert got[("a.ts", "circular-dep,coupling")] == ("medium", "d1 Additionally: d3", 1.0)
+    assert got[("a.ts", "coupling,circular-dep")] == ("medium", "d3 Additionally: d1", 1.0)  # the worst first
     assert got[("a.ts", "god-module")][0] == "high" and got[("b.ts", "layering")][2] == 1.0
 
 
