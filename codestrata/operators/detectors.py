@@ -115,20 +115,28 @@ def merge_related(findings: DataFrame) -> DataFrame:
     The worst finding of a cluster gives category, severity and title; descriptions and suggestions follow
     from the worst to the mildest.  A finding without a primary file stays alone, and needs no group.
     """
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list] = []
-        for row in g.sort_values("ord").itertuples(index=False):
-            home = next((c for c in clusters if any(_related(row.category, x.category) and row.category != x.category for x in c)), None)
+    cols = ["ord", "category", "severity", "title", "description", "suggestion"]
+
+    def merged(rows: list[dict]) -> list[tuple]:
+        clusters: list[list[dict]] = []
+        for row in sorted(rows, key=lambda r: r["ord"]):
+            home = next((c for c in clusters if any(_related(row["category"], x["category"]) and row["category"] != x["category"] for x in c)), None)
             (home.append(row) if home is not None else clusters.append([row]))
         out = []
         for c in clusters:
-            c = sorted(c, key=lambda r: -SEVERITY_RANK.get(r.severity, 0))
-            suggestions = list(dict.fromkeys(r.suggestion for r in c if r.suggestion))
-            out.append((c[0].primary_file, c[0].category, c[0].severity, c[0].title, " Additionally: ".join(r.description for r in c), " Also: ".join(suggestions), ",".join(dict.fromkeys(r.category for r in c)), 1.0 if len(c) == 1 else min(1.0, 0.5 * len(c)), min(r.ord for r in c)))
-        return pd.DataFrame(out, columns=["primary_file", "category", "severity", "title", "description", "suggestion", "merged", "confidence", "ord"])
+            c = sorted(c, key=lambda r: -SEVERITY_RANK.get(r["severity"], 0))
+            suggestions = list(dict.fromkeys(r["suggestion"] for r in c if r["suggestion"]))
+            out.append((c[0]["category"], c[0]["severity"], c[0]["title"], " Additionally: ".join(r["description"] for r in c), " Also: ".join(suggestions), ",".join(dict.fromkeys(r["category"] for r in c)), 1.0 if len(c) == 1 else min(1.0, 0.5 * len(c)), min(r["ord"] for r in c)))
+        return out
+
+    @F.pandas_udf(f"array<struct<{MERGED.removeprefix('primary_file string, ').replace(' ', ':').replace(',:', ',')}>>")
+    def fold(groups: pd.Series) -> pd.Series:
+        return pd.Series([merged(list(g)) for g in groups], dtype=object)
 
     alone = findings.where("primary_file is null").select("primary_file", "category", "severity", "title", "description", F.coalesce("suggestion", F.lit("")).alias("suggestion"), F.col("category").alias("merged"), F.lit(1.0).alias("confidence"), F.col("ord").cast("long").alias("ord"))
-    return findings.where("primary_file is not null").groupBy("primary_file").applyInPandas(one, MERGED).unionByName(alone)
+    known = findings.where("primary_file is not null").withColumn("ord", F.col("ord").cast("long"))
+    filed = known.groupBy("primary_file").agg(F.collect_list(F.struct(*cols)).alias("g")).select("primary_file", F.explode(fold.asNondeterministic()("g")).alias("m"))
+    return filed.select("primary_file", "m.*").unionByName(alone)
 
 
 def detect(files: DataFrame, edges: DataFrame, symbols: DataFrame, referenced: DataFrame, components: DataFrame, metrics: DataFrame) -> DataFrame:
