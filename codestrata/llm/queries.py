@@ -1,4 +1,4 @@
-"""The thin queries op1 to op10 over the driver's tables, and SQL where it can express them."""
+"""The thin queries op1 to op13 over the driver's tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, chat, decontam, fingerprints, html_text, langid, quality, simhash, toxicity, urlfilter
+from codestrata.llm import bpe, chat, decontam, fingerprints, html_text, langid, mixing, quality, simhash, toxicity, urlfilter
 from codestrata.llm.common import table
 
 #: The rules that op10 judges by.
@@ -113,6 +113,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    m = F.col("__mix")
+    return mixed.select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["copies"] * m["size"]).alias("taken"))
+
+
 _OP10_SQL = """
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -149,9 +155,10 @@ def queries() -> dict:
         "op1_document_fingerprints": op1_document_fingerprints, "op2_html_extraction": op2_html_extraction, "op3_language_id": op3_language_id,
         "op4_chat_formatting": op4_chat_formatting, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier,
         "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_url_filters": op10_url_filters,
+        "op13_source_mixing": op13_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """op4's formatted_chars depends on the windows, so its SQL, which lacks that column, serves the tests only."""
-    return {"op10_url_filters": _OP10_SQL}
+    return {"op10_url_filters": _OP10_SQL, "op13_source_mixing": mixing.query_sql()}
