@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, chat, decontam, fingerprints, html_text, langid, mixing, quality, simhash, toxicity, urlfilter
+from codestrata.llm import bpe, chat, decontam, fingerprints, html_text, langid, mixing, quality, repair, simhash, toxicity, urlfilter
 from codestrata.llm.common import table
 
 #: The rules that op10 judges by.
@@ -113,6 +113,23 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut short, repeated or given the role user, by a hash of conversation and turn; nulls are one space."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), F.pmod(F.crc32(key), F.lit(20)).alias("k")).where("k <> 0")
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("k") == 3, 2).otherwise(1))).alias("copy"))
+    return rows.drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.audit(damaged(rows)).withColumnRenamed("conv_id", "c")
+    j = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    count = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
+    return j.select("conv_id", *map(count, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("repaired", F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
+
+
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     m = F.col("__mix")
@@ -155,7 +172,7 @@ def queries() -> dict:
         "op1_document_fingerprints": op1_document_fingerprints, "op2_html_extraction": op2_html_extraction, "op3_language_id": op3_language_id,
         "op4_chat_formatting": op4_chat_formatting, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier,
         "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_url_filters": op10_url_filters,
-        "op13_source_mixing": op13_source_mixing,
+        "op12_conversation_repair": op12_conversation_repair, "op13_source_mixing": op13_source_mixing,
     }
 
 
