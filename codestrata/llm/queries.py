@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, chat, decontam, fingerprints, html_text, langid, mixing, quality, repair, simhash, toxicity, urlfilter
+from codestrata.llm import bpe, chat, decontam, divergence, fingerprints, html_text, langid, mixing, quality, repair, simhash, toxicity, urlfilter
 from codestrata.llm.common import table
 
 #: The rules that op10 judges by.
@@ -113,6 +113,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Rows dropped, emptied, cut short, repeated or given the role user, by a hash of conversation and turn; nulls are one space."""
     key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
@@ -172,10 +176,10 @@ def queries() -> dict:
         "op1_document_fingerprints": op1_document_fingerprints, "op2_html_extraction": op2_html_extraction, "op3_language_id": op3_language_id,
         "op4_chat_formatting": op4_chat_formatting, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier,
         "op7_simhash_near_dedup": op7_simhash_near_dedup, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_url_filters": op10_url_filters,
-        "op12_conversation_repair": op12_conversation_repair, "op13_source_mixing": op13_source_mixing,
+        "op11_source_divergence": op11_source_divergence, "op12_conversation_repair": op12_conversation_repair, "op13_source_mixing": op13_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """op4's formatted_chars depends on the windows, so its SQL, which lacks that column, serves the tests only."""
-    return {"op10_url_filters": _OP10_SQL, "op13_source_mixing": mixing.query_sql()}
+    return {"op10_url_filters": _OP10_SQL, "op11_source_divergence": divergence.QUERY_SQL, "op13_source_mixing": mixing.query_sql()}
