@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ from codestrata.llm.common import cut, small_batches
 SCALE, SMOOTH, LEAST, TOP = 1_000_000_000, 5, 30, 50
 #: A term is heavy if more than one in so many sources hold it; terms of a tile, sources of a block.
 DENSE, TILE, BLOCK = 8, 4096, 64
-#: Entries of a task's dictionary before it is emptied.
-ENTRIES = 200_000
+#: Entries of a task's dictionary before it is emptied, about 200 bytes each, and bits of its count of documents.
+ENTRIES, BITS = 500_000, 24
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -52,26 +53,25 @@ def counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, d): occurrences, and documents that hold the term; each group has a row of the empty term."""
     said = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, dict[str, list[int]]] = {}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # by group and term one integer, occurrences above documents
+        held: dict[tuple, dict[str, int]] = {}
         size = 0
 
-        def emptied() -> pd.DataFrame:
-            rows = [(*k, t, n, d) for k, own in held.items() for t, (n, d) in own.items()]
+        def emptied() -> pa.RecordBatch:
+            long = [len(own) for own in held.values()]
+            packed = np.array([x for own in held.values() for x in own.values()], dtype=np.int64)
+            named = [pa.array([k[i] for k in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), long))) for i in (0, 1)]
+            out = pa.RecordBatch.from_arrays([*named, pa.array([t for own in held.values() for t in own], pa.string()), pa.array(packed >> BITS), pa.array(packed & ((1 << BITS) - 1))], ["lang", "source", "term", "n", "d"])
             held.clear()
-            return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "d"])
+            return out
 
         for b in batches:
-            for lang, source, text in zip(b["lang"], b["source"], b["text"], strict=True):
-                own = held.setdefault((lang, source), {"": [0, 0]})
+            for lang, source, text in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                own = held.setdefault((lang, source), {"": 0})
                 before = len(own)
                 for term, n in Counter(terms_of(text)).items():
-                    seen = own.get(term)
-                    if seen is None:
-                        own[term] = [n, 1]
-                    else:
-                        seen[0] += n
-                        seen[1] += 1
+                    own[term] = own.get(term, 0) + (n << BITS | 1)
                 size += len(own) - before
                 if size >= ENTRIES:
                     yield emptied()
@@ -79,7 +79,7 @@ def counts(docs: DataFrame) -> DataFrame:
         if held:
             yield emptied()
 
-    part = small_batches(said).mapInPandas(count, "lang string, source string, term string, n long, d long")
+    part = small_batches(said).mapInArrow(count, "lang string, source string, term string, n long, d long")
     return part.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
