@@ -3,12 +3,12 @@
 A language keeps the terms of at least ``least`` of its documents.  A source gives each of them
 p = 1 + floor(SCALE * (count + SMOOTH) / (N + SMOOTH * V)), and two sources differ by the sum of |p - q|.
 
-Heavy-light split: terms that more than one in ``DENSE`` sources of the language hold are laid out as
-dense tiles of terms by sources, and two blocks of sources are compared by numpy, absent terms included.
-Of the other, light terms only the postings exist.  Were all sources without a term, two of them would
-differ by the same |p0 - q0| for each; what a source's own postings change against a source without them
-depends on the other's q0 only, and is read from the prefix sums of the source's sorted p; a pair that both hold
-is corrected by |p - q| - |p - q0| - |p0 - q| + |p0 - q0|, posting by posting.  Both sums are integers and added.
+Heavy-light split: were all sources without a term, two of them would differ by the same |p0 - q0| for each.
+Terms that more than one in ``DENSE`` sources of the language hold are laid out as dense tiles of terms by
+sources, and two blocks of sources are compared by numpy: what |p - q| has more than |p0 - q0|.  Of the other,
+light terms only the postings exist.  What a source's own change against a source without them depends on
+the other's q0 only, and is read from the prefix sums of the source's sorted p; a term that both hold is corrected
+by |p - q| - |p - q0| - |p0 - q| + |p0 - q0|, posting by posting.  The sums are integers and added.
 
 Terms are counted within each partition first, by document, in a dictionary of a bounded number of entries,
 so a source with a third of all rows is a few rows of each task.  Sources are numbered in blocks of
@@ -122,12 +122,12 @@ def _pairs(lang: str, rows: np.ndarray, cols: np.ndarray, value: np.ndarray) ->
 
 def _sides(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The source numbers of the two blocks of a tile, rows of which may be of either."""
-    own = np.unique(g["g"].to_numpy())
-    return own[own // BLOCK == g["i"].iloc[0]], own[own // BLOCK == g["j"].iloc[0]]
+    block = g["block"].to_numpy()
+    return np.unique(g["g"].to_numpy()[block == g["i"].iloc[0]]), np.unique(g["g"].to_numpy()[block == g["j"].iloc[0]])
 
 
 def _dense(g: pd.DataFrame) -> pd.DataFrame:
-    """Sums over the heavy terms of a tile; a row without term gives a source's p of absent terms."""
+    """What the heavy terms of a tile change against absent ones; a row without term gives a source's p of absent terms."""
     rows, cols = _sides(g)
     absent = g[g["term"].isna()].drop_duplicates("g").set_index("g")["p"]
     held = g[g["term"].notna()]
@@ -141,15 +141,20 @@ def _dense(g: pd.DataFrame) -> pd.DataFrame:
         return m
 
     left, right = tile(rows), tile(cols)
-    value = np.stack([np.abs(right - x).sum(axis=1) for x in left]) if width else np.zeros((len(rows), len(cols)), dtype=np.int64)
+    # a term that none of these sources holds is no column here, so the base counts it and every other as absent
+    base = np.abs(absent.loc[rows].to_numpy()[:, None] - absent.loc[cols].to_numpy()[None, :]).astype(np.int64) * width
+    value = np.stack([np.abs(right - x).sum(axis=1) for x in left]) - base if width else base
     return _pairs(g["lang"].iloc[0], rows, cols, value)
 
 
 def _base(g: pd.DataFrame) -> pd.DataFrame:
-    """Sums over light terms as if no two sources shared one; rows are (g, p, number of light terms with it), p null for the source itself."""
+    """Sums over all terms as if no heavy one were held and no two sources shared a light one.
+
+    Rows are (g, p, number of light terms with it), p null for the source itself.
+    """
     rows, cols = _sides(g)
     facts = g[g["p"].isna()].drop_duplicates("g").set_index("g")
-    p0, light = facts["p0"], int(facts["light"].iloc[0])
+    p0, terms = facts["p0"], int(facts["terms"].iloc[0])
     own = {k: x.sort_values("p") for k, x in g[g["p"].notna()].groupby("g")}
 
     def against(of: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -165,23 +170,23 @@ def _base(g: pd.DataFrame) -> pd.DataFrame:
         return out
 
     a0, b0 = p0.loc[rows].to_numpy().astype(np.int64), p0.loc[cols].to_numpy().astype(np.int64)
-    value = light * np.abs(a0[:, None] - b0[None, :]) + against(rows, cols) + against(cols, rows).T
+    value = terms * np.abs(a0[:, None] - b0[None, :]) + against(rows, cols) + against(cols, rows).T
     return _pairs(g["lang"].iloc[0], rows, cols, value)
 
 
 def _shared(g: pd.DataFrame) -> pd.DataFrame:
     """Corrections for the light terms that both sources of a pair hold."""
-    i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-    value = np.zeros((BLOCK, BLOCK), dtype=np.int64)
-    block, number, p, p0 = g["g"].to_numpy() // BLOCK, g["g"].to_numpy() % BLOCK, g["p"].to_numpy(), g["p0"].to_numpy()
+    rows, cols = _sides(g)
+    value = np.zeros((len(rows), len(cols)), dtype=np.int64)
+    number, p, p0 = g["g"].to_numpy(), g["p"].to_numpy(), g["p0"].to_numpy()
+    left, right = (g["block"] == g["i"]).to_numpy(), (g["block"] == g["j"]).to_numpy()
     for own in g.groupby("term").indices.values():
-        x, y = own[block[own] == i], own[block[own] == j]
+        x, y = own[left[own]], own[right[own]]
         if len(x) and len(y):
-            pa, pb, a0, b0 = p[x][:, None], p[y][None, :], p0[x][:, None], p0[y][None, :]
-            value[np.ix_(number[x], number[y])] += np.abs(pa - pb) - np.abs(pa - b0) - np.abs(a0 - pb) + np.abs(a0 - b0)
-    a, b = np.nonzero(value)
-    keep = i * BLOCK + a < j * BLOCK + b
-    return pd.DataFrame({"lang": g["lang"].iloc[0], "a": (i * BLOCK + a[keep]).astype("int32"), "b": (j * BLOCK + b[keep]).astype("int32"), "value": value[a[keep], b[keep]]})
+            pa_, pb, a0, b0 = p[x][:, None], p[y][None, :], p0[x][:, None], p0[y][None, :]
+            value[np.ix_(np.searchsorted(rows, number[x]), np.searchsorted(cols, number[y]))] += np.abs(pa_ - pb) - np.abs(pa_ - b0) - np.abs(a0 - pb) + np.abs(a0 - b0)
+    out = _pairs(g["lang"].iloc[0], rows, cols, value)
+    return out[out["value"] != 0]
 
 
 def divergences(groups: DataFrame, postings: DataFrame) -> DataFrame:
@@ -192,7 +197,7 @@ def divergences(groups: DataFrame, postings: DataFrame) -> DataFrame:
     last = F.floor((F.col("sources") - 1) / BLOCK).cast("int")
 
     def met(others: Column) -> Column:
-        return F.explode(F.transform(others, lambda o: F.struct(F.least(block, o).alias("i"), F.greatest(block, o).alias("j"))))
+        return F.explode(F.transform(others, lambda o: F.struct(block.alias("block"), F.least(block, o).alias("i"), F.greatest(block, o).alias("j"))))
 
     every = F.sequence(F.lit(0), last)
     tile = F.pmod(F.xxhash64("term"), tiles).cast("int")
@@ -203,10 +208,9 @@ def divergences(groups: DataFrame, postings: DataFrame) -> DataFrame:
     dense = full.unionByName(alone).groupBy(*at).applyInPandas(_dense, _SUMS)
 
     sparse = postings.where(~heavy)
-    light = sparse.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").cast("long").alias("light"))
-    facts = groups.join(light, "lang").select("lang", "g", F.lit(None).cast("long").alias("p"), "p0", F.lit(0).cast("long").alias("cnt"), "light", "sources")
-    bars = sparse.groupBy("lang", "g", "p", "sources").agg(F.count("*").alias("cnt")).select("lang", "g", "p", F.lit(None).cast("long").alias("p0"), "cnt", F.lit(None).cast("long").alias("light"), "sources")
-    base = facts.unionByName(bars).select("lang", "g", "p", "p0", "cnt", "light", met(every).alias("x")).select("lang", "g", "p", "p0", "cnt", "light", "x.*")
+    facts = groups.select("lang", "g", F.lit(None).cast("long").alias("p"), "p0", F.lit(0).cast("long").alias("cnt"), "terms", "sources")
+    bars = sparse.groupBy("lang", "g", "p", "sources").agg(F.count("*").alias("cnt")).select("lang", "g", "p", F.lit(None).cast("long").alias("p0"), "cnt", F.lit(None).cast("long").alias("terms"), "sources")
+    base = facts.unionByName(bars).select("lang", "g", "p", "p0", "cnt", "terms", met(every).alias("x")).select("lang", "g", "p", "p0", "cnt", "terms", "x.*")
     base = base.groupBy("lang", "i", "j").applyInPandas(_base, _SUMS)
 
     # a term's postings meet in the blocks that hold it: at most 1 in DENSE of the sources, and no others

@@ -141,13 +141,13 @@ def _rates(rows: DataFrame, sources: DataFrame, few: bool, most: float) -> DataF
     while True:
         over = F.col("rate") * F.col("__w") >= most
         per = _with_source(rows, s, few).groupBy(F.col("__source").alias("__of")).agg(
-            F.sum(F.when(over, F.col("__size"))).alias("held"), F.sum(F.when(~over, F.col("__size") * F.col("__w"))).alias("free"), F.count_if(over).alias("n"),
+            F.sum(F.when(over, F.col("__size"))).alias("held"), F.sum(F.when(~over, F.col("__size") * F.col("__w"))).alias("free"), F.count_if(over).alias("full"),
         )
         rate = F.coalesce(F.try_divide(F.col("target") - most * F.coalesce("held", F.lit(0)), F.col("free")), F.col("rate"))
-        s = cut(s.drop("n").join(per, F.col("source").eqNullSafe(F.col("__of")), "left").withColumn("rate", rate).drop("__of", "held", "free"))
-        n = s.agg(F.sum("n")).first()[0] or 0
+        s = cut(s.drop("full").join(per, F.col("source").eqNullSafe(F.col("__of")), "left").withColumn("rate", rate).drop("__of", "held", "free"))
+        n = s.agg(F.sum("full")).first()[0] or 0
         if n == full:
-            return s.drop("n")
+            return s.drop("full")
         full = n
 
 
