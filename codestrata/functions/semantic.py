@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +37,7 @@ def symbol_chunks(files: DataFrame, symbols: DataFrame, most: int = 3000) -> Dat
 
 def parse_answer(answer: Column) -> Column:
     """struct(summary, score): the stated confidence, 0.5 without one, and the text without it."""
-    stated = F.regexp_extract(answer, r"CONFIDENCE:\s*([\d.]+)", 1).try_cast("double")
+    stated = F.regexp_extract(answer, r"CONFIDENCE:\s*(\d+(?:\.\d*)?|\.\d+)", 1).try_cast("double")
     score = F.when(stated.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), stated)))
     return F.struct(F.regexp_replace(F.regexp_replace(answer, r"\n?CONFIDENCE:\s*[\d.]+\s*$", ""), r"^\s+|\s+$", "").alias("summary"), score.alias("score"))
 
@@ -68,35 +65,6 @@ def extractive_summariser(prompt: str) -> tuple[str, float]:
     return f"{line[:300]}\nCONFIDENCE: 0.6", 0.0
 
 
-def summarise(chunks: DataFrame, known: DataFrame, budget: float, ask: Callable[[str], tuple[str, float]] = extractive_summariser, price: float = 0.0) -> DataFrame:
-    """(id, input_hash, summary, quality_score, demoted, cost) of prompts (id, prompt, name, lines) not answered yet.
-
-    Prompts whose hash is in ``known`` are skipped.  ``price`` a character bounds what is asked: prompts in the
-    order of their id until the budget is spent, the one that crosses it included; the running sum is
-    taken over hash ranges of a bounded number first, so no task holds them all.  A poor answer is asked
-    for once more and the better one stays.
-    """
-    todo = chunks.withColumn("input_hash", F.sha2("prompt", 256)).join(known.select("input_hash"), "input_hash", "left_anti")
-    if price > 0:
-        from codestrata.operators.incremental import running_total
-
-        todo = running_total(todo.withColumn("price", F.char_length("prompt") * price), "id", "price", "spent").where(F.col("spent") < budget).drop("price", "spent")
-
-    @F.pandas_udf("answer string, cost double")
-    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for prompts in batches:
-            yield pd.DataFrame([ask(p) for p in prompts], columns=["answer", "cost"])
-
-    def told(df: DataFrame, into: str) -> DataFrame:
-        return df.withColumn("a", answer.asNondeterministic()("prompt")).withColumn("p", parse_answer(F.col("a.answer"))).select("*", F.struct(checked_score(F.col("p.summary"), F.col("name"), F.col("lines"), F.col("p.score")).alias("score"), F.col("p.summary").alias("summary"), F.col("a.cost").alias("cost")).alias(into)).drop("a", "p")
-
-    first = told(todo, "one")
-    good, poor = first.where(F.col("one.score") >= DEMOTED).withColumn("two", F.lit(None).cast("struct<score:double,summary:string,cost:double>")), first.where(F.col("one.score") < DEMOTED)
-    both = good.unionByName(told(poor, "two"))
-    best = F.when(F.coalesce(F.col("two.score"), F.lit(-1.0)) > F.col("one.score"), F.col("two")).otherwise(F.col("one"))
-    return both.select("id", "input_hash", best["summary"].alias("summary"), best["score"].alias("quality_score"), (best["score"] < DEMOTED).alias("demoted"), (F.col("one.cost") + F.coalesce(F.col("two.cost"), F.lit(0.0))).alias("cost"))
-
-
 def split_batch_answer(answer: Column, paths: Column) -> Column:
     """array of one text for each of the paths: what an answer to a batch says between its markers."""
     def part(path: Column, i: Column) -> Column:
@@ -129,9 +97,31 @@ def parse_plan(answer: Column) -> Column:
 
 
 def json_in(answer: Column) -> Column:
-    """The JSON value in an answer, whose fences and surrounding words are left out."""
+    """The JSON value in an answer, whose fences and surrounding words are left out.
+
+    A fenced value is the text between fences.  Else the value runs from the first opening bracket to the one that
+    closes it: the depth is a running fold over brackets, strings and escapes, in which brackets in
+    strings don't count.  An answer without brackets, or whose first is not closed, is returned as it is.
+    """
     fenced = F.nullif(F.regexp_extract(answer, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
-    bare = F.nullif(F.regexp_extract(answer, r"(?s)([\[{].*[\]}])", 1), F.lit(""))
+    # only what can change the depth: escaped pairs, quotes and brackets, each with the text before it
+    marks = F.regexp_extract_all(answer, F.lit(r'(?s)[^"\\{}\[\]]*(?:\\.|["{}\[\]\\])'), F.lit(0))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def step(s: Column, m: Column) -> Column:
+        mark, end = F.right(m, F.lit(1)), s["at"] + F.char_length(m)
+        pair = (F.char_length(m) > 1) & (F.substring(m, -2, 1) == "\\")
+        open_, close = mark.isin("{", "[") & ~pair & ~s["quoted"], mark.isin("}", "]") & ~pair & ~s["quoted"] & (s["depth"] > 0)
+        depth = s["depth"] + F.when(open_, 1).when(close, -1).otherwise(0)
+        started = s["first"] > 0
+        moved = F.struct(
+            end.alias("at"), depth.alias("depth"), F.when((mark == '"') & ~pair & started, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
+            F.when(~started & open_, end).otherwise(s["first"]).alias("first"), F.when(close & (depth == 0), end).otherwise(s["last"]).alias("last"),
+        )
+        return F.when(s["last"] > 0, s).otherwise(moved)
+
+    span = F.aggregate(marks, zero, step)
+    bare = F.when(span["last"] > 0, F.substring(answer, span["first"], span["last"] - span["first"] + 1))
     return F.coalesce(fenced, bare, answer)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codestrata.functions import docs as DOC
@@ -12,6 +14,7 @@ from codestrata.operators import detectors as D
 from codestrata.operators import graph as G
 from codestrata.operators import incremental as I
 from codestrata.operators import runs as U
+from codestrata.operators import summaries as SUM
 from codestrata.operators import vector as V
 from codestrata.plans.registry import query
 from codestrata.sources import gitlog as L
@@ -166,13 +169,12 @@ def quality_gate(spark, d):
     return SEM.quality_gate(P.summaries(spark, d)).select("id", "target_id")
 
 
-@query("SELECT doc_id AS id, sha256(text) AS input_hash, trim(substr(CASE WHEN len(g) = 0 THEN trim(text, chr(10) || chr(9) || ' ') ELSE g[1] END, 1, 300)) AS summary, CAST(0.6 AS DOUBLE) AS quality_score FROM (SELECT doc_id, text, [trim(x) FOR x IN string_split(text, chr(10)) IF length(trim(x)) >= 20] AS g FROM (SELECT doc_id, regexp_replace(text, '[^\\x21-\\x7e\\n]+', ' ', 'g') || ' with enough words in it' AS text FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels)))")
+@query("WITH p AS (SELECT doc_id, regexp_replace(text, '[^\\x21-\\x7e\\n]+', ' ', 'g') || ' with enough words in it' AS text FROM documents WHERE text IS NOT NULL), k AS (SELECT text FROM p WHERE doc_id IN (SELECT doc_id FROM labels)), g AS (SELECT doc_id, text, [trim(x) FOR x IN string_split(text, chr(10)) IF length(trim(x)) >= 20] AS g FROM p WHERE text NOT IN (SELECT text FROM k)) SELECT doc_id AS id, sha256(text) AS input_hash, trim(substr(CASE WHEN len(g) = 0 THEN trim(text, chr(10) || chr(9) || ' ') ELSE g[1] END, 1, 300)) AS summary, CAST(0.6 AS DOUBLE) AS quality_score, CAST(CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY text) THEN 1 ELSE 0 END AS INT) AS calls FROM g")
 def summarised(spark, d):
-    """Texts without a label, summarised by the offline default."""
-    doc = P.read(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.regexp_replace("text", r"[^\x21-\x7e\n]+", " "), F.lit(" with enough words in it")).alias("prompt"))
-    known = doc.join(P.read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.sha2("prompt", 256).alias("input_hash"), "doc_id")
-    todo = doc.join(known.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "prompt", F.lit("name").alias("name"), F.lit(1).alias("lines"))
-    return SEM.summarise(todo, known.where("false"), 1.0).select("id", "input_hash", "summary", "quality_score")
+    """All texts, those of labelled documents known already, summarised by the offline default: equal texts by one call."""
+    doc = P.read(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.concat(F.regexp_replace("text", r"[^\x21-\x7e\n]+", " "), F.lit(" with enough words in it")).alias("prompt"), F.lit("name").alias("name"), F.lit(1).alias("lines"))
+    known = doc.join(P.read(spark, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi").select(F.sha2("prompt", 256).alias("input_hash"))
+    return SUM.summarise(doc, f"{G.shared_folder(spark)}/summaries-{uuid.uuid4().hex}", 1.0, known=known).select("id", "input_hash", "summary", "quality_score", "calls")
 
 
 @query("WITH c AS (SELECT conv_id, turn, 'src/t' || turn || '.ts' AS path, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations) SELECT conv_id, path, body AS summary FROM c WHERE k <= 9")

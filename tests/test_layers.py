@@ -75,16 +75,6 @@ def test_semantic_layer(spark):
     assert col(SEM.split_batch_answer(F.lit(answer), F.array(F.lit("a.ts"), F.lit("none.ts"), F.lit("b.ts")))) == ["About a\nmore\n### b.ts: \nAbout b", "", "About b"]
     assert col(SEM.split_batch_answer(F.lit(answer), F.array(F.lit("a.ts"), F.lit("b.ts")))) == ["About a\nmore", "About b"]
     assert col(SEM.parse_plan(F.lit("no json"))) is None and col(SEM.parse_plan(F.lit('{"title": "T", "phases": []}'))) is None
-    asked = []
-
-    def model(prompt):
-        asked.append(prompt)
-        return ("helper" if "again" not in prompt else "A good answer of some words\nCONFIDENCE: 0.9", 0.5)
-
-    chunks = spark.createDataFrame([(1, "one again", "f", 1), (2, "two", "f", 1), (3, "known", "f", 1), (4, "never", "f", 1)], "id long, prompt string, name string, lines int")
-    known = chunks.where("id = 3").select(F.sha2("prompt", 256).alias("input_hash"))
-    got = {r["id"]: r for r in SEM.summarise(chunks, known, 0.1, model, price=0.01).collect()}
-    assert set(got) == {1, 2} and got[1]["quality_score"] == 0.9 and got[1]["cost"] == 0.5 and got[2]["demoted"] and got[2]["cost"] == 1.0
 
 
 def test_running_total_and_rollup(spark):
