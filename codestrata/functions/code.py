@@ -9,8 +9,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from codestrata.functions import parse
+from codestrata.functions.parse import Declaration
+
 Comment = tuple[str, str, int, int]
-Symbol = tuple[str, str, int, int, bool, str | None]
 
 
 def _block_comments(lines: list[str], opener: str, closer: str, kind: str) -> Iterator[Comment]:
@@ -66,64 +68,79 @@ def file_header(found: list[Comment]) -> str | None:
     return text
 
 
-_SCRIPT = [
-    ("function", re.compile(r"^\s*(?P<x>export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<n>[\w$]+)")),
-    ("function", re.compile(r"^\s*(?P<x>export\s+)?(?:const|let|var)\s+(?P<n>[\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)")),
-    ("class", re.compile(r"^\s*(?P<x>export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<n>[\w$]+)")),
-    ("interface", re.compile(r"^\s*(?P<x>export\s+)?interface\s+(?P<n>[\w$]+)")),
-    ("type", re.compile(r"^\s*(?P<x>export\s+)?type\s+(?P<n>[\w$]+)\s*(?:<[^=]*>)?\s*=")),
-    ("enum", re.compile(r"^\s*(?P<x>export\s+)?(?:const\s+)?enum\s+(?P<n>[\w$]+)")),
-    ("import", re.compile(r"^\s*import\b[^'\"]*['\"](?P<n>[^'\"]+)['\"]")),
-    ("export", re.compile(r"^\s*(?P<x>export)\s+(?:\*|\{[^}]*\})\s*from\s*['\"](?P<n>[^'\"]+)['\"]")),
-]
-_SHARP = [
-    ("class", re.compile(r"^\s*(?P<m>(?:\w+\s+)*)class\s+(?P<n>\w+)")),
-    ("interface", re.compile(r"^\s*(?P<m>(?:\w+\s+)*)interface\s+(?P<n>\w+)")),
-    ("enum", re.compile(r"^\s*(?P<m>(?:\w+\s+)*)enum\s+(?P<n>\w+)")),
-    ("import", re.compile(r"^\s*(?P<m>)using\s+(?:static\s+)?(?P<n>[\w.]+)\s*;")),
-    ("function", re.compile(r"^\s*(?P<m>(?:(?:public|private|protected|internal|static|async|override|virtual|sealed)\s+)+)[\w<>\[\],.?]+\s+(?P<n>\w+)\s*\(")),
-]
-
-
-def _end_of_block(lines: list[str], start: int) -> int:
-    depth, opened = 0, False
-    for i in range(start, len(lines)):
-        bare = re.sub(r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|`(?:\\.|[^`\\])*`|//.*", "", lines[i])
-        depth += bare.count("{") - bare.count("}")
-        opened = opened or "{" in bare
-        if opened and depth <= 0 or not opened and bare.rstrip().endswith(";"):
-            return i + 1
-    return len(lines)
-
-
-def symbols(text: str, language: str | None) -> list[Symbol]:
-    """(kind, name, first line, last line, exported, docstring) in line order."""
-    if language == "python":
-        try:
-            tree = ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError):
-            return []
-        out: list[Symbol] = []
-        for n in ast.walk(tree):
+def _python(text: str) -> list[Declaration]:
+    """Functions, classes and imports of Python in order; of a broken file what its parts give that parse."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return _python_parts(text)
+    lines, out = text.split("\n"), []
+
+    def walk(node: ast.AST) -> None:
+        for n in ast.iter_child_nodes(node):
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                out.append(("class" if isinstance(n, ast.ClassDef) else "function", n.name, n.lineno, n.end_lineno or n.lineno, not n.name.startswith("_"), ast.get_docstring(n)))
+                out.append(_python_definition(n, text, lines))
             elif isinstance(n, ast.Import):
-                out += [("import", a.name, n.lineno, n.end_lineno or n.lineno, False, None) for a in n.names]
-            elif isinstance(n, ast.ImportFrom):
-                out.append(("import", "." * n.level + (n.module or ""), n.lineno, n.end_lineno or n.lineno, False, None))
-        return sorted(out, key=lambda s: (s[2], s[1]))
-    patterns = _SHARP if language == "c_sharp" else _SCRIPT
-    lines, out, notes = text.split("\n"), [], {c[3]: c[1] for c in comments(text, language)}
-    for i, line in enumerate(lines):
-        for kind, p in patterns:
-            if m := p.match(line):
-                public = "public" in m["m"].split() if "m" in p.groupindex else bool(m.groupdict().get("x"))
-                end = i + 1 if kind in ("import", "export") else _end_of_block(lines, i)
-                out.append((kind, m["n"], i + 1, end, public, notes.get(i)))
+                out.append(Declaration("import", ast.get_source_segment(text, n) or "", n.lineno, n.end_lineno or n.lineno, False, None, ast.get_source_segment(text, n)))
+            elif isinstance(n, ast.ImportFrom) and n.module != "__future__":
+                out.append(Declaration("import", "." * n.level + (n.module or ""), n.lineno, n.end_lineno or n.lineno, False, None, ast.get_source_segment(text, n)))
+            walk(n)
+
+    walk(tree)
+    return sorted(out, key=lambda d: (d.start_line, -d.end_line))
+
+
+def _python_definition(n: ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef, text: str, lines: list[str]) -> Declaration:
+    first = n.body[0]
+    doc = None
+    if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
+        raw = ast.get_source_segment(text, first.value) or ""
+        doc = re.sub(r"(?:\"\"\"|'''|\"|')$", "", re.sub(r"^(?:\"\"\"|'''|\"|')", "", raw)).strip()
+    # the head is what stands before the body, without its colon
+    head = "\n".join([lines[n.lineno - 1].encode()[n.col_offset :].decode(), *lines[n.lineno : first.lineno]])
+    at = re.match(r"(?:async\s+)?(?:def|class)\s+\w+\s*(?:\[[^\]]*\])?", head)
+    rest, params = head[at.end() :] if at else "", ""
+    if rest.startswith("("):
+        depth, i, quote = 0, 0, ""
+        while i < len(rest):
+            c = rest[i]
+            if quote:
+                i += c == "\\"
+                quote = "" if c == quote else quote
+            elif c in "\"'":
+                quote = c
+            depth += (c in "([{") - (c in ")]}") if not quote else 0
+            i += 1
+            if not depth:
                 break
+        params = rest[:i]
+    kind = "class" if isinstance(n, ast.ClassDef) else "function"
+    returns = f" -> {ast.get_source_segment(text, n.returns)}" if kind == "function" and n.returns else ""
+    return Declaration(kind, n.name, n.lineno, n.end_lineno or n.lineno, not n.name.startswith("_"), doc, f"{'class' if kind == 'class' else 'def'} {n.name}{params}{returns}")
+
+
+def _python_parts(text: str) -> list[Declaration]:
+    """A broken file cut where a line begins at the margin: the parts that parse, and the first lines of those that don't."""
+    lines, out = text.split("\n"), []
+    cuts = [i for i, x in enumerate(lines) if x[:1].strip() and not x.startswith((")", "]", "}", "#", "else", "elif", "except", "finally"))]
+    for a, b in zip(cuts, [*cuts[1:], len(lines)], strict=True):
+        part = "\n".join(lines[a:b])
+        try:
+            ast.parse(part)
+        except (SyntaxError, ValueError, RecursionError):
+            if m := re.match(r"(?:async\s+)?(?P<k>def|class)\s+(?P<n>\w+)", part):
+                last = max((i for i in range(a, b) if lines[i].strip()), default=a)
+                out.append(Declaration("class" if m["k"] == "class" else "function", m["n"], a + 1, last + 1, not m["n"].startswith("_"), None, f"{m['k']} {m['n']}"))
+            continue
+        out += [d._replace(start_line=d.start_line + a, end_line=d.end_line + a) for d in _python(part)]
     return out
 
 
+def symbols(text: str, language: str | None) -> list[Declaration]:
+    """(kind, name, first line, last line, exported, docstring, signature) in order (K1-K5)."""
+    return _python(text) if language == "python" else parse.sharp(text) if language == "c_sharp" else parse.script(text)
+
+
 _CALLS = re.compile(r"\b(?:import|require)\s*\(\s*['\"]([^'\"]+)['\"]\s*\)")
 
 
@@ -133,9 +150,6 @@ def imports(text: str, language: str | None) -> list[tuple[str, str]]:
     return out + ([("call", x) for x in _CALLS.findall(text)] if language not in ("python", "c_sharp") else [])
 
 
-_BRANCH = re.compile(r"\b(?:if|for|foreach|while|case|catch|elif|except|else(?!\s+if))\b|&&|\|\||\?\?(?!=)|\band\b|\bor\b|\?(?![.?:])(?=[^:\n]*:)")
-
-
 def complexity(text: str, language: str | None) -> int:
     """1 and the number of decisions outside strings and comments (K7)."""
     if language == "python":
@@ -143,18 +157,16 @@ def complexity(text: str, language: str | None) -> int:
             tree = ast.parse(text)
         except (SyntaxError, ValueError, RecursionError):
             return 1
-        kinds = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case)
+        kinds = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp)
         return 1 + sum(isinstance(n, kinds) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in ast.walk(tree))
-    bare = re.sub(r"/\*.*?\*/|//[^\n]*|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", " ", text, flags=re.S)
-    words = _BRANCH.findall(bare)
-    return 1 + sum(w not in ("and", "or") for w in words)
+    return parse.decisions(text, language == "c_sharp")
 
 
 def extract(files: DataFrame, what: str) -> DataFrame:
     """Rows of ``what`` (comments, symbols, imports, complexity) for files (path, content, language)."""
     schemas = {
         "comments": "path string, kind string, text string, start_line int, end_line int",
-        "symbols": "path string, kind string, name string, start_line int, end_line int, exported boolean, docstring string",
+        "symbols": "path string, kind string, name string, start_line int, end_line int, exported boolean, docstring string, signature string",
         "imports": "path string, kind string, specifier string",
         "complexity": "path string, complexity int",
     }

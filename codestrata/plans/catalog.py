@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from codestrata.functions import code as K
@@ -600,6 +602,45 @@ def symbols_and_complexity(spark, d):
     return K.extract(src, "symbols").join(K.extract(src, "complexity"), "path").select(F.col("path").cast("long").alias("path"), "name", "complexity")
 
 
+#: A source of each language around a document's text; {t} is the text as comment lines, {f} the id, {m} a number of lines that only look like code.
+_SOURCES = (
+    ("typescript", """/*\n{t}\n*/\nimport {{ a }} from "./{f}";\nexport function f{f}(x: {{ y: string }}): void {{\n  const inner{f} = (q) => {{\n    return `}} ${{q ? "{{" : 1}}`;\n  }};\n}}\n{m}class C{f} extends B {{ m() {{ if (/[{{/]/.test(a) && b) {{}} }} }}\n""", "const s = \"class X {\"; // enum Y {\n"),
+    ("python", "# {t}\nimport os, sys\n@wrap\ndef g{f}(a, b=')'):\n    def _h{f}(): pass\n    return a if b and a else 1\n{m}class P{f}(B):\n    pass\n", "x = 'def no():' # class no\n"),
+    ("c_sharp", "/*\n{t}\n*/\nusing System.Text;\nnamespace N {{\npublic class K{f} : B {{\n{m}    public int Go{f}(string s) {{\n        switch (s) {{ case \"}}\": case \"b\": return 1; default: return s == null ? 2 : 3; }}\n    }}\n}}\n}}\n", "    string v = @\"\"\"class X {\";\n"),
+)
+_SOURCE_ROWS = """WITH d AS (SELECT doc_id AS id, doc_id % 3 AS l, doc_id % 5 AS m, length(text) - length(replace(text, chr(10), '')) AS n FROM documents WHERE text IS NOT NULL),
+r AS (
+  SELECT id, 'import' AS kind, './' || id AS name, n + 4 AS a, n + 4 AS b, false AS exported, 'import { a } from "./' || id || '";' AS signature, 4 AS complexity FROM d WHERE l = 0
+  UNION ALL SELECT id, 'function', 'f' || id, n + 5, n + 9, true, 'function f' || id || '(x: { y: string }): : void', 4 FROM d WHERE l = 0
+  UNION ALL SELECT id, 'function', 'inner' || id, n + 6, n + 8, false, 'const inner' || id || ' = (q) => ...', 4 FROM d WHERE l = 0
+  UNION ALL SELECT id, 'class', 'C' || id, n + 10 + m, n + 10 + m, false, 'class C' || id || ' extends B', 4 FROM d WHERE l = 0
+  UNION ALL SELECT id, 'import', 'import os, sys', n + 2, n + 2, false, 'import os, sys', 3 FROM d WHERE l = 1
+  UNION ALL SELECT id, 'function', 'g' || id, n + 4, n + 6, true, 'def g' || id || '(a, b='')'')', 3 FROM d WHERE l = 1
+  UNION ALL SELECT id, 'function', '_h' || id, n + 5, n + 5, false, 'def _h' || id || '()', 3 FROM d WHERE l = 1
+  UNION ALL SELECT id, 'class', 'P' || id, n + 7 + m, n + 8 + m, true, 'class P' || id || '(B)', 3 FROM d WHERE l = 1
+  UNION ALL SELECT id, 'import', 'System.Text', n + 4, n + 4, false, 'using System.Text;', 4 FROM d WHERE l = 2
+  UNION ALL SELECT id, 'class', 'K' || id, n + 6, n + 10 + m, true, 'class K' || id, 4 FROM d WHERE l = 2
+  UNION ALL SELECT id, 'function', 'Go' || id, n + 7 + m, n + 9 + m, true, 'int Go' || id || '(string s)', 4 FROM d WHERE l = 2
+) SELECT id, kind, name, a::INT AS start_line, b::INT AS end_line, exported, signature, complexity::INT AS complexity FROM r"""
+
+
+@query(_SOURCE_ROWS)
+def source_symbols(spark, d):
+    """Declarations and complexity of a source of many lines around every document's text, in three languages (K1-K4, K7)."""
+    doc = P.read(spark, d, "documents").where("text is not null")
+    said = F.replace(F.regexp_replace("text", r"[^\x20-\x7e\n]", " "), F.lit("*/"), F.lit("* "))
+    content, language = F.lit(""), F.lit("")
+    for i, (name, body, filler) in enumerate(_SOURCES):
+        parts = body.replace("{{", "\x01").replace("}}", "\x02")
+        values = {"t": F.replace(said, F.lit("\n"), F.lit("\n# ")) if name == "python" else said, "f": F.col("doc_id").cast("string"), "m": F.repeat(F.lit(filler), (F.col("doc_id") % 5).cast("int"))}
+        bits = [values[x[1]] if x in ("{t}", "{f}", "{m}") else F.lit(x.replace("\x01", "{").replace("\x02", "}")) for x in re.split(r"(\{[tfm]\})", parts)]
+        mine = F.col("doc_id") % 3 == i
+        content, language = F.when(mine, F.concat(*bits)).otherwise(content), F.when(mine, F.lit(name)).otherwise(language)
+    src = doc.select(F.col("doc_id").cast("string").alias("path"), content.alias("content"), language.alias("language"))
+    found = K.extract(src, "symbols").join(K.extract(src, "complexity"), "path")
+    return found.select(F.col("path").cast("long").alias("id"), "kind", "name", "start_line", "end_line", "exported", "signature", "complexity")
+
+
 # --- composed contexts
 
 _CUT = "SELECT heading, CAST(priority AS INT) AS priority, CASE WHEN tokens <= {b} - before THEN content ELSE substr(content, 1, CAST(({b} - before) * 4 AS BIGINT)) || chr(10) || chr(10) || '*(truncated)*' END AS content, CAST(least(tokens, {b} - before) AS BIGINT) AS tokens, tokens > {b} - before AS truncated FROM (SELECT *, coalesce(sum(tokens) OVER (ORDER BY priority, heading ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT heading, priority, content, ceil(length(content) / 4.0) AS tokens FROM (SELECT heading, priority, string_agg(content, chr(10) || chr(10) ORDER BY relevance DESC, ord, content) AS content FROM items GROUP BY ALL))) WHERE before < {b}"
