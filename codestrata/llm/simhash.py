@@ -15,11 +15,15 @@ Pairs with equal segments and three differences in the other one share a one-wil
 a centre of the rest.  So the work on a crowded key is linear in its members and no link is lost.
 
 A scheme says what is hashed.  :data:`NARROW` is one 64-bit fingerprint of three-word shingles, linked at
-three bits.  :data:`WIDE` links texts whose five-word shingles are similar (Jaccard) by 0.8 or more: a
-fingerprint of 512 bits is compared, on which that similarity is 77 differing bits in the mean, and
-candidates come from a second one of 256 bits of two-word shingles, of which an edited word touches
-fewer.  It is cut into eight segments; a wildcard covers four neighbouring bits, so that a segment with
-one differing bit, or with several in one wildcard, agrees, and there are 64 keys again.
+three bits.  :data:`WIDE` links texts whose five-word shingles are similar (Jaccard) by 0.8 or more.
+Candidates come from a fingerprint of 256 bits of two-word shingles, of which an edited word touches few.
+It is cut into eight segments; a wildcard covers four neighbouring bits, so that a segment with one
+differing bit, or with several in one wildcard, agrees, and there are 64 keys again.  Candidates are compared on a
+second fingerprint of 512 bits of five-word shingles, on which a similarity of 0.8 is 77 differing bits in the
+mean, with a deviation of 8.  Up to ``sure`` bits, four deviations below, are a link; up to ``bits``, more than two
+above, are verified by the exact similarity of the two sets of shingles; more are none.  On a crowded
+key the sure links are followed first, and the groups that they make are then joined by their nearest
+members that are not sure (Boruvka's steps, three edges a group and step), which are verified as well.
 
 Defined results: null text counts as empty and has fingerprint zero; a document of fewer words than a
 shingle has one shingle; a row with null id keeps its fingerprint and forms its own component (null).
@@ -148,11 +152,16 @@ def _stars(members: DataFrame, keys: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Wide:
-    """Fingerprints of ``lanes`` x 64 bits over ``words``-word shingles, found by an index over ``index_words``."""
+    """Fingerprints of ``lanes`` x 64 bits over ``words``-word shingles, found by an index over ``index_words``.
+
+    Up to ``sure`` differing bits are a link, up to ``bits`` one if the exact similarity is ``least`` or more.
+    """
 
     words: int = 5
     lanes: int = 8
-    bits: int = 85
+    bits: int = 95
+    sure: int = 45
+    least: float = 0.8
     index_words: int = 2
     index_lanes: int = 4
 
@@ -218,25 +227,64 @@ def wide_fingerprints(df: DataFrame, scheme: Wide = WIDE, text: str = "text", in
     return small_batches(df).withColumn(into, lanes(F.col(text)))
 
 
-def wide_spanning_links(ids: np.ndarray, lanes: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Edges between ids that connect what pairs at most ``bits`` apart connect."""
-    edges: list[tuple[int, int]] = []
-    lanes = lanes.view(np.uint64)  # of signed numbers the bits of the absolute value would be counted
-    rest = np.arange(len(ids))
+def shingle_sets(df: DataFrame, words: int, text: str = "text", into: str = "shingles") -> DataFrame:
+    """Adds the distinct shingles of each whole text, as sorted hashes of 64 bits."""
+
+    @F.pandas_udf("array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for t in batch.fillna(""):
+                w = t.encode("utf-8", "replace").lower().split()
+                parts = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+                out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 7) for x in parts), dtype=np.uint64)).view(np.int64))
+            yield pd.Series(out, dtype=object)
+
+    return df.withColumn(into, sets(F.col(text)))
+
+
+def wide_spanning_links(ids: np.ndarray, lanes: np.ndarray, sure: int, bits: int, each: int = 3) -> list[tuple[int, int, int]]:
+    """Edges (id, id, differing bits): those that connect what sure pairs connect, then the nearest between the groups."""
+    order = np.argsort(ids)  # every key searches from the smallest id on, so keys of one family give the same edges
+    ids, lanes = ids[order], lanes[order].view(np.uint64)  # of signed numbers the bits of the absolute value would be counted
+    apart = lambda x, of: np.bitwise_count(lanes[of] ^ lanes[x]).sum(axis=1, dtype=np.int64)
+    edges: list[tuple[int, int, int]] = []
+    group, rest = np.arange(len(ids)), np.arange(len(ids))
     while len(rest):
         stack, rest = [rest[0]], rest[1:]
+        root = stack[0]
         while stack and len(rest):
             x = stack.pop()
-            near = np.bitwise_count(lanes[rest] ^ lanes[x]).sum(axis=1, dtype=np.int64) <= bits
+            d = apart(x, rest)
+            near = d <= sure
             if near.any():
-                edges += [(int(ids[y]), int(ids[x])) for y in rest[near]]
+                edges += [(int(ids[y]), int(ids[x]), int(n)) for y, n in zip(rest[near], d[near], strict=True)]
+                group[rest[near]] = root
                 stack += rest[near].tolist()
                 rest = rest[~near]
-    return edges
+    everyone = np.arange(len(ids))
+    while True:
+        roots, sizes = np.unique(group, return_counts=True)
+        if len(roots) < 2:
+            return edges
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for x in everyone[group != roots[sizes.argmax()]]:
+            d = apart(x, everyone)
+            d[group == group[x]] = bits + 1
+            for y in np.argsort(d, kind="stable")[:each]:
+                if d[y] <= bits:
+                    found.setdefault(int(group[x]), []).append((int(d[y]), int(x), int(y)))
+        if not found:
+            return edges
+        for near in found.values():
+            near.sort()
+            edges += [(int(ids[x]), int(ids[y]), n) for n, x, y in near[:each]]
+            _, x, y = near[0]
+            group[group == group[x]] = group[y]
 
 
 def wide_links(distinct: DataFrame, scheme: Wide = WIDE, crowd: int = CROWD, pairs_up_to: int = PAIRS) -> DataFrame:
-    """Edges (x, y) between rows (fp, lanes) of ``distinct`` whose compared lanes differ in at most ``scheme.bits``.
+    """Edges (x, y, apart) between rows (fp, lanes) of ``distinct`` whose compared lanes differ in ``apart``, at most ``scheme.bits``.
 
     Candidates share a key of the index.  Keys of up to ``crowd`` members are verified in pairs or
     searched as one group; more members are dealt into blocks of half that size, and every two blocks
@@ -254,7 +302,7 @@ def wide_links(distinct: DataFrame, scheme: Wide = WIDE, crowd: int = CROWD, pai
     pairs = shared.where("n = 2").select("x", "y").unionByName(pairs).distinct()
     side = lambda name: distinct.select(F.col("fp").alias(name), F.struct(*compared).alias(f"l{name}"))
     apart = sum((F.bit_count(F.col(f"lx.{c}").bitwiseXOR(F.col(f"ly.{c}"))) for c in compared[1:]), F.bit_count(F.col(f"lx.{compared[0]}").bitwiseXOR(F.col(f"ly.{compared[0]}"))))
-    verified = pairs.join(side("x"), "x").join(side("y"), "y").where(apart <= scheme.bits).select("x", "y")
+    verified = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", apart.alias("apart")).where(F.col("apart") <= scheme.bits)
     large = more.where(F.col("n") > pairs_up_to).join(distinct.select("fp", *compared), "fp")
     blocks = F.when(F.col("n") > crowd, F.ceil(F.col("n") / F.lit(max(1, crowd // 2)))).otherwise(1).cast("int")
     large = large.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
@@ -262,10 +310,24 @@ def wide_links(distinct: DataFrame, scheme: Wide = WIDE, crowd: int = CROWD, pai
     large = large.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(wide_spanning_links(g["fp"].to_numpy(), np.ascontiguousarray(g[compared].to_numpy(np.int64)), scheme.bits), columns=["x", "y"], dtype="int64")
+        return pd.DataFrame(wide_spanning_links(g["fp"].to_numpy(), np.ascontiguousarray(g[compared].to_numpy(np.int64)), scheme.sure, scheme.bits), columns=["x", "y", "apart"], dtype="int64")
+
+    searched = large.groupBy("key", "i", "j").applyInPandas(search, "x long, y long, apart long")
+    edges = verified.select("x", "y", F.col("apart").cast("long").alias("apart")).unionByName(searched)
+    return edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "apart").distinct()
 
-    searched = large.groupBy("key", "i", "j").applyInPandas(search, "x long, y long")
-    return verified.unionByName(searched).distinct()
+
+def verified_links(edges: DataFrame, texts: DataFrame, scheme: Wide = WIDE) -> DataFrame:
+    """The edges (x, y) that are links: sure ones, and the others by exact similarity; ``texts`` is (fp, text)."""
+    edges = cut(edges)
+    doubtful = edges.where(F.col("apart") > scheme.sure).select("x", "y")
+    ends = doubtful.select(F.col("x").alias("fp")).union(doubtful.select("y")).distinct()
+    sets = cut(shingle_sets(texts.join(ends, "fp", "left_semi"), scheme.words).select("fp", "shingles"))
+    side = lambda name: sets.select(F.col("fp").alias(name), F.col("shingles").alias(f"{name}_set"))
+    both = F.size(F.array_intersect("x_set", "y_set"))
+    alike = both / (F.size("x_set") + F.size("y_set") - both) >= scheme.least
+    exact = doubtful.join(side("x"), "x").join(side("y"), "y").where(alike).select("x", "y")
+    return edges.where(F.col("apart") <= scheme.sure).select("x", "y").unionByName(exact)
 
 
 def _classes(distinct: DataFrame, edges: DataFrame) -> DataFrame:
@@ -296,9 +358,14 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scheme:
     rows = rows.where("doc_id is not null").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "sig.*")
     rows = cut(rows.withColumn("fp", F.xxhash64(*scheme.columns)))
     distinct = cut(rows.groupBy("fp").agg(*(F.max(c).alias(c) for c in scheme.columns)))
-    labels = _classes(distinct.select("fp"), wide_links(distinct, scheme, **tiers))
-    first = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("first")).join(labels, "fp").groupBy("label").agg(F.min("first").alias("first"))
-    first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th"))
+    one = cut(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("first")))
     named = df.where(F.col(doc_id).isNotNull())
+    # a text for each fingerprint, read only for those that have an edge to verify
+    own = named.select(F.col(doc_id).alias("i"), th.alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = own.join(one, (F.col("i") == F.col("first.doc_id")) & (F.col("h") == F.col("first.th"))).select("fp", "text")
+    edges = cut(verified_links(wide_links(distinct, scheme, **tiers), texts, scheme))
+    labels = _classes(distinct.select("fp"), edges)
+    first = one.join(labels, "fp").groupBy("label").agg(F.min("first").alias("first"))
+    first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th"))
     kept = named.withColumn("__own", th).join(first, (F.col(doc_id) == F.col("__id")) & (F.col("__own") == F.col("__th")), "left_semi")
     return kept.dropDuplicates([doc_id, "__own"]).drop("__own").unionByName(df.where(F.col(doc_id).isNull()))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -446,19 +447,25 @@ def test_groups_of_odd_rows(spark):
     assert simhash.groups(empty(spark)).count() == 0
 
 
+@lru_cache(maxsize=None)
+def shingles(text, n):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
 def shingle_jaccard(a, b, n=5):
-    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split()))
+    x, y = shingles(a, n), shingles(b, n)
     return len(x & y) / len(x | y)
 
 
-def edited_families(rng, families=40, copies=6):
+def edited_families(rng, families=110, copies=6):
     out = []
     for f in range(families):
         words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([60, 150, 400]))]
         out.append(" ".join(words))
         for _ in range(copies - 1):
             own = list(words)
-            for _ in range(rng.randrange(0, max(2, len(words) // 40))):
+            for _ in range(rng.randrange(0, max(3, len(words) // 30))):
                 own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
             out.append(" ".join(own))
     return out
@@ -468,12 +475,13 @@ def edited_families(rng, families=40, copies=6):
 def test_wide_links_find_five_word_similarity(spark, pairs_up_to, crowd):
     texts = sorted(set(edited_families(random.Random(5))))
     rows = simhash.wide_fingerprints(spark.createDataFrame(list(enumerate(texts)), "fp long, text string")).select("fp", "sig.*")
-    got = {tuple(sorted((r["x"], r["y"]))) for r in simhash.wide_links(rows, crowd=crowd, pairs_up_to=pairs_up_to).collect()}
+    edges = simhash.wide_links(rows, crowd=crowd, pairs_up_to=pairs_up_to)
+    got = {tuple(sorted((r["x"], r["y"]))) for r in simhash.verified_links(edges, spark.createDataFrame(list(enumerate(texts)), "fp long, text string")).collect()}
     near = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if shingle_jaccard(texts[i], texts[j]) >= 0.8}
     comp = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame([*got, (0, 0)], "x long, y long")).collect()}
     joined = [comp.get(i, i) == comp.get(j, j) for i, j in near]
-    assert len(near) > 100 and np.mean(joined) >= 0.9
-    assert all(shingle_jaccard(texts[i], texts[j]) > 0.6 for i, j in got)
+    assert len(near) >= 300 and np.mean(joined) >= 0.9
+    assert all(shingle_jaccard(texts[i], texts[j]) >= 0.8 for i, j in got)
 
 
 def test_keep_one_judges_rows_not_ids(spark):
