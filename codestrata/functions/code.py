@@ -146,8 +146,11 @@ _CALLS = re.compile(r"\b(?:import|require)\s*\(\s*['\"]([^'\"]+)['\"]\s*\)")
 
 def imports(text: str, language: str | None) -> list[tuple[str, str]]:
     """(kind, specifier): import for declarations and re-exports, call for import() and require() anywhere (K6)."""
-    out = [("import", name) for kind, name, *_ in symbols(text, language) if kind in ("import", "export")]
-    return out + ([("call", x) for x in _CALLS.findall(text)] if language not in ("python", "c_sharp") else [])
+    if language == "python":  # each name of a declaration is a dependency of its own
+        names = (re.findall(r"[\w.]+", re.sub(r"\s+as\s+\w+", "", d.name.removeprefix("import "))) if d.name.startswith("import ") else [d.name] for d in symbols(text, language) if d.kind == "import")
+        return [("import", x) for own in names for x in own]
+    out = [("import", d.name) for d in symbols(text, language) if d.kind in ("import", "export")]
+    return out + ([("call", x) for x in _CALLS.findall(text)] if language != "c_sharp" else [])
 
 
 def complexity(text: str, language: str | None) -> int:

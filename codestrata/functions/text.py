@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -47,6 +48,27 @@ def is_test(path: Column) -> Column:
     return path.rlike(r"\.(test|spec)\.|__tests__|/test/|/tests/|_test\.(py|go)$")
 
 
+# Endings and parts of lower-case paths by which the index flags files.
+DOC_ENDS, DOC_PARTS = (".md", ".rst", ".txt", ".adoc"), ("readme", "changelog", "contributing")
+TEST_ENDS, TEST_PARTS = ("_test.py", "_test.go"), (".test.", ".spec.", "__tests__", "/test/", "/tests/")
+CONFIG_ENDS, CONFIG_PARTS = (".json", ".yaml", ".yml", ".toml", ".ini", ".env", ".config.js", ".config.ts"), ("tsconfig", "package.json")
+
+
+def file_flags(path: Column) -> Column:
+    """struct(is_doc, is_test, is_config) of an indexed path, in any case of letters (C11).
+
+    These are the flags of the file table; :func:`is_doc` chooses what the documentation layer reads, and
+    :func:`is_test` what ranking lowers.
+    """
+    low = F.lower(path)
+
+    def flag(ends: tuple[str, ...], parts: tuple[str, ...]) -> Column:
+        tests = [low.endswith(e) for e in ends] + [F.contains(low, F.lit(p)) for p in parts]
+        return reduce(lambda a, b: a | b, tests)
+
+    return F.struct(flag(DOC_ENDS, DOC_PARTS).alias("is_doc"), flag(TEST_ENDS, TEST_PARTS).alias("is_test"), flag(CONFIG_ENDS, CONFIG_PARTS).alias("is_config"))
+
+
 def commit_tickets(message: Column) -> Column:
     """Distinct ticket ids of a message, in order."""
     return F.array_distinct(F.regexp_extract_all(message, F.lit(r"\b([A-Z]{2,10}-\d+|AB#\d+)\b"), 1))

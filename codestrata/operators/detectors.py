@@ -80,10 +80,29 @@ def _path_of(evidence: Column, at: str) -> Column:
     return F.coalesce(*(F.nullif(text(k), F.lit("")) for k in ("filePath", "file", "path", "sourceFilePath")), text("filePaths[0]"))
 
 
-def primary_file(evidence: Column, depth: int = 8) -> Column:
-    """The path that evidence (JSON text) is about; of an array the first ``depth`` elements are asked."""
+def _objects_in(array: Column) -> Column:
+    """The texts of the objects in a JSON array, in order, through nested arrays of any depth and length."""
+    marks = F.regexp_extract_all(array, F.lit(r'(?s)[^"\\{}]*(?:\\.|["{}\\])'), F.lit(0))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit("").alias("own"), F.array().cast("array<string>").alias("found"))
+
+    def step(s: Column, m: Column) -> Column:
+        mark = F.right(m, F.lit(1))
+        pair = (F.char_length(m) > 1) & (F.substring(m, -2, 1) == "\\")
+        quote, brace = (mark == '"') & ~pair, mark.isin("{", "}") & ~pair & ~s["quoted"]
+        depth = s["depth"] + F.when(brace, F.when(mark == "{", 1).otherwise(-1)).otherwise(0)
+        opens, closes = brace & (s["depth"] == 0), brace & (depth == 0)
+        own = F.when(opens, F.lit("{")).when(s["depth"] > 0, F.concat(s["own"], m)).otherwise("")
+        return F.struct(depth.alias("depth"), F.when(quote, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), own.alias("own"), F.when(closes, F.concat(s["found"], F.array(own))).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(marks, zero, step)["found"]
+
+
+def primary_file(evidence: Column) -> Column:
+    """The path that evidence (JSON text) is about; of an array the first element, nested ones included, that has one."""
     v = F.try_parse_json(evidence)
-    return F.coalesce(_path_of(v, "$"), *(_path_of(v, f"$[{i}]") for i in range(depth)))
+    whole = F.schema_of_variant(v)
+    inside = F.filter(F.transform(_objects_in(evidence), lambda o: _path_of(F.try_parse_json(o), "$")), lambda p: p.isNotNull())
+    return F.when(whole.startswith("ARRAY"), F.get(inside, F.lit(0))).otherwise(_path_of(v, "$"))
 
 
 def fingerprint(category: Column, primary: Column, severity: Column) -> Column:

@@ -69,18 +69,62 @@ def dirty_modules(dirty: DataFrame) -> DataFrame:
     return m.union(dirty.limit(1).select(F.lit("system").alias("level"), F.lit("system:project").alias("target_id")))
 
 
+#: Items of a piece that one task folds.
+PIECE = 4096
+
+
 def batches(items: DataFrame, group: str, largest: int = 10, chars: int = 16000) -> DataFrame:
-    """Greedy batches of (group, ord, id, size): at most ``largest`` items and ``chars`` characters (H8)."""
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        out, no, count, total = [], 0, 0, 0
-        for r in g.sort_values("ord").itertuples(index=False):
-            if count and (count >= largest or total + r.size > chars):
-                no, count, total = no + 1, 0, 0
-            count, total = count + 1, total + r.size
-            out.append((getattr(r, group), r.ord, r.id, no))
-        return pd.DataFrame(out, columns=[group, "ord", "id", "batch"])
+    """Greedy batches of (group, ord, id, size): at most ``largest`` items and ``chars`` characters (H8).
+
+    A batch begins where the one before ends, so the fold is sequential; but after the first break in a piece of
+    ``PIECE`` items the rest depends on where that break is, and it is among the first ``largest`` items.  Each
+    piece tells for every such place how many batches follow and what is left open; these are chained over a
+    group's pieces, and then all pieces are folded at once.  Equal ``ord`` are ordered by id.
+    """
+    from codestrata.operators.graph import _cut
+
     kind = dict(items.dtypes)
-    return items.select(group, "ord", "id", "size").groupBy(group).applyInPandas(fold, f"{group} {kind[group]}, ord {kind['ord']}, id {kind['id']}, batch long")
+    keys = [F.col(group), F.col("ord"), F.col("id")]
+    rows = items.select(group, "ord", "id", F.col("size").cast("long").alias("size"))
+    # written once, as places depend on how the rows were dealt
+    rows = _cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    pieces = rows.groupBy(group, F.floor(F.col("at") / PIECE).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("at", "ord", "id", "size"))).alias("items"))
+
+    def fold(sizes, count: int = 0, total: int = 0, no: int = 0) -> tuple[list[int], int, int, int]:
+        out = []
+        for size in sizes:
+            if count and (count >= largest or total + size > chars):
+                no, count, total = no + 1, 0, 0
+            count, total = count + 1, total + int(size)
+            out.append(no)
+        return out, count, total, no
+
+    @F.pandas_udf("array<array<long>>")
+    def told(sizes: pd.Series) -> pd.Series:
+        return pd.Series([[list(map(int, s[:largest]))] + [list(fold(s[p:])[1:]) for p in range(min(largest, len(s)))] for s in sizes], dtype=object)
+
+    def chain(g: pd.DataFrame) -> pd.DataFrame:
+        out, no, count, total = [], 0, 0, 0
+        for piece, facts in sorted(zip(g["piece"], g["told"], strict=True)):
+            out.append((g[group].iloc[0], piece, no, count, total))
+            first, *after = facts
+            for p, size in enumerate(first):
+                if count and (count >= largest or total + size > chars):
+                    count, total, more = (int(x) for x in after[p])
+                    no += 1 + more
+                    break
+                count, total = count + 1, total + int(size)
+        return pd.DataFrame(out, columns=[group, "piece", "no", "count", "total"])
+
+    @F.pandas_udf("array<long>")
+    def numbered(sizes: pd.Series, count: pd.Series, total: pd.Series, no: pd.Series) -> pd.Series:
+        return pd.Series([fold(*x)[0] for x in zip(sizes, count, total, no, strict=True)], dtype=object)
+
+    facts = pieces.select(group, "piece", told(F.col("items.size")).alias("told"))
+    carried = facts.groupBy(group).applyInPandas(chain, f"{group} {kind[group]}, piece long, no long, count long, total long").withColumnRenamed(group, "__g").withColumnRenamed("piece", "__p")
+    both = pieces.join(carried, F.col(group).eqNullSafe(F.col("__g")) & (F.col("piece") == F.col("__p")))
+    each = both.select(group, F.explode(F.arrays_zip("items", numbered(F.col("items.size"), F.col("count"), F.col("total"), F.col("no")).alias("batch"))).alias("x"))
+    return each.select(group, F.col("x.items.ord").alias("ord"), F.col("x.items.id").alias("id"), F.col("x.batch").alias("batch"))
 
 
 def claim_next(jobs: DataFrame, k: int = 1) -> DataFrame:

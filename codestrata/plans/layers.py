@@ -13,6 +13,7 @@ from codestrata.operators import assemble as A
 from codestrata.operators import detectors as D
 from codestrata.operators import graph as G
 from codestrata.operators import incremental as I
+from codestrata.operators import match as M
 from codestrata.operators import runs as U
 from codestrata.operators import summaries as SUM
 from codestrata.operators import vector as V
@@ -214,6 +215,65 @@ def call_costs(spark, d):
     return doc.select("doc_id", SEM.cost(F.floor(F.col("n_chars") / 4), F.col("doc_id") % 500, 3.0, 15.0).alias("cost"))
 
 
+# --- flags, containment, batches
+
+_FLAGGED = "(SELECT doc_id AS id, (['src/' || source || '.MD', 'a.rst', 'docs.txt', 'b.adoc', 'src/readme-parser.ts', 'CHANGELOG', 'x/Contributing.html', 'X.TEST.ts', 'a.spec.js', 'p/__tests__/q.ts', 'p/test/q.ts', 'p/Tests/q.ts', 'm_test.py', 'm_TEST.go', 'c.json', 'c.yaml', 'c.yml', 'c.toml', 'c.ini', '.env', 'v.config.js', 'v.config.ts', 'TSConfig.base', 'package.json5', 'src/' || source || '.ts'])[(doc_id % 25) + 1] AS path FROM documents)"
+
+
+@query(f"SELECT id, regexp_matches(lower(path), '(\\.(md|rst|txt|adoc)$)|readme|changelog|contributing') AS is_doc, regexp_matches(lower(path), '\\.test\\.|\\.spec\\.|__tests__|/tests?/|_test\\.(py|go)$') AS is_test, regexp_matches(lower(path), '\\.(json|ya?ml|toml|ini|env|config\\.[jt]s)$|tsconfig|package\\.json') AS is_config FROM {_FLAGGED}")
+def file_flags(spark, d):
+    """Flags of paths that meet every ending and part (C11)."""
+    s = F.col("source")
+    paths = [F.concat(F.lit("src/"), s, F.lit(".MD")), *map(F.lit, ("a.rst", "docs.txt", "b.adoc", "src/readme-parser.ts", "CHANGELOG", "x/Contributing.html", "X.TEST.ts", "a.spec.js", "p/__tests__/q.ts", "p/test/q.ts", "p/Tests/q.ts", "m_test.py", "m_TEST.go", "c.json", "c.yaml", "c.yml", "c.toml", "c.ini", ".env", "v.config.js", "v.config.ts", "TSConfig.base", "package.json5")), F.concat(F.lit("src/"), s, F.lit(".ts"))]
+    f = P.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.element_at(F.array(*paths), (F.col("doc_id") % 25 + 1).cast("int")).alias("path"))
+    return f.select("id", T.file_flags(F.col("path")).alias("f")).select("id", "f.*")
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'deep' || user_id WHEN event_id % 3 = 1 THEN 'b}' || user_id END AS primary_file FROM events")
+def nested_evidence(spark, d):
+    """Evidence in nested and long arrays: the path stands in the ninth element and later, two arrays deep, or nowhere."""
+    k, u = F.col("event_id") % 3, F.col("user_id").cast("string")
+    empty = F.array_join(F.array_repeat(F.lit('{"n": "]"}'), (8 + F.col("event_id") % 7).cast("int")), ", ")
+    deep = F.concat(F.lit("["), empty, F.lit(', [[], [{"path": ""}, {"file": "deep'), u, F.lit('"}]]]'))
+    braces = F.concat(F.lit('[[{"m": {"path": "inner"}}], {"path": "b}'), u, F.lit('"}]'))
+    return P.read(spark, d, "events").select(F.col("event_id").alias("id"), D.primary_file(F.when(k == 0, deep).when(k == 1, braces).otherwise(F.lit('[1, "path", null, {"path": 3}]'))).alias("primary_file"))
+
+
+_NEEDLES = "(SELECT DISTINCT '\"k\": ' || (user_id % 90) AS pattern FROM events UNION SELECT DISTINCT event_type || ' on ' || user_id FROM events UNION SELECT DISTINCT 'on ' || (user_id % 12) FROM events)"
+_HAY = "(SELECT event_id AS id, props || ' ' || event_type || ' on ' || user_id AS text FROM events)"
+
+
+@query(f"SELECT id, pattern FROM {_HAY} JOIN {_NEEDLES} ON contains(text, pattern)")
+def texts_containing(spark, d):
+    """Which of many overlapping patterns each text holds, as substrings."""
+    e, u = P.read(spark, d, "events"), F.col("user_id")
+    n = lambda c: c.cast("string")
+    needles = e.select(F.explode(F.array(F.concat(F.lit('"k": '), n(u % 90)), F.concat("event_type", F.lit(" on "), n(u)), F.concat(F.lit("on "), n(u % 12)))).alias("pattern"))
+    return M.containing(e.select(F.col("event_id").alias("id"), F.concat("props", F.lit(" "), "event_type", F.lit(" on "), n(u)).alias("text")), needles)
+
+
+@query("SELECT t.term, s.source || '/' || s.doc_id AS path FROM documents s JOIN (SELECT DISTINCT lower(substr(p_name, 1, 3 + p_partkey % 3)) AS term FROM part WHERE p_partkey % 9 <> 8 UNION SELECT lower(substr(p_name, 1, 2)) FROM part) t ON contains(lower(s.text), t.term)")
+def term_search(spark, d):
+    """Documents that hold a term, by a table of the parts of three characters."""
+    docs = P.read(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    part = P.read(spark, d, "part")
+    long = part.where("p_partkey % 9 <> 8").select(F.substring(F.col("p_name"), F.lit(1), (3 + F.col("p_partkey") % 3).cast("int")).alias("term"))
+    return M.term_hits(M.postings(docs), docs, long.union(part.select(F.substring("p_name", 1, 2))))
+
+
+@query("""WITH RECURSIVE i AS (SELECT l_suppkey AS grp, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS k, CAST(l_quantity * 100 AS BIGINT) AS size FROM lineitem),
+f AS (SELECT grp, k, size, CAST(0 AS BIGINT) AS batch, 1 AS n, size AS total FROM i WHERE k = 1
+UNION ALL SELECT i.grp, i.k, i.size, CASE WHEN f.n >= 10 OR f.total + i.size > 16000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.n >= 10 OR f.total + i.size > 16000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 10 OR f.total + i.size > 16000 THEN i.size ELSE f.total + i.size END FROM f JOIN i ON f.grp = i.grp AND i.k = f.k + 1)
+SELECT grp, batch, count(*) AS items, CAST(sum(size) AS BIGINT) AS chars FROM f GROUP BY 1, 2""")
+def greedy_batches(spark, d):
+    """Batches of a supplier's lines by their number and size (H8)."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
+    items = P.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("grp"), F.row_number().over(w).cast("long").alias("ord"), (F.col("l_quantity") * 100).cast("long").alias("size")).withColumn("id", F.col("ord"))
+    return I.batches(items, "grp").join(items.select("grp", "ord", "size"), ["grp", "ord"]).groupBy("grp", "batch").agg(F.count("*").alias("items"), F.sum("size").alias("chars"))
+
+
 # --- findings
 
 _EVIDENCE = "(SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'f' || user_id WHEN 1 THEN 'p' || user_id WHEN 2 THEN 'a' || user_id WHEN 3 THEN NULL ELSE 'x' || user_id END AS primary_file FROM events)"

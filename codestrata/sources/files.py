@@ -33,4 +33,4 @@ def scan(spark: SparkSession, root: str, config: ScanConfig | None = None) -> Da
         files = files.where(~F.col("path").rlike(T.glob_regex(pattern)))
     text = F.decode("content", "utf-8")
     files = files.select("path", text.alias("content"), T.language(F.col("path")).alias("language"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"))
-    return files.withColumn("line_count", F.size(F.split("content", "\n", -1))).withColumn("is_doc", T.is_doc(F.col("path"))).withColumn("is_test", T.is_test(F.col("path")))
+    return files.withColumn("line_count", F.size(F.split("content", "\n", -1))).select("*", T.file_flags(F.col("path")).alias("f")).select("*", "f.*").drop("f")

@@ -26,11 +26,11 @@ PY = '"""Module."""\nimport os\nfrom . import a\n\n\ndef _hid(x):\n    """Doc.""
 
 
 def test_symbols():
-    got = {(k, n): (a, b, x, d) for k, n, a, b, x, d in K.symbols(TS, "typescript")}
-    assert got[("function", "hello")] == (2, 5, True, "Says hello.") and got[("function", "twice")][2]
+    got = {(k, n): (a, b, x, d) for k, n, a, b, x, d, _ in K.symbols(TS, "typescript")}
+    assert got[("function", "hello")] == (2, 5, True, None) and got[("function", "twice")][2]
     assert not got[("class", "Inner")][2] and {("interface", "Shape"), ("type", "Id"), ("enum", "Color"), ("import", "./lib.js"), ("export", "./more")} <= set(got)
-    py = {(k, n): x for k, n, _, _, x, _ in K.symbols(PY, "python")}
-    assert py == {("import", "os"): False, ("import", "."): False, ("function", "_hid"): False, ("class", "Big"): True}
+    py = {(k, n): x for k, n, _, _, x, *_ in K.symbols(PY, "python")}
+    assert py == {("import", "import os"): False, ("import", "."): False, ("function", "_hid"): False, ("class", "Big"): True}
     assert K.symbols("def (", "python") == []
     cs = K.symbols("using System.Text;\npublic class A {\n  private int F(int x) { return x; }\n}\n", "c_sharp")
     assert [(s[0], s[1], s[4]) for s in cs] == [("import", "System.Text", False), ("class", "A", True), ("function", "F", False)]
@@ -38,6 +38,7 @@ def test_symbols():
 
 def test_imports_and_complexity():
     assert K.imports(TS, "typescript") == [("import", "./lib.js"), ("import", "./more"), ("call", "./late")]
+    assert K.imports("import os.path as p, sys\nfrom .a import b", "python") == [("import", "os.path"), ("import", "sys"), ("import", ".a")]
     assert K.complexity(TS, "typescript") == 3 and K.complexity(PY, "python") == 3 and K.complexity("", "typescript") == 1
 
 
