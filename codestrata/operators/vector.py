@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,38 +39,6 @@ def topk(embeddings: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     return embeddings.select("vec_id", d.alias("distance")).withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - F.col("distance")), 6)).orderBy("distance", "vec_id").limit(k)
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, block: int = 1000) -> DataFrame:
-    """Pairs (a < b) with cosine over the threshold, exact.
-
-    Vectors are dealt over blocks of about ``block`` rows and every pair of blocks is one group, so a
-    task holds two blocks at most and multiplies them as matrices.
-    """
-    blocks = max(1, -(-embeddings.count() // block))
-    e = embeddings.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"))))
-    dealt = e.select("vec_id", "embedding", "b", pair.alias("p")).select("vec_id", "embedding", "b", "p.i", "p.j")
-
-    def unit(v: pd.Series) -> np.ndarray:
-        width = max((len(x) for x in v if x is not None), default=0)
-        m = np.stack([np.asarray(x, dtype=np.float64) if x is not None and len(x) == width else np.zeros(width) for x in v])
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-    def meet(g: pd.DataFrame) -> pd.DataFrame:
-        own = g["i"].iloc[0] == g["j"].iloc[0]
-        left, right = (g, g) if own else (g[g["b"] == g["i"]], g[g["b"] == g["j"]])
-        out = []
-        if len(left) and len(right):
-            sim = np.round(unit(left["embedding"]) @ unit(right["embedding"]).T, 6)
-            x, y = np.nonzero(sim > threshold)
-            a, b = left["vec_id"].to_numpy()[x], right["vec_id"].to_numpy()[y]
-            keep = a < b if own else a != b
-            out = list(zip(np.minimum(a, b)[keep], np.maximum(a, b)[keep], sim[x, y][keep], strict=True))
-        return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
-
-    return dealt.groupBy("i", "j").applyInPandas(meet, "a long, b long, similarity double")
-
-
 def search_split(found: DataFrame, results: int, summaries: int) -> DataFrame:
     """The best code and the best module results of one search (I11); ``found`` has level and distance."""
     kind = F.when(F.col("level").isin("module", "system"), "module").otherwise("code")
@@ -122,44 +89,6 @@ def boost(found: DataFrame, keywords: DataFrame) -> DataFrame:
     return j.select("path", F.round(s, 6).alias("score"))
 
 
-# --- approximate search
-
-def ann_index(embeddings: DataFrame, lists: int = 16, sample: int = 2000) -> tuple[np.ndarray, DataFrame]:
-    """An inverted-file index: centroids fitted on about ``sample`` rows, and every row with its list.
-
-    The sample is chosen by a hash of the id after a count; all rows are indexed, in the JVM.
-    """
-    n = embeddings.count()
-    share = min(1.0, sample / max(1, n))
-    picked = embeddings.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).orderBy("vec_id").limit(2 * sample)
-    rows = [r[0] for r in picked.select("embedding").collect() if r[0] is not None]
-    if not rows:
-        return np.zeros((0, 0)), embeddings.withColumn("list", F.lit(None).cast("int"))
-    x = np.array(rows, dtype=np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
-    for _ in range(10):
-        own = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    nearest = _nearest_lists(F.col("embedding"), centres, 1)
-    return centres, embeddings.withColumn("list", F.get(nearest, F.lit(0)))
-
-
-def _nearest_lists(vector: Column, centres: np.ndarray, k: int) -> Column:
-    scored = [F.struct((-dot(vector, F.array(*(F.lit(float(v)) for v in c)))).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(centres)]
-    return F.transform(F.slice(F.array_sort(F.array(*scored)), 1, k), lambda s: s["list"]) if scored else F.array().cast("array<int>")
-
-
-def ann_topk(index: tuple[np.ndarray, DataFrame], query: list[float], k: int = 10, probes: int = 12) -> DataFrame:
-    """(vec_id, distance, score) of the nearest vectors among the ``probes`` nearest lists."""
-    centres, rows = index
-    if not len(centres):
-        return topk(rows, query, k)
-    near = np.argsort(-(centres @ np.asarray(query, dtype=np.float64)), kind="stable")[:probes]
-    return topk(rows.where(F.col("list").isin(*near.tolist())), query, k)
-
-
 def full_text(docs: DataFrame, terms: list[str], each: int = 5) -> DataFrame:
     """(path, content, term): documents that hold a term, the first ``each`` of a term by path, each path once (I8)."""
     rows = None

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import code as K
 from codestrata.functions import text as T
+from codestrata.operators import ann as N
 from codestrata.operators import assemble as A
 from codestrata.operators import context as C
 from codestrata.operators import detectors as D
@@ -444,7 +445,7 @@ def vector_topk_enriched(spark, d):
 
 @query(f"SELECT e.vec_id AS a, q.vec_id AS b, round({_COS}, 6) AS similarity FROM embeddings e JOIN embeddings q ON e.vec_id < q.vec_id WHERE round({_COS}, 6) > 0.4")
 def near_duplicates(spark, d):
-    return V.near_duplicates(P.read(spark, d, "embeddings"), 0.4)
+    return N.near_duplicates(P.read(spark, d, "embeddings"), 0.4)
 
 
 @query("SELECT count(*) AS total, count(doc_id) AS joined FROM embeddings LEFT JOIN documents ON vec_id = doc_id")

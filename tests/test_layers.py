@@ -109,21 +109,6 @@ def test_detectors_together(spark):
     assert [r["description"] for r in D.merge_related(order).collect()] == ["d2 Additionally: d1"]
 
 
-def test_index_recall(spark):
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    index = V.ann_index(e)
-    assert index[1].count() == e.count()
-    index = (index[0], index[1].cache())
-    hits = total = 0
-    for i in range(0, 500, 25):
-        q = list(e.where(F.col("vec_id") == i).first()["embedding"])
-        exact = {r["vec_id"] for r in V.topk(e, q).collect()}
-        hits += len(exact & {r["vec_id"] for r in V.ann_topk(index, q).collect()})
-        total += len(exact)
-    assert hits / total >= 0.9
-    assert V.ann_topk(V.ann_index(e.limit(0)), [0.0] * 64).count() == 0
-
-
 def test_search_falls_back_on_text(spark):
     found = spark.createDataFrame([("file:a.ts", "file", "a.ts", "sum", 0.5), ("file:low.ts", "file", "low.ts", "s", 0.2), ("doc:x", "doc", "docs/x.md", "dsum", 0.6)], "target_id string, level string, path string, summary string, score double")
     words = spark.createDataFrame([("a.ts", 1), ("only.ts", 2)], "path string, hits long")

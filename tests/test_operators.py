@@ -7,6 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from codestrata.functions import text as T
+from codestrata.operators import ann as N
 from codestrata.operators import assemble as A
 from codestrata.operators import context as C
 from codestrata.operators import detectors as D
@@ -76,8 +77,8 @@ def test_near_duplicates_are_exact_for_any_block_count(spark):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(30)]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    want = {(r["a"], r["b"]) for r in V.near_duplicates(e, 0.5, 1000).collect()}
-    got = [(r["a"], r["b"]) for r in V.near_duplicates(e, 0.5, 6).collect()]
+    want = {(r["a"], r["b"]) for r in N.near_duplicates(e, 0.5, 1000).collect()}
+    got = [(r["a"], r["b"]) for r in N.near_duplicates(e, 0.5, 6).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
