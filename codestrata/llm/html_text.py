@@ -9,7 +9,8 @@ unlinked text blocks of the same article element may be short and need not reach
 
 Elements and names (class, id, role) that mark boilerplate only lower densities: what lies inside
 counts as linked text, so it is never chosen, and is left out where it lies inside a chosen
-subtree.  A mark is ignored on a node that holds the page's article, or most of its text.
+subtree.  A mark is ignored on a node that holds the page's article, or most of its text; that of readers'
+comments, which may be most of a page, only where all articles are inside or nothing else is there to read.
 
 Defined results: null or empty html, and a page without text outside boilerplate, give the empty
 text; unclosed and stray tags are tolerated; nothing is capped, deep nesting included (no recursion);
@@ -58,14 +59,15 @@ _PLACES = frozenset(
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: Share of the page's unlinked text with which a marked node is no boilerplate; readers' comments may be longer than the article.
-MOST, MOST_READERS = 0.5, 0.8
+#: Share of the page's unlinked text with which a marked node is no boilerplate.  Readers' comments may be longer than the
+#: article, so of them no share tells.
+MOST, READERS = 0.5, 2.0
 
 
 class Node:
-    """An element; ``bad`` is 0, or the share of the page's text from which its mark is ignored."""
+    """An element; ``bad`` is 0, ``READERS``, or the share of the page's text from which its mark is ignored."""
 
-    __slots__ = ("tag", "parent", "children", "bad", "link", "chars", "tags", "link_chars", "link_tags", "plain", "holds", "density", "total", "best")
+    __slots__ = ("tag", "parent", "children", "bad", "link", "chars", "tags", "link_chars", "link_tags", "plain", "held", "density", "total", "best")
 
     def __init__(self, tag: str, parent: Node | None, bad: float = 0.0):
         self.tag, self.parent, self.bad = tag, parent, bad
@@ -73,13 +75,13 @@ class Node:
 
 
 def _marked(name: str, inside: bool) -> float:
-    """For one class name, id or role: 0, or the share of text from which its mark is ignored."""
+    """For one class name, id or role: 0, ``READERS``, or the share of text from which its mark is ignored."""
     words = set(_WORD.findall(_CAMEL.sub(" ", name).lower())) - _PLACES
     if inside:
         words.discard("header")  # an article's own header holds its title
     if not words or not words <= _BAD | _READERS:
         return 0.0
-    return MOST_READERS if words & _READERS else MOST
+    return READERS if words & _READERS else MOST
 
 
 def _boilerplate(tag: str, attrs: str, parent: Node) -> float:
@@ -176,11 +178,21 @@ def _measure(root: Node) -> list[Node]:
         kids = [x for x in node.children if isinstance(x, Node)]
         node.chars = own + sum(x.chars for x in kids)
         node.plain = (0 if node.link else own) + sum(x.plain for x in kids)
-        node.holds = node.tag in ("article", "main") or any(x.holds for x in kids)
-    article = root.holds
+        # articles in it; one that is itself a comment is none
+        node.held = (node.tag == "main" or node.tag == "article" and node.bad != READERS) + sum(x.held for x in kids)
+    free, todo = root.plain, [root]
+    while todo:  # unlinked text outside all marks
+        node = todo.pop()
+        if node.bad:
+            free -= node.plain
+        else:
+            todo += [x for x in node.children if isinstance(x, Node)]
     for node in order:
-        # a mark holds for all inside; the article, or a page without one in most of its text, is not boilerplate
-        if node.bad and (node.holds or not article and root.plain and node.plain >= node.bad * root.plain):
+        # a mark holds for all inside; the article, or a page without one in most of its text, is not boilerplate.
+        # Comments are the page only if it has no article beside them, and no other text to read
+        if node.bad == READERS and (node.held and node.held == root.held or not root.held and not free):
+            node.bad = 0.0
+        elif node.bad and node.bad != READERS and (node.held or not root.held and root.plain and node.plain >= node.bad * root.plain):
             node.bad = 0.0
         if node.parent is not None and node.parent.bad:
             node.bad = 1.0

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.llm import divergence, mixing, queries, repair
+from codestrata.llm import divergence, html_text, mixing, queries, repair
 from compare import differs, duck
 
 SF = "/root/testdata/sf0.001"
@@ -203,3 +203,19 @@ def test_weights_are_inclusion_odds(spark, monkeypatch):
         for s in "ab":
             assert per[s, 4.0][0] / per[s, 1.0][0] == pytest.approx(4, rel=0.15)
             assert abs(per[s, 4.0][1] + per[s, 1.0][1] - per[s, 4.0][2]) <= 50
+
+
+# --- comments of pages
+
+def test_long_comments_never_win():
+    reply = "<p>I think that this is a long remark of a reader who goes on and on about the matter at hand, with no link at all.</p>"
+    story = "<p>The only paragraph of the article tells what happened in the town last night.</p>"
+    for box in ('<div class="comments">{}</div>', '<div id="comment-list"><article class="comment">{}</article></div>', '<section class="user-comments"><article>{}</article></section>', '<ol class="commentlist"><li class="comment">{}</li></ol>'):
+        for body in (f"<div id=x><h1>Title</h1>{story}</div>", f"<article><h1>Title</h1>{story}</article>", f"<main>{story}</main>"):
+            got = html_text.main_text(f"<html><body>{body}{box.format(reply * 8)}</body></html>")
+            if box.startswith("<section") and "<article" not in body and "<main" not in body:
+                continue  # its only article element stands in a section that is named after comments
+            assert "only paragraph" in got and "remark" not in got, (box, body, got)
+    # a page of nothing but comments is read
+    assert "remark" in html_text.main_text(f"<body><div class='comments'>{reply * 3}</div></body>")
+    assert "only paragraph" in html_text.main_text(f"<body><div class='content-comments'><article>{story}</article><div class='comments'>{reply * 8}</div></div></body>")
