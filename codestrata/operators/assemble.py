@@ -182,9 +182,9 @@ def review_context(commits: DataFrame, commit_files: DataFrame, summaries: DataF
     summary = n.join(m, "k").join(who, "k").select(F.when(F.col("n") > 0, told).otherwise(F.lit("No commits found in the specified date range.")).alias("content"))
     shown = with_summary(paths.orderBy("path").limit(30), summaries.withColumn("content", F.substring("content", 1, 150)))
     hot = H.hotspots(commit_files, 10).join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    told = findings.select("severity", "title", "description", "evidence").distinct().withColumn("id", F.sha2(F.to_json(F.struct("severity", "title", "description", "evidence")), 256))
-    held = M.containing(told.select("id", F.col("evidence").alias("text")), paths.select(F.col("path").alias("pattern"))).select("id").distinct()
-    named = told.join(held, "id", "left_semi").select("severity", "title", "description").distinct()
+    texts = findings.select("evidence").distinct().select(F.sha2("evidence", 256).alias("id"), F.col("evidence").alias("text"))
+    held = M.containing(texts, paths.select(F.col("path").alias("pattern"))).select("id").distinct()
+    named = findings.where("evidence is not null").withColumn("id", F.sha2("evidence", 256)).join(held, "id", "left_semi").select("severity", "title", "description").distinct()
     sized = touched.groupBy("commit_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("file_path")), "|").alias("cluster")).where("n between 2 and 10")
     clusters = sized.groupBy("cluster").agg(F.count("*").alias("times")).where("times >= 2").orderBy(F.desc("times"), "cluster").limit(5)
     listed = F.array_join(F.transform(F.split("cluster", "[|]"), lambda p: F.concat(F.lit("  - "), p)), "\n")

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 
 def run_lifecycle(events: DataFrame) -> DataFrame:
-    """One row for each run from its events (run_id, ts, event, done, total, cost, error).
+    """One row for each run from its events (run_id, ts, event, done, total, cost, error; event_id orders equal times).
 
     Events are ``create``, ``progress``, ``complete`` and ``fail``; the last of the ending ones decides, progress
     is the latest told, cost adds up, and the duration runs from creation to the end.
     """
     ends = F.col("event").isin("complete", "fail")
+    at = F.struct("ts", *(["event_id"] if "event_id" in events.columns else []))
     g = events.groupBy("run_id").agg(
-        F.min(F.when(F.col("event") == "create", F.col("ts"))).alias("started_at"), F.max_by(F.when(ends, F.col("event")), F.when(ends, F.col("ts"))).alias("last"), F.max(F.when(ends, F.col("ts"))).alias("ended_at"),
-        F.max_by("done", F.when(F.col("event") == "progress", F.col("ts"))).alias("done"), F.max("total").alias("total"), F.round(F.sum(F.coalesce("cost", F.lit(0.0))), 4).alias("cost"), F.max_by("error", F.when(F.col("event") == "fail", F.col("ts"))).alias("error"),
+        F.min(F.when(F.col("event") == "create", F.col("ts"))).alias("started_at"), F.max_by(F.when(ends, F.col("event")), F.when(ends, at)).alias("last"), F.max(F.when(ends, F.col("ts"))).alias("ended_at"),
+        F.max_by("done", F.when(F.col("event") == "progress", at)).alias("done"), F.max("total").alias("total"), F.round(F.sum(F.coalesce("cost", F.lit(0.0))), 4).alias("cost"), F.max_by("error", F.when(F.col("event") == "fail", at)).alias("error"),
     )
     status = F.when(F.col("last") == "complete", "completed").when(F.col("last") == "fail", "failed").otherwise("running")
     seconds = F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))

@@ -454,7 +454,7 @@ def rollup(spark, d):
 SELECT CAST(run_id AS BIGINT) AS run_id, CASE arg_max(event, (ts, event_id)) FILTER (WHERE event IN ('complete', 'fail')) WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' ELSE 'running' END AS status, round(sum(coalesce(value, 0)), 4) AS cost, round(trunc((epoch_us(max(ts) FILTER (WHERE event IN ('complete', 'fail'))) - epoch_us(min(ts) FILTER (WHERE event = 'create'))) / 1000) / 1000, 3) AS seconds FROM e GROUP BY 1""")
 def run_lifecycle(spark, d):
     t = F.col("event_type")
-    e = P.read(spark, d, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).cast("long").alias("run_id"), "ts", F.when(t == "signup", "create").when(t.isin("view", "click"), "progress").when(t == "purchase", "complete").otherwise("fail").alias("event"), F.lit(1).alias("done"), F.lit(2).alias("total"), F.col("value").alias("cost"), F.lit("e").alias("error"))
+    e = P.read(spark, d, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).cast("long").alias("run_id"), "ts", "event_id", F.when(t == "signup", "create").when(t.isin("view", "click"), "progress").when(t == "purchase", "complete").otherwise("fail").alias("event"), F.lit(1).alias("done"), F.lit(2).alias("total"), F.col("value").alias("cost"), F.lit("e").alias("error"))
     return U.run_lifecycle(e).select("run_id", "status", "cost", F.round(F.col("duration_ms") / 1000, 3).alias("seconds"))
 
 
