@@ -37,7 +37,7 @@ def containing(texts: DataFrame, patterns: DataFrame, gram: int = GRAM) -> DataF
     parts = own.where(short).select("pattern", F.col("pattern").alias("part")).unionByName(own.where(~short).select("pattern", F.explode(_grams("pattern", gram)).alias("part")))
     many = parts.groupBy("part").agg(F.count("*").alias("n"))
     best = parts.join(many, "part").groupBy("pattern").agg(F.min(F.struct("n", "part"))["part"].alias("part"))
-    lengths = [r[0] for r in best.select(F.char_length("part")).distinct().collect()]  # at most ``gram`` numbers
+    lengths = [r[0] for r in patterns.where("pattern <> ''").select(F.least(F.char_length("pattern"), F.lit(gram))).distinct().collect()]  # at most ``gram`` numbers
     if not lengths:
         return texts.select("id", F.lit("").alias("pattern")).limit(0)
     found = texts.select("id", F.explode(_grams("text", *sorted(lengths))).alias("part")).join(best, "part").select("id", "pattern")
