@@ -1,4 +1,4 @@
-"""Streams of jobs and logs; every transform is the batch transform as well."""
+"""Streams of jobs and logs; every transform is the batch transform as well."""
 
 from __future__ import annotations
 
