@@ -23,6 +23,7 @@ from codestrata.sources import gitlog as L
 from codestrata.sources import proxies as P
 from codestrata.sources import sinks as S
 from codestrata.sources.proxies import with_tables as sql
+from codestrata.streaming import keyed as K
 
 # --- the documentation layer: a page of documentation from every document, settings from every part
 
@@ -450,14 +451,36 @@ def rollup(spark, d):
 
 # --- runs, projects and sinks
 
-@query("""WITH e AS (SELECT user_id * 100 + date_part('day', ts) AS run_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'progress' WHEN 'click' THEN 'progress' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS event, value FROM events)
-SELECT CAST(run_id AS BIGINT) AS run_id, CASE arg_max(event, (ts, event_id)) FILTER (WHERE event IN ('complete', 'fail')) WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' ELSE 'running' END AS status, round(sum(coalesce(value, 0)), 4) AS cost, round(trunc((epoch_us(max(ts) FILTER (WHERE event IN ('complete', 'fail'))) - epoch_us(min(ts) FILTER (WHERE event = 'create'))) / 1000) / 1000, 3) AS seconds FROM e GROUP BY 1""")
+_RUN_LIVES = """WITH e AS (SELECT user_id * 100 + date_part('day', ts) AS run_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'progress' WHEN 'click' THEN 'progress' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS event, value FROM events)
+SELECT CAST(run_id AS BIGINT) AS run_id, CASE arg_max(event, (ts, event_id)) FILTER (WHERE event IN ('complete', 'fail')) WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' ELSE 'running' END AS status, round(sum(coalesce(value, 0)), 4) AS cost, round(trunc((epoch_us(max(ts) FILTER (WHERE event IN ('complete', 'fail'))) - epoch_us(min(ts) FILTER (WHERE event = 'create'))) / 1000) / 1000, 3) AS seconds FROM e GROUP BY 1"""
+
+
+@query(_RUN_LIVES)
 def run_lifecycle(spark, d):
     t = F.col("event_type")
     e = P.read(spark, d, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).cast("long").alias("run_id"), "ts", "event_id", F.when(t == "signup", "create").when(t.isin("view", "click"), "progress").when(t == "purchase", "complete").otherwise("fail").alias("event"), F.lit(1).alias("done"), F.lit(2).alias("total"), F.col("value").alias("cost"), F.lit("e").alias("error"))
     return U.run_lifecycle(e).select("run_id", "status", "cost", F.round(F.col("duration_ms") / 1000, 3).alias("seconds"))
 
 
+@query(_RUN_LIVES)
+def run_states_stream(spark, d):
+    """The same lives from the events as a stream, a keyed state for each run; no event of the table is late."""
+    t = F.col("event_type")
+    s = spark.readStream.schema(P.read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream takes a lone file by nothing else
+    e = s.select((F.col("user_id") * 100 + F.dayofmonth("ts")).cast("long").alias("run_id"), "ts", "event_id", F.when(t == "signup", "create").when(t.isin("view", "click"), "progress").when(t == "purchase", "complete").otherwise("fail").alias("event"), F.lit(1).alias("done"), F.lit(2).alias("total"), F.col("value").alias("cost"), F.lit("e").alias("error"))
+    folder = f"{G.shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    K.publish(K.runs_stream(e, late="36500 days", idle_ms=36500 * 86_400_000), f"{folder}/rows", f"{folder}/checkpoint", "append").awaitTermination()
+    return K.current(spark, f"{folder}/rows", "run_id").select("run_id", "status", "cost", F.round(F.col("duration_ms") / 1000, 3).alias("seconds"))
+
+
+@query("""WITH l AS (SELECT event_type AS component, user_id AS time, '{"level":30,"time":' || user_id || ',"msg":"' || upper(event_type) || ': event ' || event_id || '"}' AS raw FROM events)
+SELECT * FROM (SELECT component, row_number() OVER (PARTITION BY component ORDER BY time DESC, raw DESC) AS rank, time, raw FROM l) WHERE rank <= 500""")
+def recent_logs(spark, d):
+    """The last 500 lines of each component of a log in JSON."""
+    line = F.concat(F.lit('{"level":30,"time":'), F.col("user_id").cast("string"), F.lit(',"msg":"'), F.upper("event_type"), F.lit(": event "), F.col("event_id").cast("string"), F.lit('"}'))
+    return K.last_lines(K.log_entries(P.read(spark, d, "events").select(line.alias("value")))).select("component", F.col("rank").cast("long").alias("rank"), "time", "raw")
+
+
 @query(sql("SELECT project_id, bool_or(layer IN ('view', 'purchase')) AS active FROM runs GROUP BY 1", "runs"))
 def active_projects(spark, d):
     s = F.col("layer")
