@@ -75,7 +75,7 @@ def split_batch_answer(answer: Column, paths: Column) -> Column:
         following = F.get(paths, i + 1)
         stop = F.when(following.isNotNull(), F.instr(body, following)).otherwise(F.lit(0))
         # the line that names the next path is the next part's
-        own = F.when(stop > 0, F.regexp_replace(F.substring(body, F.lit(1), stop - 1), r"(^|\n)[^\n]*$", "")).otherwise(body)
+        own = F.when(stop > 0, F.regexp_replace(F.substring(body, F.lit(1), stop - 1), r"(^|\n)[^\n]*\z", "")).otherwise(body)
         return F.when((at == 0) | (line == 0), F.lit("")).otherwise(F.regexp_replace(own, r"^\s+|\s+$", ""))
 
     return F.transform(paths, part)

@@ -30,6 +30,7 @@ NO_SIGNATURE = "no signature"
 WAVE, TASK = 20_000, 200
 
 Ask = Callable[[str], tuple[str, float]]
+_One = Callable[[str, str], tuple[str | None, float, int, str | None]]
 _ANSWERS = "seq long, id {id}, input_hash string, name string, lines int, answer string, cost double, calls int, error string, run string"
 
 
@@ -72,14 +73,8 @@ def _numbered(todo: DataFrame) -> DataFrame:
     return todo.withColumn("part", part).join(starts, "part").withColumn("seq", F.col("start") + F.col("at") - F.shiftleft("part", 33)).drop("at", "part", "start")
 
 
-def summarise(chunks: DataFrame, folder: str, budget: float, ask: Ask = extractive_summariser, run: str = "1", known: DataFrame | None = None, wave: int = WAVE) -> DataFrame:
-    """(id, input_hash, summary, quality_score, demoted, cost, calls, error) of prompts that ``run`` answered.
-
-    ``chunks`` is (id, prompt, name, lines) and optionally context, see :func:`neighbour_context`; ``known`` (input_hash) are
-    prompts answered elsewhere; ``folder`` must be shared by driver and executors.  A stated confidence below
-    ``DEMOTED`` asks once more with the context, and the second answer stays; the checks of the answer follow.
-    Costs of equal prompts are on the smallest id.  A task that Spark repeats asks its prompts again.
-    """
+def _waves(chunks: DataFrame, folder: str, budget: float, answerer: Callable[[float], _One], run: str, known: DataFrame | None, wave: int) -> DataFrame | None:
+    """The log's rows of ``run``; ``answerer`` makes, of the budget that is left, what answers one (prompt, context)."""
     spark = chunks.sparkSession
     base = folder.rstrip("/")
     log = _read(spark, f"{base}/answers")
@@ -92,19 +87,7 @@ def summarise(chunks: DataFrame, folder: str, budget: float, ask: Ask = extracti
     kind = dict(chunks.dtypes)["id"]
 
     def asker(left: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        def one(prompt: str, context: str) -> tuple[str | None, float, int, str | None]:
-            spent, calls = 0.0, 0
-            try:
-                calls += 1
-                answer, cost = ask(prompt + SUFFIX)
-                spent += cost
-                if _score(answer) < DEMOTED and spent < left:
-                    calls += 1
-                    answer, cost = ask(prompt + NEIGHBOURS + context + AGAIN + SUFFIX)
-                    spent += cost
-                return answer, spent, calls, None
-            except Exception as e:  # whatever the model raises is this prompt's result
-                return None, spent, calls, f"{type(e).__name__}: {e}"
+        one = answerer(left)
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -122,7 +105,54 @@ def summarise(chunks: DataFrame, folder: str, budget: float, ask: Ask = extracti
         size = min(size, TASK) if asked == 0 else size
         part = todo.where((F.col("seq") >= done) & (F.col("seq") < done + size)).repartition(max(1, -(-size // TASK)), "seq")
         part.mapInPandas(asker(budget - spent), _ANSWERS.format(id=kind)).write.parquet(f"{base}/answers/{run}/{done}", mode="overwrite")
-    return answers(chunks, log.where(F.col("run") == run) if log is not None else None)
+    return log.where(F.col("run") == run) if log is not None else None
+
+
+def summarise(chunks: DataFrame, folder: str, budget: float, ask: Ask = extractive_summariser, run: str = "1", known: DataFrame | None = None, wave: int = WAVE) -> DataFrame:
+    """(id, input_hash, summary, quality_score, demoted, cost, calls, error) of prompts that ``run`` answered.
+
+    ``chunks`` is (id, prompt, name, lines) and optionally context, see :func:`neighbour_context`; ``known`` (input_hash) are
+    prompts answered elsewhere; ``folder`` must be shared by driver and executors.  A stated confidence below
+    ``DEMOTED`` asks once more with the context, and the second answer stays; the checks of the answer follow.
+    Costs of equal prompts are on the smallest id.  A task that Spark repeats asks its prompts again.
+    """
+    def answerer(left: float) -> _One:
+        def one(prompt: str, context: str) -> tuple[str | None, float, int, str | None]:
+            spent, calls = 0.0, 0
+            try:
+                calls += 1
+                answer, cost = ask(prompt + SUFFIX)
+                spent += cost
+                if _score(answer) < DEMOTED and spent < left:
+                    calls += 1
+                    answer, cost = ask(prompt + NEIGHBOURS + context + AGAIN + SUFFIX)
+                    spent += cost
+                return answer, spent, calls, None
+            except Exception as e:  # whatever the model raises is this prompt's result
+                return None, spent, calls, f"{type(e).__name__}: {e}"
+        return one
+
+    return answers(chunks, _waves(chunks, folder, budget, answerer, run, known, wave))
+
+
+def asked(prompts: DataFrame, folder: str, budget: float, ask: Ask, run: str = "1", wave: int = WAVE) -> tuple[DataFrame, float]:
+    """(id, answer, cost, error) of the prompts (id, prompt), as they are and once, and what was spent; see :func:`summarise`."""
+    def answerer(left: float) -> _One:
+        def one(prompt: str, context: str) -> tuple[str | None, float, int, str | None]:
+            try:
+                answer, cost = ask(prompt)
+            except Exception as e:  # whatever the model raises is this prompt's result
+                return None, 0.0, 1, f"{type(e).__name__}: {e}"
+            return answer, float(cost), 1, None
+        return one
+
+    chunks = prompts.select("id", "prompt", F.lit("").alias("name"), F.lit(0).alias("lines"))
+    log = _waves(chunks, folder, budget, answerer, run, None, wave)
+    if log is None:
+        log = prompts.sparkSession.createDataFrame([], _ANSWERS.format(id=dict(prompts.dtypes)["id"]))
+    own = prompts.select("id", F.sha2("prompt", 256).alias("input_hash"))
+    told = own.join(log.select("input_hash", F.col("id").alias("first"), "answer", "cost", "error"), "input_hash")
+    return told.select("id", "answer", F.when(F.col("id") == F.col("first"), F.col("cost")).otherwise(0.0).alias("cost"), "error"), log.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
 
 
 def answers(chunks: DataFrame, log: DataFrame | None) -> DataFrame:

@@ -74,6 +74,7 @@ def test_semantic_layer(spark):
     answer = "Intro\n### a.ts\nAbout a\nmore\n### b.ts: \nAbout b\n"
     assert col(SEM.split_batch_answer(F.lit(answer), F.array(F.lit("a.ts"), F.lit("none.ts"), F.lit("b.ts")))) == ["About a\nmore\n### b.ts: \nAbout b", "", "About b"]
     assert col(SEM.split_batch_answer(F.lit(answer), F.array(F.lit("a.ts"), F.lit("b.ts")))) == ["About a\nmore", "About b"]
+    assert col(SEM.split_batch_answer(F.lit("a.ts\nOne line\nb.ts\nTwo"), F.array(F.lit("a.ts"), F.lit("b.ts")))) == ["One line", "Two"]
     assert col(SEM.parse_plan(F.lit("no json"))) is None and col(SEM.parse_plan(F.lit('{"title": "T", "phases": []}'))) is None
 
 
