@@ -114,8 +114,8 @@ def rollup(symbols: DataFrame, previous: DataFrame, folder: str, budget: float,
     d = _decided(of.select(F.lit(f"system:{project}").alias("target_id"), prompt.alias("prompt"), "moved"), previous, "system", ~F.col("moved") if dirty is not None else F.lit(False))
     told, _ = asked(d.where("not reused").select(F.col("target_id").alias("id"), "prompt"), f"{folder}/system", budget - spent, ask, run)
     system = _cut(_new(d, told, "system"))
-    stays = d.join(system, "target_id", "left_anti").where("has").withColumn("reused", F.lit(True))
-    return own.unionByName(modules).unionByName(system).unionByName(_kept(stays, "system"))
+    stays = previous.where((F.col("level") == "system") & (F.col("target_id") == f"system:{project}")).join(system, "target_id", "left_anti")
+    return own.unionByName(modules).unionByName(system).unionByName(stays.select("level", "target_id", "input_hash", "content", F.lit(0.0).alias("cost"), F.lit(True).alias("reused")))
 
 
 def digest_model(prompt: str) -> tuple[str, float]:

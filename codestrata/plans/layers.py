@@ -15,6 +15,7 @@ from codestrata.operators import detectors as D
 from codestrata.operators import graph as G
 from codestrata.operators import incremental as I
 from codestrata.operators import match as M
+from codestrata.operators import rollup as R
 from codestrata.operators import runs as U
 from codestrata.operators import summaries as SUM
 from codestrata.operators import vector as V
@@ -449,6 +450,34 @@ def rollup(spark, d):
     return I.rollup_levels(files, none, lambda c: F.sha2(c, 256)).select("level", "target_id", "content")
 
 
+_NOW = "CASE WHEN doc_id % 11 = 0 THEN repeat('#', 40) || doc_id WHEN doc_id % 11 = 1 THEN coalesce(text, '') || '.' ELSE coalesce(text, '') END"
+
+
+@query(f"""WITH s AS (SELECT 'src/' || coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/f' || (doc_id // 40) || '.ts' AS path, doc_id, coalesce(text, '') AS old, {_NOW} AS new FROM documents),
+t AS (SELECT *, path || ':s' || doc_id || ':function' AS target, CASE WHEN doc_id % 11 = 0 OR doc_id % 11 = 1 AND 1.0 / (length(old) + 1) > 0.15 THEN 1 ELSE 0 END AS moved FROM s),
+f AS (SELECT path, sum(moved) * 1.0 / count(*) < 0.1 AS slight, string_agg('- ' || target || ': ' || old, chr(10) ORDER BY target) AS o, string_agg('- ' || target || ': ' || new, chr(10) ORDER BY target) AS n FROM t GROUP BY path),
+p AS (SELECT path, slight OR o = n AS reused, 'Summarise the following file based on its symbol summaries:' || chr(10) || chr(10) || 'File: ' || path || chr(10) || chr(10) AS head, o, n FROM f),
+file AS (SELECT 'file:' || path AS target_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS m, reused, sha256(head || o) AS was, CASE WHEN reused THEN sha256(head || o) ELSE sha256(head || n) END AS content FROM p),
+module AS (SELECT 'module:' || m AS target_id, sha256(head || string_agg('- ' || target_id || ': ' || was, chr(10) ORDER BY target_id)) AS was, sha256(head || string_agg('- ' || target_id || ': ' || content, chr(10) ORDER BY target_id)) AS content FROM (SELECT *, 'Summarise the following module based on its file summaries:' || chr(10) || chr(10) || 'Module: ' || m || chr(10) || chr(10) AS head FROM file) GROUP BY m, head),
+system AS (SELECT sha256(any_value(head) || string_agg('- ' || target_id || ': ' || was, chr(10) ORDER BY target_id)) AS was, sha256(any_value(head) || string_agg('- ' || target_id || ': ' || content, chr(10) ORDER BY target_id)) AS content FROM (SELECT *, 'Summarise the following system based on its module summaries:' || chr(10) || chr(10) || 'Project: project' || chr(10) || chr(10) AS head FROM module))
+SELECT 'file' AS level, target_id, content, reused FROM file UNION ALL SELECT 'module', target_id, content, was = content FROM module UNION ALL SELECT 'system', 'system:project', content, was = content FROM system""")
+def rollup_after_edits(spark, d):
+    """Three levels over all texts as symbols, run twice: before and after an edit of some, slight and whole; a digest stands for the model."""
+    doc = P.read(spark, d, "documents")
+    text = F.coalesce("text", F.lit(""))
+    path = F.concat(F.lit("src/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/f"), F.floor(F.col("doc_id") / 40).cast("string"), F.lit(".ts"))
+    target = F.concat(path, F.lit(":s"), F.col("doc_id").cast("string"), F.lit(":function"))
+    def symbols(content):
+        return doc.select(path.alias("path"), target.alias("target_id"), F.sha2(content, 256).alias("input_hash"), content.alias("content"))
+    before = symbols(text)
+    after = symbols(F.when(F.col("doc_id") % 11 == 0, F.concat(F.repeat(F.lit("#"), F.lit(40)), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 11 == 1, F.concat(text, F.lit("."))).otherwise(text))
+    folder = f"{G.shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    none = spark.createDataFrame([], "level string, target_id string, input_hash string, content string")
+    first = R.rollup(before, none, f"{folder}/1", 1.0, R.digest_model).select(*none.columns)
+    known = first.unionByName(before.select(F.lit("function").alias("level"), "target_id", "input_hash", "content"))
+    return R.rollup(after, known, f"{folder}/2", 1.0, R.digest_model).select("level", "target_id", "content", "reused")
+
+
 # --- runs, projects and sinks
 
 _RUN_LIVES = """WITH e AS (SELECT user_id * 100 + date_part('day', ts) AS run_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'progress' WHEN 'click' THEN 'progress' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS event, value FROM events)

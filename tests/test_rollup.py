@@ -2,8 +2,6 @@
 
 import hashlib
 
-import pytest
-
 from codestrata.operators import rollup as R
 
 ROWS = "path string, target_id string, input_hash string, content string"
@@ -94,13 +92,15 @@ def test_a_failing_batch_is_asked_file_by_file(spark, tmp_path):
     assert sum(r["cost"] for r in got.values()) == 0.5 * len(got)
 
 
-@pytest.mark.parametrize("budget,levels", [(0.0, {"system"}), (1.5, {"file", "system"})])
-def test_budget(spark, tmp_path, budget, levels):
-    """The first wave asks what there is, so 1.5 pays for all files and for nothing after them."""
+def test_budget(spark, tmp_path):
+    """A wave asks what there is, so 1.5 pays for the batch and both large files, and for nothing after them."""
     old = [("system", "system:project", "x", "old words")]
-    got = run(spark, tmp_path, project(), old, ask=lambda p: (R.digest_model(p)[0], 1.0), budget=budget)
-    assert {r["level"] for r in got.values()} - {"module"} <= levels | {"file"} and "module:a" not in got
-    assert budget or [tuple(r)[:4] for r in got.values()] in ([], old)
+    def ask(prompt):
+        return R.digest_model(prompt)[0], 1.0
+    nothing = run(spark, tmp_path, project(), old, ask=ask, budget=0.0)
+    assert [tuple(r)[:4] for r in nothing.values()] == old
+    got = run(spark, tmp_path, project(), old, ask=ask, budget=1.5, name="2")
+    assert {t: r["content"] for t, r in got.items()} == plain(project()) | {"system:project": "old words"} and sum(r["cost"] for r in got.values()) == 3.0
 
 
 def test_empty(spark, tmp_path):
