@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,14 +88,22 @@ PLAN = "struct<title:string,summary:string,nonGoals:array<string>,acceptanceCrit
 
 def parse_plan(answer: Column) -> Column:
     """A plan from an answer's JSON, with defaults for what is missing; null without phases."""
-    p = F.from_json(json_in(answer), PLAN)
     none = F.array().cast("array<string>")
-    risks = F.coalesce(F.transform(p["risks"], lambda r: F.struct(F.coalesce(r["risk"], F.lit("")).alias("risk"), F.coalesce(r["severity"], F.lit("medium")).alias("severity"), F.coalesce(r["mitigation"], F.lit("")).alias("mitigation"))), F.array().cast("array<struct<risk:string,severity:string,mitigation:string>>"))
-    return F.when(F.size(p["phases"]) > 0, F.struct(
-        F.coalesce(p["title"], F.lit("Untitled Plan")).alias("title"), F.coalesce(p["summary"], F.lit("")).alias("summary"), F.coalesce(p["nonGoals"], none).alias("non_goals"),
-        F.coalesce(p["acceptanceCriteria"], none).alias("acceptance_criteria"), risks.alias("risks"),
-        F.transform(p["phases"], lambda x, i: F.struct(F.coalesce(x["title"], F.concat(F.lit("Phase "), (i + 1).cast("string"))).alias("title"), F.coalesce(x["intent"], F.lit("")).alias("intent"), x["milestones"].alias("milestones"))).alias("phases"),
-    ))
+
+    def told(p: Column) -> Column:
+        risks = F.coalesce(F.transform(p["risks"], lambda r: F.struct(F.coalesce(r["risk"], F.lit("")).alias("risk"), F.coalesce(r["severity"], F.lit("medium")).alias("severity"), F.coalesce(r["mitigation"], F.lit("")).alias("mitigation"))), F.array().cast("array<struct<risk:string,severity:string,mitigation:string>>"))
+        return F.when(F.size(p["phases"]) > 0, F.struct(
+            F.coalesce(p["title"], F.lit("Untitled Plan")).alias("title"), F.coalesce(p["summary"], F.lit("")).alias("summary"), F.coalesce(p["nonGoals"], none).alias("non_goals"),
+            F.coalesce(p["acceptanceCriteria"], none).alias("acceptance_criteria"), risks.alias("risks"),
+            F.transform(p["phases"], lambda x, i: F.struct(F.coalesce(x["title"], F.concat(F.lit("Phase "), (i + 1).cast("string"))).alias("title"), F.coalesce(x["intent"], F.lit("")).alias("intent"), x["milestones"].alias("milestones"))).alias("phases"),
+        ))
+
+    return _once(F.from_json(json_in(answer), PLAN), told)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once a row, however often and in whatever branches it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def json_in(answer: Column) -> Column:
@@ -120,8 +130,7 @@ def json_in(answer: Column) -> Column:
         )
         return F.when(s["last"] > 0, s).otherwise(moved)
 
-    span = F.aggregate(marks, zero, step)
-    bare = F.when(span["last"] > 0, F.substring(answer, span["first"], span["last"] - span["first"] + 1))
+    bare = _once(F.aggregate(marks, zero, step), lambda s: F.when(s["last"] > 0, F.substring(answer, s["first"], s["last"] - s["first"] + 1)))
     return F.coalesce(fenced, bare, answer)
 
 

@@ -118,3 +118,10 @@ def test_json_of_random_values(spark, values):
 @pytest.mark.parametrize("text,score", [("CONFIDENCE: 1.2.3", 1.0), ("CONFIDENCE: .4", 0.4), ("x", 0.5)])
 def test_both_readings_of_a_score_agree(spark, text, score):
     assert S._score(text) == score == spark.range(1).select(SEM.parse_answer(F.lit(text))["score"]).first()[0]
+
+
+def test_a_plan_is_read_once_for_each_row(spark):
+    plan = spark.createDataFrame([('{"phases": [{}]}',)], "t string").select(SEM.parse_plan(F.col("t")).alias("p"))
+    shown = plan._jdf.queryExecution().analyzed().toString()
+    assert shown.count("from_json") == 1 and shown.count("aggregate(") == 1
+    assert plan.first()["p"]["phases"][0]["title"] == "Phase 1"
