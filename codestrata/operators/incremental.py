@@ -77,9 +77,9 @@ def batches(items: DataFrame, group: str, largest: int = 10, chars: int = 16000)
     """Greedy batches of (group, ord, id, size): at most ``largest`` items and ``chars`` characters (H8).
 
     A batch begins where the one before ends, so the fold is sequential; but after the first break in a piece of
-    ``PIECE`` items the rest depends on where that break is, and it is among the first ``largest`` items.  Each
-    piece tells for every such place how many batches follow and what is left open; these are chained over a
-    group's pieces, and then all pieces are folded at once.  Equal ``ord`` are ordered by id.
+    ``PIECE`` items the rest depends on where that break is, and it is among the first ``largest`` items, or the one after
+    them where a group begins.  Each piece tells for every such place how many batches follow and what is left open; these are chained over a
+    group's pieces, and then all pieces are folded at once.  Equal ``ord`` are ordered by id.  Gives (group, ord, id, size, batch).
     """
     from codestrata.operators.graph import _cut
 
@@ -101,7 +101,7 @@ def batches(items: DataFrame, group: str, largest: int = 10, chars: int = 16000)
 
     @F.pandas_udf("array<array<long>>")
     def told(sizes: pd.Series) -> pd.Series:
-        return pd.Series([[list(map(int, s[:largest]))] + [list(fold(s[p:])[1:]) for p in range(min(largest, len(s)))] for s in sizes], dtype=object)
+        return pd.Series([[list(map(int, s[: largest + 1]))] + [list(fold(s[p:])[1:]) for p in range(min(largest + 1, len(s)))] for s in sizes], dtype=object)
 
     def chain(g: pd.DataFrame) -> pd.DataFrame:
         out, no, count, total = [], 0, 0, 0
@@ -124,7 +124,7 @@ def batches(items: DataFrame, group: str, largest: int = 10, chars: int = 16000)
     carried = facts.groupBy(group).applyInPandas(chain, f"{group} {kind[group]}, piece long, no long, count long, total long").withColumnRenamed(group, "__g").withColumnRenamed("piece", "__p")
     both = pieces.join(carried, F.col(group).eqNullSafe(F.col("__g")) & (F.col("piece") == F.col("__p")))
     each = both.select(group, F.explode(F.arrays_zip("items", numbered(F.col("items.size"), F.col("count"), F.col("total"), F.col("no")).alias("batch"))).alias("x"))
-    return each.select(group, F.col("x.items.ord").alias("ord"), F.col("x.items.id").alias("id"), F.col("x.batch").alias("batch"))
+    return each.select(group, F.col("x.items.ord").alias("ord"), F.col("x.items.id").alias("id"), F.col("x.items.size").alias("size"), F.col("x.batch").alias("batch"))
 
 
 def claim_next(jobs: DataFrame, k: int = 1) -> DataFrame:

@@ -107,3 +107,11 @@ def test_only_parts_that_may_be_patterns_leave_the_texts(spark):
         kids = node.children()
         seen += [kids.apply(i) for i in range(kids.size())]
     assert rows < 10_000  # a key for every part would be over two million
+
+
+def test_batches_of_a_group_that_begins_with_small_items(spark, monkeypatch):
+    monkeypatch.setattr(I, "PIECE", 50)
+    sizes = [1 + i % 3 for i in range(400)]  # no batch is full by size
+    items = spark.createDataFrame([("g", i, i, s) for i, s in enumerate(sizes)], "grp string, ord long, id long, size long")
+    got = I.batches(items, "grp").orderBy("ord").collect()
+    assert [r["batch"] for r in got] == fold(sizes, 10, 16000) and [r["size"] for r in got] == sizes
