@@ -125,7 +125,8 @@ def architecture_context(summaries: DataFrame, links: DataFrame, findings: DataF
 
 def with_summary(paths: DataFrame, summaries: DataFrame, most: int = 150) -> DataFrame:
     """Adds ``summary``: the file summary of each ``path``, cut, or null."""
-    own = summaries.select(F.col("target_id").alias("__t"), C.sentence_cut(F.col("content"), most).alias("summary"))
+    # estimated by its file's size a table of texts may seem small enough for the driver
+    own = summaries.select(F.col("target_id").alias("__t"), C.sentence_cut(F.col("content"), most).alias("summary")).hint("merge")
     return paths.join(own, F.concat(F.lit("file:"), "path") == F.col("__t"), "left").drop("__t")
 
 
@@ -220,17 +221,18 @@ def task_context(mentioned: DataFrame, found: DataFrame, files: DataFrame, summa
     (:func:`codestrata.operators.vector.partitioned_search`); the other tables are as in the other contexts.
     """
     code, docs = found.where("kind = 'code'"), found.where("kind = 'doc'")
-    named = files.join(mentioned.select("id").distinct(), "id", "left_semi")
-    best = code.join(files.select("id", F.col("path").alias("target")), "target").groupBy("id").agg(F.max("relevance").alias("r")).orderBy(F.desc("r"), "id").limit(5)
+    # what one task names and finds is few; tables of files go to no driver, however small their file is
+    named = files.join(F.broadcast(mentioned.select("id").distinct()), "id", "left_semi")
+    best = F.broadcast(code).join(files.select("id", F.col("path").alias("target")), "target").groupBy("id").agg(F.max("relevance").alias("r")).orderBy(F.desc("r"), "id").limit(5)
     around = named.select("id").unionByName(best.select("id")).distinct()
     path = files.select("id", "path")
-    needs = edges.where("dst is not null").join(named.select(F.col("id").alias("src"), F.col("path").alias("by")), "src").join(named.select(F.col("id").alias("dst")), "dst", "left_anti")
+    needs = edges.where("dst is not null").join(F.broadcast(named.select(F.col("id").alias("src"), F.col("path").alias("by"))), "src").join(F.broadcast(named.select(F.col("id").alias("dst"))), "dst", "left_anti")
     needs = needs.groupBy("dst").agg(F.count_distinct("src").alias("n"), F.array_join(F.array_sort(F.collect_set("by")), ", ").alias("by"))
-    needs = with_summary(needs.join(path.withColumnRenamed("id", "dst"), "dst"), summaries)
+    needs = with_summary(needs.join(path.withColumnRenamed("id", "dst").hint("merge"), "dst"), summaries)
     told = F.coalesce("summary", F.lit(""))
-    users = edges.join(around.select(F.col("id").alias("dst")), "dst", "left_semi").join(around.select(F.col("id").alias("src")), "src", "left_anti")
-    users = users.join(path.select(F.col("id").alias("dst"), F.substring_index("path", "/", -1).alias("of")), "dst").groupBy("src").agg(F.count_distinct("dst").alias("n"), F.array_join(F.array_sort(F.collect_set("of")), ", ").alias("of"))
-    users = users.join(path.withColumnRenamed("id", "src"), "src").orderBy(F.desc("n"), "path").limit(25)
+    users = edges.join(F.broadcast(around.select(F.col("id").alias("dst"))), "dst", "left_semi").join(F.broadcast(around.select(F.col("id").alias("src"))), "src", "left_anti")
+    users = users.join(path.select(F.col("id").alias("dst"), F.substring_index("path", "/", -1).alias("of")).hint("merge"), "dst").groupBy("src").agg(F.count_distinct("dst").alias("n"), F.array_join(F.array_sort(F.collect_set("of")), ", ").alias("of"))
+    users = users.join(path.withColumnRenamed("id", "src").hint("merge"), "src").orderBy(F.desc("n"), "path").limit(25)
     total = around.agg(F.count("*").alias("total")).withColumn("k", F.lit(1))
     users = users.withColumn("k", F.lit(1)).join(total, "k")
     scoped = commits_of_files(commits, commit_files, best)

@@ -19,7 +19,7 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
 
 
 def commits(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "customer").select("c_custkey", "c_name")
+    c = read(spark, d, "customer").select("c_custkey", "c_name").hint("merge")  # a file of a few MB may hold a million names
     o = read(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
     return o.select(F.col("o_orderkey").alias("id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha"), F.col("c_name").alias("author_name"), F.col("o_orderdate").alias("committed_at"), F.col("o_orderpriority").alias("message"))
 

@@ -134,7 +134,8 @@ def get_review_context(store: Store, since: str, until: str, budget: int = 8000)
 def enrich_task_context(store: Store, query: str, vector: list[float] | None = None, budget: int = 16000) -> DataFrame:
     """All that helps with a task: named files, search, dependants and history."""
     said = store.spark.createDataFrame([(query,)], "q string").select(F.posexplode(T.mentions(F.col("q"))).alias("ord", "mention"))
-    named = store["files"].join(R.match_mentions(said, store["files"]).select("path"), "path", "left_semi")
+    said = F.broadcast(said)  # the paths that one text names; their size is unknown to Spark, which would take all files instead
+    named = store["files"].join(F.broadcast(R.match_mentions(said, store["files"]).select("path")), "path", "left_semi")
     return A.task_context(named, search_codebase(store, query, vector, 20), store["files"], store["summaries"], store["edges"], store["commits"], store["commit_files"], budget)
 
 

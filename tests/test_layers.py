@@ -228,3 +228,22 @@ def test_corrected_semantics(spark):
     items = spark.createDataFrame([("h", 1, i, f"item {i} " + "w" * 50, i % 3 / 3) for i in range(300)], "heading string, priority int, ord long, content string, relevance double")
     whole, pruned = (C.truncate(C.build_sections(items, b), 200).collect() for b in (None, 200))
     assert whole == pruned and np.isfinite(whole[0]["tokens"])
+
+
+def test_a_task_takes_no_table_of_files_to_the_driver(spark):
+    from codestrata.plans.catalog import QUERIES
+
+    got = QUERIES["task_context"][0](spark, "/root/testdata/sf0.01")
+    assert got.collect()
+    seen, rows = [got._jdf.queryExecution().executedPlan()], []
+    while seen:
+        node = seen.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            seen.append(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            seen.append(node.plan())
+        if node.nodeName() == "BroadcastExchange":
+            rows.append(node.metrics().apply("numOutputRows").value())
+        kids = node.children()
+        seen += [kids.apply(i) for i in range(kids.size())]
+    assert rows and max(rows) < 500  # 2,000 files, and 8,000 tails of their paths
