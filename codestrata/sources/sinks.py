@@ -77,15 +77,24 @@ def plan_json(nested: DataFrame) -> DataFrame:
 def table_lines(results: DataFrame) -> DataFrame:
     """(rank, line): search results (score, path, symbol, kind, summary) as lines of a text table.
 
-    Results are the few of one search; ranks follow score and path.
+    Ranks follow score and path: rows are dealt by ranges, sorted, and counted on from the rows of the ranges before,
+    so no task holds all of them.
     """
     from pyspark.sql import Window as W
 
+    from codestrata.operators.graph import _cut
+
     pad = lambda c, n: F.rpad(F.coalesce(c, F.lit("?")), F.greatest(F.lit(n), F.char_length(F.coalesce(c, F.lit("?")))), F.lit(" "))
-    ranked = results.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "path", "symbol")))
-    share = F.format_string("%5.1f%%  ", F.col("score") * 100)
     short = F.when(F.char_length("summary") > 60, F.concat(F.substring("summary", 1, 60), F.lit("..."))).otherwise(F.col("summary"))
-    line = F.concat(F.lit("  "), F.rpad(F.col("rank").cast("string"), 4, " "), share, pad(F.col("kind"), 12), pad(F.col("symbol"), 30), pad(F.col("path"), 40), short)
+    keys = [F.desc("score"), F.asc("path"), F.asc("symbol")]
+    dealt = results.select("score", "path", "symbol", "kind", short.alias("summary")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # written once, as places depend on how the rows were dealt
+    placed = _cut(dealt.withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    before = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a partition
+    starts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    ranked = placed.join(F.broadcast(starts), "part").withColumn("rank", (F.col("start") + F.col("at") - F.shiftleft("part", 33) + 1).cast("int"))
+    share = F.format_string("%5.1f%%  ", F.col("score") * 100)
+    line = F.concat(F.lit("  "), F.rpad(F.col("rank").cast("string"), 4, " "), share, pad(F.col("kind"), 12), pad(F.col("symbol"), 30), pad(F.col("path"), 40), "summary")
     return ranked.select("rank", line.alias("line"))
 
 

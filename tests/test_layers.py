@@ -247,3 +247,20 @@ def test_a_task_takes_no_table_of_files_to_the_driver(spark):
         kids = node.children()
         seen += [kids.apply(i) for i in range(kids.size())]
     assert rows and max(rows) < 500  # 2,000 files, and 8,000 tails of their paths
+
+
+def test_a_long_table_is_ranked_in_many_tasks(spark):
+    from codestrata.sources import sinks as S
+
+    text = F.lit(None).cast("string")
+    rows = spark.range(5000).select((F.col("id") % 7 / 7).alias("score"), F.format_string("p%05d", F.col("id")).alias("path"), text.alias("symbol"), F.lit("k").alias("kind"), F.lit("s").alias("summary"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # 5,000 rows are few
+    try:
+        lines = S.table_lines(rows)
+        tasks = lines.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = lines.orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 5001))
+    assert [r["line"].split()[4] for r in got] == [f"p{i:05}" for i in sorted(range(5000), key=lambda i: (-(i % 7), i))]
+    assert tasks > 1  # one window over all rows is one task
