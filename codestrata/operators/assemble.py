@@ -173,7 +173,8 @@ def module_context(module: str, files: DataFrame, summaries: DataFrame, edges: D
 def review_context(commits: DataFrame, commit_files: DataFrame, summaries: DataFrame, findings: DataFrame, since: str, until: str, budget: int = 8000) -> DataFrame:
     """What happened between two dates (J12).  ``findings`` (severity, title, description, evidence)."""
     scope = commits.where(F.col("committed_at").between(F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")))
-    touched = commit_files.join(scope.select(F.col("id").alias("commit_id")), "commit_id", "left_semi")
+    # a span may hold many commits and paths: neither goes to the driver
+    touched = commit_files.join(scope.select(F.col("id").alias("commit_id")).hint("merge"), "commit_id", "left_semi")
     paths = touched.select(F.col("file_path").alias("path")).distinct()
     n = scope.agg(F.count("*").alias("n")).withColumn("k", F.lit(1))
     m = paths.agg(F.count("*").alias("m")).withColumn("k", F.lit(1))
@@ -182,7 +183,7 @@ def review_context(commits: DataFrame, commit_files: DataFrame, summaries: DataF
     told = F.concat(F.lit("**"), F.col("n").cast("string"), F.lit(" commits**, **"), F.col("m").cast("string"), F.lit(" files changed**\nTop authors: "), "who", F.lit(f"\nPeriod: {since[:10]} to {until[:10]}"))
     summary = n.join(m, "k").join(who, "k").select(F.when(F.col("n") > 0, told).otherwise(F.lit("No commits found in the specified date range.")).alias("content"))
     shown = with_summary(paths.orderBy("path").limit(30), summaries.withColumn("content", F.substring("content", 1, 150)))
-    hot = H.hotspots(commit_files, 10).join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    hot = H.hotspots(commit_files, 10).join(paths.select(F.col("path").alias("file_path")).hint("merge"), "file_path", "left_semi")
     texts = findings.select("evidence").distinct().select(F.sha2("evidence", 256).alias("id"), F.col("evidence").alias("text"))
     held = M.containing(texts, paths.select(F.col("path").alias("pattern"))).select("id").distinct()
     named = findings.where("evidence is not null").withColumn("id", F.sha2("evidence", 256)).join(held, "id", "left_semi").select("severity", "title", "description").distinct()

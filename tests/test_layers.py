@@ -264,3 +264,10 @@ def test_a_long_table_is_ranked_in_many_tasks(spark):
     assert [r["rank"] for r in got] == list(range(1, 5001))
     assert [r["line"].split()[4] for r in got] == [f"p{i:05}" for i in sorted(range(5000), key=lambda i: (-(i % 7), i))]
     assert tasks > 1  # one window over all rows is one task
+
+
+def test_a_review_takes_no_table_of_files_to_the_driver(spark):
+    from codestrata.plans.catalog import QUERIES
+
+    plan = QUERIES["review_context"][0](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(strategy=merge)") >= 4  # files, commits, paths and customers
