@@ -25,6 +25,8 @@ COMPONENT = r"^(\w[\w -]*?):[\h\x0A-\x0D\x{FEFF}\x{2028}\x{2029}]"
 KEPT = 500
 #: Fixed value: the error of a run that stopped reporting.
 INTERRUPTED = "Interrupted by process restart"
+#: States among which the runs of a stream are dealt.
+BUCKETS = 8192
 
 
 def log_entries(lines: DataFrame, text: str = "value", now: Column | None = None) -> DataFrame:
@@ -118,37 +120,31 @@ def runs_batch(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     return both.select("run_id", F.when(stale, "failed").otherwise(F.col("status")).alias("status"), "duration_ms", "done", "total", "cost", F.when(stale, INTERRUPTED).otherwise(F.col("error")).alias("error"))
 
 
-def runs_stream(events: DataFrame, late: str = "1 hour", idle_ms: int = 6 * 3_600_000, forget_ms: int = 7 * 86_400_000) -> DataFrame:
+def runs_stream(events: DataFrame, late: str = "1 hour", idle_ms: int = 6 * 3_600_000, forget_ms: int = 7 * 86_400_000, buckets: int = BUCKETS) -> DataFrame:
     """The life of each run that a micro-batch tells of, as :func:`runs_batch` has it.
 
     Repeated events count once: they are dropped by id until the watermark passes them, and are late then.  A run that reports
     nothing for ``idle_ms`` fails, and is running again when it reports; ``forget_ms`` after its last event its state goes, and
-    a later event begins a new life.
+    a later event begins a new life.  A state holds the runs of one of ``buckets`` by a hash, each with a deadline of its own, as a
+    call of Python for each run costs more than its events; a checkpoint goes on only with the number that it began with.
     """
     def later(a: list | None, b: list) -> list:
         return b if a is None or (b[0], b[1]) > (a[0], a[1]) else a
 
-    def row(key: int, s: dict) -> pd.DataFrame:
+    def row(s: dict) -> str:
         end = s["end"]
         status = ("completed" if end[2] == "complete" else "failed") if end else "failed" if s["stale"] else "running"
         error = INTERRUPTED if s["stale"] and not end else s["error"][2] if end and end[2] == "fail" and s["error"] else None
-        one = dict(status=status, started_us=s["start"], ended_us=s["ended"], done=s["done"][2] if s["done"] else None, total=s["total"], cost=round(s["cost"], 4), error=error)
-        return pd.DataFrame({"run_id": [key], "told": [json.dumps(one)]})
+        return json.dumps(dict(status=status, started_us=s["start"], ended_us=s["ended"], done=s["done"][2] if s["done"] else None, total=s["total"], cost=round(s["cost"], 4), error=error))
 
     def live(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            s = json.loads(state.get[0])
-            if s["end"] or s["stale"]:
-                state.remove()
-                return
-            s["stale"] = True
-            state.update((json.dumps(s),))
-            state.setTimeoutTimestamp(max(s["seen"] // 1000 + forget_ms, state.getCurrentWatermarkMs() + 1))
-            yield row(key[0], s)
-            return
-        s = json.loads(state.get[0]) if state.exists else dict(start=None, ended=None, end=None, done=None, total=None, cost=0.0, error=None, seen=0)
-        for b in batches:
-            for no, us, event, done, total, cost, error in map(json.loads, b["told"].tolist()):
+        runs: dict[str, dict] = json.loads(state.get[0]) if state.exists else {}
+        now, told = state.getCurrentWatermarkMs(), {}
+        for b in () if state.hasTimedOut else batches:
+            for run, no, us, event, done, total, cost, error in map(json.loads, b["told"].tolist()):
+                run = str(run)
+                if (s := told.get(run)) is None:
+                    s = told[run] = runs.setdefault(run, dict(start=None, ended=None, end=None, done=None, total=None, cost=0.0, error=None, seen=0))
                 s["seen"], s["cost"] = max(s["seen"], us), s["cost"] + (cost or 0.0)
                 if total is not None:
                     s["total"] = max(total, s["total"] if s["total"] is not None else total)
@@ -160,17 +156,28 @@ def runs_stream(events: DataFrame, late: str = "1 hour", idle_ms: int = 6 * 3_60
                     s["end"], s["ended"] = later(s["end"], [us, no, event]), max(us, s["ended"] or us)
                     if event == "fail":
                         s["error"] = later(s["error"], [us, no, error])
-        s["stale"] = False
-        state.update((json.dumps(s),))
-        wait = forget_ms if s["end"] else idle_ms
-        state.setTimeoutTimestamp(max(s["seen"] // 1000 + wait, state.getCurrentWatermarkMs() + 1))
-        yield row(key[0], s)
+        for s in told.values():
+            s["stale"] = False
+            s["until"] = max(s["seen"] // 1000 + (forget_ms if s["end"] else idle_ms), now + 1)
+        for run in [r for r, s in runs.items() if r not in told and s["until"] < now]:
+            s = runs[run]
+            if s["end"] or s["stale"]:
+                del runs[run]
+                continue
+            s["stale"], s["until"] = True, max(s["seen"] // 1000 + forget_ms, now + 1)
+            told[run] = s
+        if runs:
+            state.update((json.dumps(runs),))
+            state.setTimeoutTimestamp(max(min(s["until"] for s in runs.values()), now + 1))
+        else:
+            state.remove()
+        yield pd.DataFrame({"run_id": pd.Series(map(int, told), dtype="int64"), "told": pd.Series(map(row, told.values()), dtype=object)})
 
     timed = _told(events).where("ts is not null and run_id is not null").withWatermark("ts", late)
     # one text an event and one a state, as Arrow's cost for a key grows with the columns
-    told = F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(c, F.lit("null")) for c in (F.col("event_id").cast("string"), F.unix_micros("ts").cast("string"), _text("event"), F.col("done").cast("string"), F.col("total").cast("string"), F.col("cost").cast("string"), _text("error"))]), F.lit("]"))
-    once = timed.dropDuplicatesWithinWatermark(["run_id", "event_id"]).select("run_id", "ts", told.alias("told"))
-    folded = once.groupBy("run_id").applyInPandasWithState(live, "run_id long, told string", "told string", "append", "EventTimeTimeout")
+    told = F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(c, F.lit("null")) for c in (F.col("run_id").cast("string"), F.col("event_id").cast("string"), F.unix_micros("ts").cast("string"), _text("event"), F.col("done").cast("string"), F.col("total").cast("string"), F.col("cost").cast("string"), _text("error"))]), F.lit("]"))
+    once = timed.dropDuplicatesWithinWatermark(["run_id", "event_id"]).select(F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("bucket"), "ts", told.alias("told"))
+    folded = once.groupBy("bucket").applyInPandasWithState(live, "run_id long, told string", "told string", "append", "EventTimeTimeout")
     r = folded.select("run_id", F.from_json("told", _RUN).alias("r"))
     return r.select("run_id", "r.status", ((F.col("r.ended_us") - F.col("r.started_us")) / 1000).cast("long").alias("duration_ms"), "r.done", "r.total", "r.cost", "r.error")
 
