@@ -24,6 +24,8 @@ mean, with a deviation of 8.  Up to ``sure`` bits, four deviations below, are a
 above, are verified by the exact similarity of the two sets of shingles; more are none.  On a crowded
 key the sure links are followed first, and the groups that they make are then joined by their nearest
 members that are not sure (Boruvka's steps, three edges a group and step), which are verified as well.
+Nearest members may all fail while farther ones are links: :func:`wide_classes` then verifies the candidates
+that still lie between different classes, nearest first and more of them in each round, until none is left.
 
 Defined results: null text counts as empty and has fingerprint zero; a document of fewer words than a
 shingle has one shingle; a row with null id keeps its fingerprint and forms its own component (null).
@@ -32,7 +34,8 @@ Rows may share an id: classes are formed by fingerprints and kept rows are told
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +53,8 @@ PAIRS = 16
 SPREAD = 16_000
 #: Distinct fingerprints of a key that one task searches (8 bytes each).
 CROWD = 20_000
+#: Members of a key whose pairs between classes one task lists (two million pairs at most).
+BETWEEN = 2_000
 BITS = 3
 _LOW = 0xFFFFFFFF
 
@@ -290,6 +295,35 @@ def wide_links(distinct: DataFrame, scheme: Wide = WIDE, crowd: int = CROWD, pai
     searched as one group; more members are dealt into blocks of half that size, and every two blocks
     of a key are searched together, so a task's memory is bounded and no candidate is left out.
     """
+    return _spanning(distinct, scheme, crowd, *_candidates(distinct, scheme, pairs_up_to))
+
+
+def _spanning(distinct: DataFrame, scheme: Wide, crowd: int, pairs: DataFrame, more: DataFrame) -> DataFrame:
+    def search(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(wide_spanning_links(g["fp"].to_numpy(), _lanes_of(g, scheme), scheme.sure, scheme.bits), columns=["x", "y", "apart"], dtype="int64")
+
+    searched = _dealt(more.join(_compared(distinct, scheme), "fp"), crowd).groupBy("key", "i", "j").applyInPandas(search, "x long, y long, apart long")
+    return _edges(pairs, searched)
+
+
+def _compared(distinct: DataFrame, scheme: Wide) -> DataFrame:
+    return distinct.select("fp", *scheme.columns[scheme.index_lanes :])
+
+
+def _lanes_of(g: pd.DataFrame, scheme: Wide) -> np.ndarray:
+    return np.ascontiguousarray(g[scheme.columns[scheme.index_lanes :]].to_numpy(np.int64))
+
+
+def _edges(*parts: DataFrame) -> DataFrame:
+    """Edges with the smaller end first, each once."""
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "apart").distinct()
+
+
+def _candidates(distinct: DataFrame, scheme: Wide, pairs_up_to: int) -> tuple[DataFrame, DataFrame]:
+    """Near pairs (x, y, apart) of keys of up to ``pairs_up_to`` members, and the members (key, fp, n) of larger keys."""
     compared = scheme.columns[scheme.index_lanes :]
     spread = distinct.repartition(max(1, -(-distinct.count() // SPREAD)))
     segment = lambda s: F.shiftrightunsigned(F.col(f"s{s // 2}"), 32 * (s % 2)).bitwiseAND(F.lit(_LOW))
@@ -302,19 +336,73 @@ def wide_links(distinct: DataFrame, scheme: Wide = WIDE, crowd: int = CROWD, pai
     pairs = shared.where("n = 2").select("x", "y").unionByName(pairs).distinct()
     side = lambda name: distinct.select(F.col("fp").alias(name), F.struct(*compared).alias(f"l{name}"))
     apart = sum((F.bit_count(F.col(f"lx.{c}").bitwiseXOR(F.col(f"ly.{c}"))) for c in compared[1:]), F.bit_count(F.col(f"lx.{compared[0]}").bitwiseXOR(F.col(f"ly.{compared[0]}"))))
-    verified = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", apart.alias("apart")).where(F.col("apart") <= scheme.bits)
-    large = more.where(F.col("n") > pairs_up_to).join(distinct.select("fp", *compared), "fp")
-    blocks = F.when(F.col("n") > crowd, F.ceil(F.col("n") / F.lit(max(1, crowd // 2)))).otherwise(1).cast("int")
-    large = large.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    large = large.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    near = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", apart.alias("apart")).where(F.col("apart") <= scheme.bits)
+    return near.withColumn("apart", F.col("apart").cast("long")), more.where(F.col("n") > pairs_up_to).select("key", "fp", "n")
 
+
+def _dealt(members: DataFrame, crowd: int) -> DataFrame:
+    """Members of keys with more than ``crowd`` of them (n) in blocks of half that size, every two blocks (i, j) of a key together."""
+    blocks = F.when(F.col("n") > crowd, F.ceil(F.col("n") / F.lit(max(1, crowd // 2)))).otherwise(1).cast("int")
+    dealt = members.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("m", "own", "other")
+
+
+def between_classes(ids: np.ndarray, lanes: np.ndarray, labels: np.ndarray, bits: int, each: int) -> tuple[list[tuple[int, int, int]], bool]:
+    """For every label but the most frequent one its ``each`` nearest pairs (id, id, differing bits) with others, and whether there are more."""
+    lanes = lanes.view(np.uint64)
+    names, sizes = np.unique(labels, return_counts=True)
+    found: list[tuple[int, int, int]] = []
+    more = False
+    for name in np.delete(names, sizes.argmax()):
+        inside = np.flatnonzero(labels == name)
+        outside = np.flatnonzero(labels != name)
+        near: list[tuple[int, int, int]] = []
+        for x in inside:
+            d = np.bitwise_count(lanes[outside] ^ lanes[x]).sum(axis=1, dtype=np.int64)
+            hit = np.flatnonzero(d <= bits)
+            near += zip(d[hit].tolist(), [int(ids[x])] * len(hit), ids[outside[hit]].tolist(), strict=True)
+            if len(near) > 2 * each:
+                near, more = heapq.nsmallest(each, near), True
+        more = more or len(near) > each
+        found += [(x, y, n) for n, x, y in heapq.nsmallest(each, near)]
+    return found, more
+
+
+def _between(scheme: Wide, each: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def search(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(wide_spanning_links(g["fp"].to_numpy(), np.ascontiguousarray(g[compared].to_numpy(np.int64)), scheme.sure, scheme.bits), columns=["x", "y", "apart"], dtype="int64")
+        pairs, more = between_classes(g["fp"].to_numpy(), _lanes_of(g, scheme), g["label"].to_numpy(), scheme.bits, each)
+        return pd.DataFrame(pairs, columns=["x", "y", "apart"], dtype="int64").assign(more=more)
 
-    searched = large.groupBy("key", "i", "j").applyInPandas(search, "x long, y long, apart long")
-    edges = verified.select("x", "y", F.col("apart").cast("long").alias("apart")).unionByName(searched)
-    return edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "apart").distinct()
+    return search
+
+
+def wide_classes(distinct: DataFrame, texts: DataFrame, scheme: Wide = WIDE, crowd: int = CROWD, pairs_up_to: int = PAIRS, each: int = 64) -> DataFrame:
+    """(fp, label) of every row of ``distinct``: the classes that all candidates that are links make; ``texts`` is (fp, text).
+
+    What :func:`wide_links` finds is verified first.  Then, of crowded keys that hold several classes, the ``each`` nearest
+    pairs between a class and the others are verified, 64 times as many in each round, until no key has more.
+    Blocks of ``BETWEEN`` members bound the pairs of a task.
+    """
+    pairs, members = _candidates(distinct, scheme, pairs_up_to)
+    near = cut(_spanning(distinct, scheme, crowd, pairs, members))
+    linked = cut(verified_links(near, texts, scheme))
+    tested = near.select("x", "y")
+    while True:
+        labels = cut(_classes(distinct.select("fp"), linked))
+        several = members.join(labels, "fp")
+        mixed = several.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+        dealt = _dealt(several.join(mixed, "key").join(_compared(distinct, scheme), "fp"), min(crowd, BETWEEN))
+
+        found = cut(dealt.groupBy("key", "i", "j").applyInPandas(_between(scheme, each), "x long, y long, apart long, more boolean"))
+        new = cut(_edges(found.select("x", "y", "apart")).join(tested, ["x", "y"], "left_anti"))
+        n, more = new.count(), found.where("more").limit(1).count()
+        if n:
+            linked = cut(linked.unionByName(verified_links(new, texts, scheme)))
+            tested = cut(tested.unionByName(new.select("x", "y")))
+        if not more:
+            return labels if not n else _classes(distinct.select("fp"), linked)
+        each *= 64
 
 
 def verified_links(edges: DataFrame, texts: DataFrame, scheme: Wide = WIDE) -> DataFrame:
@@ -363,8 +451,7 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", scheme:
     # a text for each fingerprint, read only for those that have an edge to verify
     own = named.select(F.col(doc_id).alias("i"), th.alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = own.join(one, (F.col("i") == F.col("first.doc_id")) & (F.col("h") == F.col("first.th"))).select("fp", "text")
-    edges = cut(verified_links(wide_links(distinct, scheme, **tiers), texts, scheme))
-    labels = _classes(distinct.select("fp"), edges)
+    labels = wide_classes(distinct, texts, scheme, **tiers)
     first = one.join(labels, "fp").groupBy("label").agg(F.min("first").alias("first"))
     first = first.select(F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th"))
     kept = named.withColumn("__own", th).join(first, (F.col(doc_id) == F.col("__id")) & (F.col("__own") == F.col("__th")), "left_semi")
