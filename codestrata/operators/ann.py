@@ -19,6 +19,8 @@ from codestrata.operators.vector import cosine
 PARTS, CODES, SAMPLE = 32, 64, 8000
 #: Candidates of a query that are ranked exactly, queries that are scored in one pass, and pivots at most.
 RANKED, QUERIES, PIVOTS = 150, 1000, 2000
+#: Rows that a task scores at a time, and vectors of the places of near duplicates that travel together.
+SLICE, REGION = 1000, 20_000
 
 
 def _unit(vectors: pd.Series, width: int) -> np.ndarray:
@@ -135,21 +137,38 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, block: int =
     """Pairs (a < b) with cosine over the threshold, exact (I4, D23); see :func:`meetings`."""
     dealt = meetings(embeddings, threshold, block)[0]
 
+    def near(home: pd.DataFrame, x: np.ndarray, other: pd.DataFrame, y: np.ndarray) -> Iterator[pd.DataFrame]:
+        for first in range(0, len(other), SLICE):
+            sim = x @ y[first : first + SLICE].T
+            i, j = np.nonzero(sim > threshold - 1e-5)
+            told = np.round(sim[i, j], 6)
+            a, b = home["vec_id"].to_numpy()[i], other["vec_id"].to_numpy()[first + j]
+            keep = (told > threshold) & (a != b)
+            yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": told[keep]})
+
     def meet(g: pd.DataFrame) -> pd.DataFrame:
-        home, guests = g[~g["guest"]], g[g["guest"]]
+        home, guests = g[g["visits"].isna()], g[g["visits"].notna()]
+        if not len(home):
+            return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64", "similarity": "float64"})
         width = len(g["u"].iloc[0])
-        x, out = _unit(home["u"], width), []
-        for other, own in ((home, True), (guests, False)):
-            if own and g["chunk"].iloc[0] != 0 or not len(home) or not len(other):
-                continue
-            sim = np.round(x @ _unit(other["u"], width).T, 6)
-            i, j = np.nonzero(sim > threshold)
-            a, b = home["vec_id"].to_numpy()[i], other["vec_id"].to_numpy()[j]
-            keep = a < b if own else a != b
-            out += zip(np.minimum(a, b)[keep], np.maximum(a, b)[keep], sim[i, j][keep], strict=True)
-        return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
-
-    return dealt.groupBy("cell", "sub", "chunk").applyInPandas(meet, "a long, b long, similarity double")
+        places = {place: (own, _unit(own["u"], width)) for place, own in home.groupby("place")}
+        out = []
+        if g["chunk"].iloc[0] == 0:
+            for own, x in places.values():  # each pair of a place from both sides
+                out += [f.drop_duplicates() for f in near(own, x, own, x)]
+        y = _unit(guests["u"], width)
+        visits = guests["visits"].tolist()
+        came: dict[int, list[int]] = {}
+        for i, v in enumerate(visits):
+            for place in v:
+                came.setdefault(int(place), []).append(i)
+        for place, at in came.items():
+            if place in places:
+                out += near(*places[place], guests.iloc[at], y[at])
+        found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
+        return found.drop_duplicates(["a", "b"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+    return dealt.groupBy("region", "chunk").applyInPandas(meet, "a long, b long, similarity double")
 
 
 def meetings(embeddings: DataFrame, threshold: float, block: int) -> tuple[DataFrame, float]:
@@ -158,7 +177,8 @@ def meetings(embeddings: DataFrame, threshold: float, block: int) -> tuple[DataF
     Each vector lives in the cell of its nearest pivot, cells in blocks of about ``block``.  By the triangle inequality on
     angles a vector can only be near one of a cell if its angle to the pivot is at most the cell's radius and the
     threshold's angle together, so it visits only such cells, of a higher number than its own; within a cell it visits
-    the blocks before its own.  Guests of a block come in chunks of about ``block``, so a task holds two blocks.
+    the blocks before its own.  Blocks that follow each other are a region of about ``REGION`` vectors, to which a guest
+    travels once, with the list of the blocks that it visits there; guests come in chunks of ``REGION``, so a task holds two regions.
     """
     pivots, n = _sample(embeddings, max(1, min(PIVOTS, -(-embeddings.count() // block))))
     pivots = pivots[:PIVOTS] if len(pivots) else np.zeros((1, 1))
@@ -166,36 +186,47 @@ def meetings(embeddings: DataFrame, threshold: float, block: int) -> tuple[DataF
     slack = 1e-4  # similarities are rounded to six digits before they are compared
     reach = float(np.arccos(np.clip(threshold, -1, 1))) + slack
 
-    @F.pandas_udf("cell int, angle double, u array<double>")
+    @F.pandas_udf("cell int, angle double")
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vectors in batches:
             x = _unit(vectors, width)
             angle = np.arccos(np.clip(x @ pivots.T, -1, 1))
-            yield pd.DataFrame({"cell": angle.argmin(axis=1).astype("int32"), "angle": angle.min(axis=1), "u": list(x)})
+            yield pd.DataFrame({"cell": angle.argmin(axis=1).astype("int32"), "angle": angle.min(axis=1)})
 
     # a zero vector is near none, and one of another width equals no other by definition
-    e = _cut(embeddings.where(F.size("embedding") == width).select("vec_id", place("embedding").alias("p")).select("vec_id", "p.*").where(F.exists("u", lambda v: v != 0)))
+    e = embeddings.where(F.size("embedding") == width).select("vec_id", F.col("embedding").alias("u"), place("embedding").alias("p")).select("vec_id", "u", "p.*")
+    e = _cut(e.where(F.exists("u", lambda v: v != 0)))
     facts = {r["cell"]: (r["n"], r["r"]) for r in e.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()}  # at most PIVOTS rows
     size = np.array([facts.get(c, (0, 0.0))[0] for c in range(len(pivots))])
     radius = np.array([facts.get(c, (0, 0.0))[1] for c in range(len(pivots))])
-    subs = np.maximum(1, -(-size // block)).tolist()
-    blocks = F.element_at(F.array(*map(F.lit, subs)), F.col("cell") + 1)
-    e = e.withColumn("sub", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+    subs = np.maximum(1, -(-size // block))
+    first = np.concatenate([[0], np.cumsum(subs)])  # the places of a cell follow each other
+    together = max(1, REGION // block)
+    number = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cell") + 1)
+    sub = F.pmod(F.xxhash64("vec_id"), number(subs.tolist())).cast("int")
+    e = e.withColumn("place", (number(first[:-1].tolist()) + sub).cast("int"))
 
     @F.pandas_udf("array<int>")
-    def visited(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for vectors, cell in batches:
+    def visited(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for vectors, cell, own in batches:
             angle = np.arccos(np.clip(_unit(vectors, width) @ pivots.T, -1, 1))
             may = (angle <= radius[None, :] + reach) & (size > 0)[None, :] & (np.arange(len(size))[None, :] > cell.to_numpy()[:, None])
-            yield pd.Series([np.nonzero(m)[0].astype("int32") for m in may], dtype=object)
-
-    abroad = e.select("vec_id", "u", F.explode(visited("u", "cell")).alias("cell"))
-    abroad = abroad.select("vec_id", "u", "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("sub"))
-    at_home = e.where("sub > 0").select("vec_id", "u", "cell", F.explode(F.sequence(F.lit(0), F.col("sub") - 1)).alias("sub"))
-    guests = _cut(abroad.unionByName(at_home))
-    count = {r["cell"]: r["n"] for r in guests.where("sub = 0").groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    chunks = F.element_at(F.array(*(F.lit(max(1, -(-count.get(c, 0) // block))) for c in range(len(pivots)))), F.col("cell") + 1)
-    home = e.select("vec_id", "u", "cell", "sub", F.lit(False).alias("guest"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-    came = guests.select("vec_id", "u", "cell", "sub", F.lit(True).alias("guest"), F.pmod(F.xxhash64("vec_id", F.lit(1)), chunks).cast("int").alias("chunk"))
-    met = sum(int(s) * (int(s) - 1) / 2 for s in size) + sum(v * int(size[c]) for c, v in count.items()) - sum(int(s) * (int(s) - 1) / 2 * (1 - 1 / b) for s, b in zip(size, subs, strict=True))
+            out = []
+            for m, c, p in zip(may, cell, own, strict=True):
+                cells = [np.arange(first[c], p), *(np.arange(first[x], first[x + 1]) for x in np.nonzero(m)[0])]
+                out.append(np.concatenate(cells).astype("int32"))
+            yield pd.Series(out, dtype=object)
+
+    # a vector travels once to a region, with the places that it visits there
+    came = e.select("vec_id", "u", "cell", "place", visited("u", "cell", "place").alias("all"))
+    of = F.transform("all", lambda p: F.floor(p / together).cast("int"))
+    came = came.select("vec_id", "u", "all", F.explode(F.array_distinct(of)).alias("region"))
+    came = came.select("vec_id", "u", F.filter("all", lambda p: F.floor(p / together).cast("int") == F.col("region")).alias("visits"), "region")
+    told = {r["region"]: (r["n"], r["v"]) for r in came.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.size("visits")).alias("v")).collect()}  # a row a region
+    chunks = F.coalesce(F.try_element_at(F.create_map(*(F.lit(int(x)) for r, (n, _) in told.items() for x in (r, -(-n // REGION)))), F.col("region")), F.lit(1)) if told else F.lit(1)
+    home = e.select("vec_id", "u", "place", F.lit(None).cast("array<int>").alias("visits"), F.floor(F.col("place") / together).cast("int").alias("region"))
+    home = home.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    came = came.select("vec_id", "u", F.lit(None).cast("int").alias("place"), "visits", "region").withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), chunks).cast("int"))
+    mean = size.sum() / max(1, first[-1])
+    met = sum(int(s) * (int(s) - 1) / 2 / int(b) for s, b in zip(size, subs, strict=True)) + sum(v for _, v in told.values()) * mean
     return home.unionByName(came), met / max(1.0, n * (n - 1) / 2)
