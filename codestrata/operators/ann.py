@@ -93,6 +93,7 @@ def candidates(spark: SparkSession, folder: str, queries: DataFrame, ranked: int
     width = sum(c.shape[1] for c in centres if len(c))
     codes = spark.read.parquet(f"{folder}/codes")
     kind = dict(queries.dtypes)["query_id"], dict(codes.dtypes)["vec_id"]
+    named = np.int64 if kind[1] == "bigint" else object
     passes = max(1, -(-queries.count() // QUERIES))
     found = None
     for i in range(passes):
@@ -102,16 +103,19 @@ def candidates(spark: SparkSession, folder: str, queries: DataFrame, ranked: int
         table = [x[:, edges[p] : edges[p + 1]] @ c.T for p, c in enumerate(centres)]
         ids = [r[0] for r in rows]
 
-        def score(batches: Iterator[pd.DataFrame], table=table, ids=ids) -> Iterator[pd.DataFrame]:
-            best = [(np.zeros(0), np.zeros(0, dtype=object))] * len(ids)
+        def score(batches: Iterator[pd.DataFrame], table=table, ids=ids, named=named) -> Iterator[pd.DataFrame]:
+            best = [(np.zeros(0), np.zeros(0, dtype=named))] * len(ids)
             for b in batches:
-                code = np.frombuffer(b"".join(b["code"]), dtype=np.uint8).reshape(len(b), -1)
-                own = b["vec_id"].to_numpy(dtype=object)
-                total = sum(t[:, code[:, p]] for p, t in enumerate(table))
-                for q in range(len(ids)):
-                    s, v = np.concatenate([best[q][0], total[q]]), np.concatenate([best[q][1], own])
-                    top = np.argpartition(-s, ranked)[:ranked] if len(s) > ranked else slice(None)
-                    best[q] = s[top], v[top]
+                for first in range(0, len(b), SLICE):  # scores of all queries with a slice, 8 MB
+                    rows = b.iloc[first : first + SLICE]
+                    code = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
+                    own, total = rows["vec_id"].to_numpy(), np.zeros((len(ids), len(rows)))
+                    for p, t in enumerate(table):
+                        total += t[:, code[:, p]]
+                    for q in range(len(ids)):
+                        s, v = np.concatenate([best[q][0], total[q]]), np.concatenate([best[q][1], own])
+                        top = np.argpartition(-s, ranked)[:ranked] if len(s) > ranked else slice(None)
+                        best[q] = s[top], v[top]
             for q, (s, v) in zip(ids, best, strict=True):
                 if len(s):
                     yield pd.DataFrame({"query_id": [q] * len(s), "vec_id": v.tolist(), "s": s})
