@@ -3,7 +3,7 @@
 A folder holds one log.  A run numbers its unanswered prompts once and writes them sorted (``todo``); each wave reads the
 next of them, asks, and writes its answers before another starts, so a prompt is evaluated by one write and by
 nothing else.  A wave starts only if the budget, less what was spent in fact, is not used up, and is as
-large as the mean cost so far lets the rest pay for; with ``wave=1`` that is the cutoff after each call.
+large as the mean cost so far lets the rest pay for, up to what was asked before it, so waves double; with ``wave=1`` that is the cutoff after each call.
 A run that was stopped goes on after its last whole wave.  A prompt that fails is a row with its error, and is
 asked again by another run.  Equal prompts are asked once and answer all their ids.
 """
@@ -26,7 +26,7 @@ SUFFIX = "\n\nAfter your summary, on a new line write CONFIDENCE: followed by a
 NEIGHBOURS = "\n\nAdditional context — neighboring symbols in the same file:\n"
 AGAIN = "\n\nPlease provide a more specific and accurate summary."
 NO_SIGNATURE = "no signature"
-#: Prompts of a wave at most, and of a task.
+#: Prompts of a wave at most, unless more were asked before it, and of a task.
 WAVE, TASK = 20_000, 200
 
 Ask = Callable[[str], tuple[str, float]]
@@ -73,7 +73,7 @@ def _numbered(todo: DataFrame) -> DataFrame:
     return todo.withColumn("part", part).join(starts, "part").withColumn("seq", F.col("start") + F.col("at") - F.shiftleft("part", 33)).drop("at", "part", "start")
 
 
-def _waves(chunks: DataFrame, folder: str, budget: float, answerer: Callable[[float], _One], run: str, known: DataFrame | None, wave: int) -> DataFrame | None:
+def _waves(chunks: DataFrame, folder: str, budget: float, answerer: Callable[[float], _One], run: str, known: DataFrame | None, wave: int | None) -> DataFrame | None:
     """The log's rows of ``run``; ``answerer`` makes, of the budget that is left, what answers one (prompt, context)."""
     spark = chunks.sparkSession
     base = folder.rstrip("/")
@@ -95,20 +95,25 @@ def _waves(chunks: DataFrame, folder: str, budget: float, answerer: Callable[[fl
                 yield pd.concat([b[["seq", "id", "input_hash", "name", "lines"]].reset_index(drop=True), told], axis=1).assign(run=run)
         return rows
 
-    while True:
-        log = _read(spark, f"{base}/answers")
-        done, spent, asked = (0, 0.0, 0) if log is None else log.where(F.col("run") == run).agg(F.coalesce(F.max("seq") + 1, F.lit(0)), F.coalesce(F.sum("cost"), F.lit(0.0)), F.count("*")).first()
-        if done >= total or spent >= budget:
-            break
-        size = wave if asked == 0 or spent == 0 else max(1, min(wave, int((budget - spent) * asked / spent)))
+    def told(rows: DataFrame | None) -> tuple[int, float, int]:
+        return (0, 0.0, 0) if rows is None else tuple(rows.where(F.col("run") == run).agg(F.coalesce(F.max("seq") + 1, F.lit(0)), F.coalesce(F.sum("cost"), F.lit(0.0)), F.count("*")).first())
+
+    done, spent, asked = told(log)
+    while done < total and spent < budget:
+        most = wave or max(WAVE, asked)
+        size = most if asked == 0 or spent == 0 else max(1, min(most, int((budget - spent) * asked / spent)))
         # with costs unknown the first wave is a small one
         size = min(size, TASK) if asked == 0 else size
         part = todo.where((F.col("seq") >= done) & (F.col("seq") < done + size)).repartition(max(1, -(-size // TASK)), "seq")
-        part.mapInPandas(asker(budget - spent), _ANSWERS.format(id=kind)).write.parquet(f"{base}/answers/{run}/{done}", mode="overwrite")
+        own = f"{base}/answers/{run}/{done}"
+        part.mapInPandas(asker(budget - spent), _ANSWERS.format(id=kind)).write.parquet(own, mode="overwrite")
+        end, cost, n = told(spark.read.parquet(own))  # of this wave only, as the log grows
+        done, spent, asked = max(done, end), spent + cost, asked + n
+    log = _read(spark, f"{base}/answers")
     return log.where(F.col("run") == run) if log is not None else None
 
 
-def summarise(chunks: DataFrame, folder: str, budget: float, ask: Ask = extractive_summariser, run: str = "1", known: DataFrame | None = None, wave: int = WAVE) -> DataFrame:
+def summarise(chunks: DataFrame, folder: str, budget: float, ask: Ask = extractive_summariser, run: str = "1", known: DataFrame | None = None, wave: int | None = None) -> DataFrame:
     """(id, input_hash, summary, quality_score, demoted, cost, calls, error) of prompts that ``run`` answered.
 
     ``chunks`` is (id, prompt, name, lines) and optionally context, see :func:`neighbour_context`; ``known`` (input_hash) are
@@ -135,7 +140,7 @@ def summarise(chunks: DataFrame, folder: str, budget: float, ask: Ask = extracti
     return answers(chunks, _waves(chunks, folder, budget, answerer, run, known, wave))
 
 
-def asked(prompts: DataFrame, folder: str, budget: float, ask: Ask, run: str = "1", wave: int = WAVE) -> tuple[DataFrame, float]:
+def asked(prompts: DataFrame, folder: str, budget: float, ask: Ask, run: str = "1", wave: int | None = None) -> tuple[DataFrame, float]:
     """(id, answer, cost, error) of the prompts (id, prompt), as they are and once, and what was spent; see :func:`summarise`."""
     def answerer(left: float) -> _One:
         def one(prompt: str, context: str) -> tuple[str | None, float, int, str | None]:
