@@ -26,6 +26,8 @@ key the sure links are followed first, and the groups that they make are then jo
 members that are not sure (Boruvka's steps, three edges a group and step), which are verified as well.
 Nearest members may all fail while farther ones are links: :func:`wide_classes` then verifies the candidates
 that still lie between different classes, nearest first and more of them in each round, until none is left.
+A pair of several keys is listed at the first of them only.  Exact sets travel by families of candidates: a set goes once to
+each block of its family that has a pair to verify, not once for each pair.
 
 Defined results: null text counts as empty and has fingerprint zero; a document of fewer words than a
 shingle has one shingle; a row with null id keeps its fingerprint and forms its own component (null).
@@ -55,6 +57,8 @@ SPREAD = 16_000
 CROWD = 20_000
 #: Members of a key whose pairs between classes one task lists (two million pairs at most).
 BETWEEN = 2_000
+#: Shingles of the sets that a task verifies (8 bytes each), but for a single text that has more.
+SETS = 1 << 19
 BITS = 3
 _LOW = 0xFFFFFFFF
 
@@ -345,12 +349,27 @@ def _dealt(members: DataFrame, crowd: int) -> DataFrame:
     blocks = F.when(F.col("n") > crowd, F.ceil(F.col("n") / F.lit(max(1, crowd // 2)))).otherwise(1).cast("int")
     dealt = members.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("m", "own", "other")
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("m", "other")
 
 
-def between_classes(ids: np.ndarray, lanes: np.ndarray, labels: np.ndarray, bits: int, each: int) -> tuple[list[tuple[int, int, int]], bool]:
-    """For every label but the most frequent one its ``each`` nearest pairs (id, id, differing bits) with others, and whether there are more."""
-    lanes = lanes.view(np.uint64)
+def shared_first(apart: np.ndarray, number: int) -> np.ndarray:
+    """Of rows that share the key of this number (segment and wildcard), those that share no earlier one; ``apart`` has the differing bits of the segments."""
+    segment, wildcard = divmod(number, 8)
+    v = apart[:, : segment + 1]
+    fours = np.bitwise_count((v | v >> np.uint32(1) | v >> np.uint32(2) | v >> np.uint32(3)) & np.uint32(0x11111111))
+    own = (fours[:, segment] > 0) | (wildcard == 0)  # equal segments agree under every wildcard
+    return own & (fours[:, :segment] > 1).all(axis=1)
+
+
+def between_classes(g: pd.DataFrame, scheme: Wide, each: int) -> tuple[list[tuple[int, int, int]], bool]:
+    """For every label but the most frequent one its ``each`` nearest pairs (id, id, differing bits) with others, and whether there are more.
+
+    ``g`` has members of one key, of one block or of two.  Left out are pairs that another group lists: those within one of
+    two blocks, and those that share an earlier key (there they lie between the same classes, or were verified in pairs).
+    """
+    ids, lanes, labels, own = g["fp"].to_numpy(), _lanes_of(g, scheme).view(np.uint64), g["label"].to_numpy(), g["own"].to_numpy()
+    segments = np.ascontiguousarray(g[scheme.columns[: scheme.index_lanes]].to_numpy("<i8")).view("<u4")
+    key, two = int(g["key"].iloc[0]) >> 32, g["i"].iloc[0] != g["j"].iloc[0]
     names, sizes = np.unique(labels, return_counts=True)
     found: list[tuple[int, int, int]] = []
     more = False
@@ -360,7 +379,10 @@ def between_classes(ids: np.ndarray, lanes: np.ndarray, labels: np.ndarray, bits
         near: list[tuple[int, int, int]] = []
         for x in inside:
             d = np.bitwise_count(lanes[outside] ^ lanes[x]).sum(axis=1, dtype=np.int64)
-            hit = np.flatnonzero(d <= bits)
+            hit = np.flatnonzero(d <= scheme.bits)
+            if two:
+                hit = hit[own[outside[hit]] != own[x]]
+            hit = hit[shared_first(segments[outside[hit]] ^ segments[x], key)]
             near += zip(d[hit].tolist(), [int(ids[x])] * len(hit), ids[outside[hit]].tolist(), strict=True)
             if len(near) > 2 * each:
                 near, more = heapq.nsmallest(each, near), True
@@ -371,13 +393,13 @@ def between_classes(ids: np.ndarray, lanes: np.ndarray, labels: np.ndarray, bits
 
 def _between(scheme: Wide, each: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def search(g: pd.DataFrame) -> pd.DataFrame:
-        pairs, more = between_classes(g["fp"].to_numpy(), _lanes_of(g, scheme), g["label"].to_numpy(), scheme.bits, each)
+        pairs, more = between_classes(g, scheme, each)
         return pd.DataFrame(pairs, columns=["x", "y", "apart"], dtype="int64").assign(more=more)
 
     return search
 
 
-def wide_classes(distinct: DataFrame, texts: DataFrame, scheme: Wide = WIDE, crowd: int = CROWD, pairs_up_to: int = PAIRS, each: int = 64) -> DataFrame:
+def wide_classes(distinct: DataFrame, texts: DataFrame, scheme: Wide = WIDE, crowd: int = CROWD, pairs_up_to: int = PAIRS, each: int = 4_096) -> DataFrame:
     """(fp, label) of every row of ``distinct``: the classes that all candidates that are links make; ``texts`` is (fp, text).
 
     What :func:`wide_links` finds is verified first.  Then, of crowded keys that hold several classes, the ``each`` nearest
@@ -392,8 +414,7 @@ def wide_classes(distinct: DataFrame, texts: DataFrame, scheme: Wide = WIDE, cro
         labels = cut(_classes(distinct.select("fp"), linked))
         several = members.join(labels, "fp")
         mixed = several.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-        dealt = _dealt(several.join(mixed, "key").join(_compared(distinct, scheme), "fp"), min(crowd, BETWEEN))
-
+        dealt = _dealt(several.join(mixed, "key").join(distinct.select("fp", *scheme.columns), "fp"), min(crowd, BETWEEN))
         found = cut(dealt.groupBy("key", "i", "j").applyInPandas(_between(scheme, each), "x long, y long, apart long, more boolean"))
         new = cut(_edges(found.select("x", "y", "apart")).join(tested, ["x", "y"], "left_anti"))
         n, more = new.count(), found.where("more").limit(1).count()
@@ -409,13 +430,38 @@ def verified_links(edges: DataFrame, texts: DataFrame, scheme: Wide = WIDE) -> D
     """The edges (x, y) that are links: sure ones, and the others by exact similarity; ``texts`` is (fp, text)."""
     edges = cut(edges)
     doubtful = edges.where(F.col("apart") > scheme.sure).select("x", "y")
-    ends = doubtful.select(F.col("x").alias("fp")).union(doubtful.select("y")).distinct()
-    sets = cut(shingle_sets(texts.join(ends, "fp", "left_semi"), scheme.words).select("fp", "shingles"))
-    side = lambda name: sets.select(F.col("fp").alias(name), F.col("shingles").alias(f"{name}_set"))
-    both = F.size(F.array_intersect("x_set", "y_set"))
-    alike = both / (F.size("x_set") + F.size("y_set") - both) >= scheme.least
-    exact = doubtful.join(side("x"), "x").join(side("y"), "y").where(alike).select("x", "y")
-    return edges.where(F.col("apart") <= scheme.sure).select("x", "y").unionByName(exact)
+    return edges.where(F.col("apart") <= scheme.sure).select("x", "y").unionByName(_exact(doubtful, texts, scheme))
+
+
+def _exact(pairs: DataFrame, texts: DataFrame, scheme: Wide) -> DataFrame:
+    """The pairs (x, y) whose sets of shingles are similar; a task takes families of pairs, or two blocks of a large one."""
+    family = cut(components(pairs).select(F.col("node").alias("fp"), "component"))
+    sets = cut(shingle_sets(texts.join(family.select("fp"), "fp", "left_semi"), scheme.words).select("fp", "shingles"))
+    sized = family.join(sets.select("fp", F.size("shingles").alias("size")), "fp")
+    weight = cut(sized.groupBy("component").agg(F.sum("size").alias("weight")))
+    total = weight.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    homes = max(4 * pairs.sparkSession.sparkContext.defaultParallelism, -(-total // SETS))
+    large = F.col("weight") > SETS
+    home = F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(homes)))
+    blocks = F.when(large, F.ceil(F.col("weight") / F.lit(SETS // 2))).otherwise(1)
+    placed = cut(family.join(weight, "component").select("fp", large.alias("large"), home.alias("home"), F.pmod(F.xxhash64("fp"), blocks).alias("block")))
+    side = lambda name, *more: placed.select(F.col("fp").alias(name), F.col("block").alias(f"b{name}"), *more)
+    at = ["large", "home", "i", "j"]
+    dealt = cut(pairs.join(side("x", "large", "home"), "x").join(side("y"), "y").select("large", "home", F.least("bx", "by").alias("i"), F.greatest("bx", "by").alias("j"), "x", "y"))
+    needed = dealt.select(*(F.col(c).alias(f"of_{c}") for c in at), F.explode(F.array("x", "y")).alias("fp")).distinct().join(sets, "fp")
+
+    def verify(p: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        of = dict(zip(own["fp"].tolist(), own["shingles"], strict=True))
+        alike = []
+        for x, y in zip(p["x"].tolist(), p["y"].tolist(), strict=True):
+            a, b = of[x], of[y]
+            if min(len(a), len(b)) >= scheme.least * max(len(a), len(b)) * (1 - 1e-9):  # else not even one within the other
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if both / (len(a) + len(b) - both) >= scheme.least:
+                    alike.append((x, y))
+        return pd.DataFrame(alike, columns=["x", "y"], dtype="int64")
+
+    return dealt.groupBy(*at).cogroup(needed.groupBy(*(f"of_{c}" for c in at))).applyInPandas(verify, "x long, y long")
 
 
 def _classes(distinct: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators: brute force, round trips, held-out accuracy and odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -503,6 +504,45 @@ def test_a_far_link_is_found_behind_near_candidates_that_fail(spark):
         assert label == {i: 0 if i == 1 else i for i in range(n)}
 
 
+def test_pairs_of_several_keys_are_listed_and_verified_once(spark, monkeypatch):
+    """Members of many crowded keys: a pair between classes comes from one group, and a set travels once to a block (pipeline)."""
+    rng, n, listed = random.Random(4), 40, []
+    index = [0, 0, 0, 0]
+    rows = [(i, *index[:3], rng.choice([0, 1 << 3, 1 << 40]), *(sum(1 << b for b in rng.sample(range(63), 4)) for _ in range(8))) for i in range(n)]
+    words = [f"w{j}" for j in range(60)]
+    own = {i: " ".join(words if i % 13 == 5 else [f"t{i}w{j}" for j in range(30)]) + f" x{i}" for i in range(n)}
+    distinct = spark.createDataFrame(rows, "fp long, " + ", ".join(f"{c} long" for c in simhash.WIDE.columns))
+    texts = spark.createDataFrame(list(own.items()), "fp long, text string")
+    exact = simhash._exact
+    monkeypatch.setattr(simhash, "_exact", lambda pairs, *rest: listed.append(sorted((r["x"], r["y"]) for r in pairs.collect())) or exact(pairs, *rest))
+    monkeypatch.setattr(simhash, "SETS", 300)  # about ten sets: a family of several blocks
+    label = {r["fp"]: r["label"] for r in simhash.wide_classes(distinct, texts, crowd=20).collect()}
+    assert label == {i: 5 if i % 13 == 5 else i for i in range(n)}
+    found = [p for part in listed for p in part]
+    assert len(found) == len(set(found)) and set(found) | set(itertools.combinations((5, 18, 31), 2)) >= set(itertools.combinations(range(n), 2))
+
+
+def test_between_classes_lists_a_pair_in_one_group_only():
+    """Forty members, most pairs in many keys: over all groups of keys and blocks each pair between classes comes once (pipeline)."""
+    rng, n, scheme = random.Random(9), 40, simhash.WIDE
+    rows = [[i, *(rng.choice([0, 1, 1 << 5, 3 << 30, 1 << 63]) - (1 << 63) for _ in range(4)), *([0] * 8), i % 7, i % 3] for i in range(n)]
+    all_rows = pd.DataFrame(rows, columns=["fp", *scheme.columns, "label", "own"])
+    segments = np.ascontiguousarray(all_rows[scheme.columns[:4]].to_numpy("<i8")).view("<u4").astype(np.int64)
+    found, shared = [], set()
+    for number in range(64):
+        masked = segments[:, number // 8] & ~(15 << 4 * (number % 8))
+        for value in set(masked.tolist()):
+            of = all_rows[masked == value].assign(key=(number << 32) | value)
+            shared |= {(x, y) for x, y in itertools.combinations(of["fp"], 2) if x % 7 != y % 7}
+            for i in range(3):
+                for j in range(i, 3):
+                    g = of[of["own"].isin([i, j])].assign(i=i, j=j)
+                    if len(g):
+                        found += [(min(x, y), max(x, y)) for x, y, _ in simhash.between_classes(g, scheme, 10_000)[0]]
+    assert len(shared) > 300 and set(found) == shared
+    assert max(Counter(found).values()) <= 2  # a class lists its pairs, so a pair has two lists at most
+
+
 def test_keep_one_judges_rows_not_ids(spark):
     a, b = "one text of quite a few words that stays as it is", "another text that has nothing to do with the first"
     df = spark.createDataFrame([(3, a, 1), (8, b, 2), (8, a, 3), (9, b, 4), (9, b, 5)], "doc_id long, text string, th int")
