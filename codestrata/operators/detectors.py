@@ -80,8 +80,30 @@ def _path_of(evidence: Column, at: str) -> Column:
     return F.coalesce(*(F.nullif(text(k), F.lit("")) for k in ("filePath", "file", "path", "sourceFilePath")), text("filePaths[0]"))
 
 
+def _json_objects(deep: int = 3) -> str:
+    """A pattern of the strings of a JSON text and of its outermost objects, if they nest up to ``deep`` levels; it never backtracks."""
+    text = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    found = text
+    for _ in range(deep):
+        found = rf'{text}|\{{[^{{}}"\\]*+(?:(?:{found})[^{{}}"\\]*+)*+\}}'
+    return f"(?s){found}"
+
+
+_OBJECTS = _json_objects()
+#: What an object with a path holds in its text: one of the keys, or an escape that may spell one.
+_NAMED = r'"(?:filePath|file|path|sourceFilePath|filePaths)"|\\'
+
+
 def _objects_in(array: Column) -> Column:
-    """The texts of the objects in a JSON array, in order, through nested arrays of any depth and length."""
+    """The texts of the objects in a JSON array, in order, through nested arrays of any depth and length.
+
+    A pattern finds those of few levels; a text with a brace that it does not reach is folded mark by mark.
+    """
+    found = F.filter(F.regexp_extract_all(array, F.lit(_OBJECTS), F.lit(0)), lambda o: o.startswith("{"))
+    return F.when(F.regexp_replace(array, _OBJECTS, "").rlike("[{}]"), _folded_objects(array)).otherwise(found)
+
+
+def _folded_objects(array: Column) -> Column:
     marks = F.regexp_extract_all(array, F.lit(r'(?s)[^"\\{}]*(?:\\.|["{}\\])'), F.lit(0))
     zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit("").alias("own"), F.array().cast("array<string>").alias("found"))
 
@@ -101,7 +123,8 @@ def primary_file(evidence: Column) -> Column:
     """The path that evidence (JSON text) is about; of an array the first element, nested ones included, that has one."""
     v = F.try_parse_json(evidence)
     whole = F.schema_of_variant(v)
-    inside = F.filter(F.transform(_objects_in(evidence), lambda o: _path_of(F.try_parse_json(o), "$")), lambda p: p.isNotNull())
+    named = F.filter(_objects_in(evidence), lambda o: o.rlike(_NAMED))
+    inside = F.filter(F.transform(named, lambda o: _path_of(F.try_parse_json(o), "$")), lambda p: p.isNotNull())
     return F.when(whole.startswith("ARRAY"), F.get(inside, F.lit(0))).otherwise(_path_of(v, "$"))
 
 
