@@ -20,8 +20,8 @@ def dump(repo: str, most: int = 200) -> str:
 def new_path(path: Column) -> Column:
     """The path after a rename, the part before a brace kept."""
     braced = F.regexp_replace(path, r"\{[^{}]* => ([^{}]*)\}", "$1")
-    plain = F.regexp_replace(braced, r"^.* => ", "")
-    return F.regexp_replace(plain, "//+", "/")
+    moved = F.when(F.contains(path, F.lit(" => ")), F.regexp_replace(braced, r"^.* => ", "")).otherwise(path)  # most paths need no pattern
+    return F.when(F.contains(moved, F.lit("//")), F.regexp_replace(moved, "//+", "/")).otherwise(moved)
 
 
 def parse(logs: DataFrame, text: str = "value") -> DataFrame:
@@ -33,14 +33,13 @@ def parse(logs: DataFrame, text: str = "value") -> DataFrame:
     at = F.try_to_timestamp(F.get("f", F.lit(3)))
     stat = F.filter(F.split(F.element_at("f", -1), "\n"), lambda line: line.rlike(r"^(\d+|-)\t(\d+|-)\t.+$"))
 
-    def change(line: Column) -> Column:
-        cell = F.split(line, "\t")
+    def change(cell: Column) -> Column:
         added, removed, path = cell[0].try_cast("int"), cell[1].try_cast("int"), cell[2]
         kind = F.when(F.contains(path, F.lit(" => ")), "rename").when(removed.isNull() & (added > 0), "add").otherwise("modify")
         return F.struct(new_path(path).alias("path"), kind.alias("change_type"), added.alias("lines_added"), removed.alias("lines_removed"))
 
     message = F.trim(F.array_join(F.slice("f", 5, F.size("f") - 5), FIELD))
-    return parts.select(F.get("f", F.lit(0)).alias("sha"), F.get("f", F.lit(1)).alias("author_name"), F.get("f", F.lit(2)).alias("author_email"), at.alias("committed_at"), F.regexp_replace(message, r"^\s+|\s+$", "").alias("message"), F.transform(stat, change).alias("files")).where("committed_at is not null")
+    return parts.select(F.get("f", F.lit(0)).alias("sha"), F.get("f", F.lit(1)).alias("author_name"), F.get("f", F.lit(2)).alias("author_email"), at.alias("committed_at"), F.regexp_replace(message, r"^\s+|\s+$", "").alias("message"), F.transform(F.transform(stat, lambda line: F.split(line, "\t")), change).alias("files")).where("committed_at is not null")
 
 
 # What a repository address may look like, and what it must not hold.
