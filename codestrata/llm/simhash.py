@@ -27,7 +27,8 @@ members that are not sure (Boruvka's steps, three edges a group and step), which
 Nearest members may all fail while farther ones are links: :func:`wide_classes` then verifies the candidates
 that still lie between different classes, nearest first and more of them in each round, until none is left.
 A pair of several keys is listed at the first of them only.  Exact sets travel by families of candidates: a set goes once to
-each block of its family that has a pair to verify, not once for each pair.
+each block of its family that has a pair to verify, not once for each pair.  Members of crowded keys are one
+row each while their lanes (once) and labels (once in a round) are joined, not one for each of their keys.
 
 Defined results: null text counts as empty and has fingerprint zero; a document of fewer words than a
 shingle has one shingle; a row with null id keeps its fingerprint and forms its own component (null).
@@ -59,6 +60,8 @@ CROWD = 20_000
 BETWEEN = 2_000
 #: Shingles of the sets that a task verifies (8 bytes each), but for a single text that has more.
 SETS = 1 << 19
+#: Pairs of a family that are verified together, about.
+VERIFIED = 8_192
 BITS = 3
 _LOW = 0xFFFFFFFF
 
@@ -299,14 +302,15 @@ def wide_links(distinct: DataFrame, scheme: Wide = WIDE, crowd: int = CROWD, pai
     searched as one group; more members are dealt into blocks of half that size, and every two blocks
     of a key are searched together, so a task's memory is bounded and no candidate is left out.
     """
-    return _spanning(distinct, scheme, crowd, *_candidates(distinct, scheme, pairs_up_to))
+    pairs, members = _candidates(distinct, scheme, pairs_up_to)
+    return _spanning(scheme, crowd, pairs, members.join(_compared(distinct, scheme), "fp"))
 
 
-def _spanning(distinct: DataFrame, scheme: Wide, crowd: int, pairs: DataFrame, more: DataFrame) -> DataFrame:
+def _spanning(scheme: Wide, crowd: int, pairs: DataFrame, members: DataFrame) -> DataFrame:
     def search(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(wide_spanning_links(g["fp"].to_numpy(), _lanes_of(g, scheme), scheme.sure, scheme.bits), columns=["x", "y", "apart"], dtype="int64")
 
-    searched = _dealt(more.join(_compared(distinct, scheme), "fp"), crowd).groupBy("key", "i", "j").applyInPandas(search, "x long, y long, apart long")
+    searched = _dealt(members.select("key", "fp", "n", *scheme.columns[scheme.index_lanes :]), crowd).groupBy("key", "i", "j").applyInPandas(search, "x long, y long, apart long")
     return _edges(pairs, searched)
 
 
@@ -407,14 +411,17 @@ def wide_classes(distinct: DataFrame, texts: DataFrame, scheme: Wide = WIDE, cro
     Blocks of ``BETWEEN`` members bound the pairs of a task.
     """
     pairs, members = _candidates(distinct, scheme, pairs_up_to)
-    near = cut(_spanning(distinct, scheme, crowd, pairs, members))
+    # a row for each fingerprint, so lanes and labels are joined with it and not with its up to 64 memberships
+    crowded = cut(members.groupBy("fp").agg(F.collect_list(F.struct("key", "n")).alias("keys")).join(distinct.select("fp", *scheme.columns), "fp"))
+    memberships = lambda of: of.select("*", F.inline("keys")).drop("keys")
+    near = cut(_spanning(scheme, crowd, pairs, memberships(crowded)))
     linked = cut(verified_links(near, texts, scheme))
     tested = near.select("x", "y")
     while True:
         labels = cut(_classes(distinct.select("fp"), linked))
-        several = members.join(labels, "fp")
+        several = memberships(cut(crowded.join(labels, "fp")))
         mixed = several.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-        dealt = _dealt(several.join(mixed, "key").join(distinct.select("fp", *scheme.columns), "fp"), min(crowd, BETWEEN))
+        dealt = _dealt(several.join(mixed, "key"), min(crowd, BETWEEN))
         found = cut(dealt.groupBy("key", "i", "j").applyInPandas(_between(scheme, each), "x long, y long, apart long, more boolean"))
         new = cut(_edges(found.select("x", "y", "apart")).join(tested, ["x", "y"], "left_anti"))
         n, more = new.count(), found.where("more").limit(1).count()
@@ -434,20 +441,22 @@ def verified_links(edges: DataFrame, texts: DataFrame, scheme: Wide = WIDE) -> D
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, scheme: Wide) -> DataFrame:
-    """The pairs (x, y) whose sets of shingles are similar; a task takes families of pairs, or two blocks of a large one."""
+    """The pairs (x, y) whose sets of shingles are similar; a task takes families of pairs, or two blocks of one that is large or has many pairs."""
     family = cut(components(pairs).select(F.col("node").alias("fp"), "component"))
     sets = cut(shingle_sets(texts.join(family.select("fp"), "fp", "left_semi"), scheme.words).select("fp", "shingles"))
     sized = family.join(sets.select("fp", F.size("shingles").alias("size")), "fp")
-    weight = cut(sized.groupBy("component").agg(F.sum("size").alias("weight")))
+    of_family = cut(pairs.join(family.withColumnRenamed("fp", "x"), "x"))
+    many = of_family.groupBy("component").agg(F.count("*").alias("many"))
+    weight = cut(sized.groupBy("component").agg(F.sum("size").alias("weight")).join(many, "component"))
     total = weight.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     homes = max(4 * pairs.sparkSession.sparkContext.defaultParallelism, -(-total // SETS))
-    large = F.col("weight") > SETS
+    large = (F.col("weight") > SETS) | (F.col("many") > VERIFIED)
     home = F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(homes)))
-    blocks = F.when(large, F.ceil(F.col("weight") / F.lit(SETS // 2))).otherwise(1)
-    placed = cut(family.join(weight, "component").select("fp", large.alias("large"), home.alias("home"), F.pmod(F.xxhash64("fp"), blocks).alias("block")))
-    side = lambda name, *more: placed.select(F.col("fp").alias(name), F.col("block").alias(f"b{name}"), *more)
+    blocks = F.when(large, F.ceil(F.greatest(F.col("weight") / F.lit(SETS // 2), F.sqrt(2 * F.col("many") / F.lit(VERIFIED))))).otherwise(1)
+    placed = weight.select("component", large.alias("large"), home.alias("home"), blocks.alias("blocks"))
+    block = lambda name: F.pmod(F.xxhash64(name), F.col("blocks"))
     at = ["large", "home", "i", "j"]
-    dealt = cut(pairs.join(side("x", "large", "home"), "x").join(side("y"), "y").select("large", "home", F.least("bx", "by").alias("i"), F.greatest("bx", "by").alias("j"), "x", "y"))
+    dealt = cut(of_family.join(placed, "component").select("large", "home", F.least(block("x"), block("y")).alias("i"), F.greatest(block("x"), block("y")).alias("j"), "x", "y"))
     needed = dealt.select(*(F.col(c).alias(f"of_{c}") for c in at), F.explode(F.array("x", "y")).alias("fp")).distinct().join(sets, "fp")
 
     def verify(p: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:

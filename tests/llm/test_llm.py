@@ -522,6 +522,48 @@ def test_pairs_of_several_keys_are_listed_and_verified_once(spark, monkeypatch):
     assert len(found) == len(set(found)) and set(found) | set(itertools.combinations((5, 18, 31), 2)) >= set(itertools.combinations(range(n), 2))
 
 
+def rows_joined(spark, since, on):
+    """Rows that joins on these keys made in the queries after ``since`` (the number of queries)."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    for i in range(since, store.executionsCount()):
+        run = store.executionsList(i, 1).apply(0).executionId()
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(n) for n in range(nodes.size())):
+            if "Join" in node.name() and re.search(rf"\[{on}#\d+L?\], \[{on}#\d+L?\], Inner", node.desc()):
+                for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_crowded_members_are_joined_by_fingerprint(spark):
+    """Sixty texts that share every key, all unlike: lanes and labels are joined with the texts, not with 64 memberships of each (pipeline)."""
+    n, rng = 60, random.Random(3)
+    rows = [(i, *[0] * 4, *(sum(1 << b for b in rng.sample(range(63), 4)) for _ in range(8))) for i in range(n)]
+    distinct = spark.createDataFrame(rows, "fp long, " + ", ".join(f"{c} long" for c in simhash.WIDE.columns))
+    texts = spark.createDataFrame([(i, " ".join(f"t{i}w{j}" for j in range(30))) for i in range(n)], "fp long, text string")
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    label = {r["fp"]: r["label"] for r in simhash.wide_classes(distinct, texts).collect()}
+    assert label == {i: i for i in range(n)}
+    assert 2 * n <= rows_joined(spark, before, "fp") < 64 * n
+
+
+def test_a_family_of_many_pairs_is_verified_in_blocks(spark, monkeypatch):
+    """Thirty short texts, every two of them a candidate: no task takes all 435 pairs, and the links are the same (pipeline)."""
+    n, most = 30, []
+    own = {i: f"x{i % 10} " + " ".join(f"w{i % 10}v{j}" for j in range(20)) + " end" * (i // 10) for i in range(n)}
+    texts = spark.createDataFrame(list(own.items()), "fp long, text string")
+    pairs = spark.createDataFrame(list(itertools.combinations(range(n), 2)), "x long, y long")
+    cut = simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: most.append(df.groupBy("home", "i", "j").count().agg(F.max("count")).first()[0]) or cut(df) if "j" in df.columns else cut(df))
+    for bound in (10_000, 50):
+        monkeypatch.setattr(simhash, "VERIFIED", bound)
+        got = {(r["x"], r["y"]) for r in simhash._exact(pairs, texts, simhash.WIDE).collect()}
+        assert got == {(i, j) for i, j in itertools.combinations(range(n), 2) if shingle_jaccard(own[i], own[j]) >= 0.8} and got
+    assert most[0] == 435 and most[1] < 150
+
+
 def test_between_classes_lists_a_pair_in_one_group_only():
     """Forty members, most pairs in many keys: over all groups of keys and blocks each pair between classes comes once (pipeline)."""
     rng, n, scheme = random.Random(9), 40, simhash.WIDE
