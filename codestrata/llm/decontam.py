@@ -42,7 +42,8 @@ WIDTH, LITERALS, SHARE, BLOCK = 5, 3, 0.6, 1_000_000
 #: Shorter items are matched by whole documents only.
 PHRASE = 3
 CACHE = 200_000
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?:;\n]")
+#: No two of the alternatives begin alike; the second pattern finds the same in ASCII texts.
+_TOKEN, _ASCII = re.compile(r"[^\W\d_]+|[.!?:;\n]|\d+(?:[.,:/]\d+)*"), re.compile(r"[a-zA-Z]+|[.!?:;\n]|[0-9]+(?:[.,:/][0-9]+)*")
 #: Unit words and symbols that follow a number.
 UNITS = frozenset(
     "mm cm m km g kg mg t lb lbs oz ft inch inches mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -56,18 +57,15 @@ _WRITTEN = [np.uint64(xxhash.xxh64_intdigest(f"\0written{n}")) for n in range(WI
 _PLAIN, _TITLE, _DIGITS, _BREAK = range(4)
 
 
-class Tokens:
-    """Kinds and hashes of the token strings met so far, as arrays that a text's tokens index."""
+class Tokens(dict):
+    """Codes of the token strings met so far; kinds and hashes are arrays that a text's codes index."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes: dict[str, int] = {}
+        super().__init__()
         self.kind, self.unit, self.hash = np.zeros(1024, np.uint8), np.zeros(1024, bool), np.zeros(1024, np.uint64)
 
-    def add(self, tok: str) -> int:
-        code = self.codes[tok] = len(self.codes)
+    def __missing__(self, tok: str) -> int:
+        code = self[tok] = len(self)
         if code == len(self.kind):
             self.kind, self.unit, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.unit, self.hash))
         first, low = tok[0], tok.lower()
@@ -77,62 +75,91 @@ class Tokens:
         return code
 
     def read(self, text: str) -> tuple[list[str], np.ndarray]:
-        if len(self.codes) > CACHE:
+        if len(self) > CACHE:
             self.clear()
-        toks = _TOKEN.findall(text)
-        codes = self.codes
-        for tok in set(toks):
-            if tok not in codes:
-                self.add(tok)
-        return toks, np.fromiter(map(codes.__getitem__, toks), dtype=np.int64, count=len(toks))
+        toks = (_ASCII if text.isascii() else _TOKEN).findall(text)
+        return toks, np.fromiter(map(self.__getitem__, toks), dtype=np.int64, count=len(toks))
+
+
+class Wanted:
+    """Sorted hashes, and a table by their upper bits that most other hashes miss (16 bytes a hash at most, and a megabyte)."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(16, min(24, len(hashes).bit_length() + 3))
+        self.hashes, self.shift, self.table = hashes, np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.table[hashes.view(np.uint64) >> self.shift] = True
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the given hashes (unsigned) are among the wanted ones."""
+        at = np.flatnonzero(self.table[hashes >> self.shift])
+        if not len(at):
+            return at
+        signed = hashes[at].view(np.int64)
+        return at[self.hashes[np.minimum(np.searchsorted(self.hashes, signed), len(self.hashes) - 1)] == signed]
 
 
 def _windows_of(h: np.ndarray, width: int) -> np.ndarray:
-    n = len(h) - width + 1
-    with np.errstate(over="ignore"):
-        return sum((h[i : i + n] * _P[i] for i in range(1, width)), h[:n] * _P[0])
+    n = len(h) - width + 1  # arrays wrap around without a warning
+    total = h[:n] * _P[0]
+    for i in range(1, width):
+        total += h[i : i + n] * _P[i]
+    return total
+
 
+def _counts(flags: np.ndarray) -> np.ndarray:
+    """Of every ``WIDTH`` neighbours, how many are set."""
+    ones, n = flags.view(np.uint8), len(flags) - WIDTH + 1
+    total = ones[:n] + ones[1 : n + 1]
+    for i in range(2, WIDTH):
+        total += ones[i : i + n]
+    return total
 
-def template_windows(text: str, tokens: Tokens, wanted: np.ndarray | None = None, shorter: frozenset[int] | None = None) -> tuple[int, list[tuple[int, int, list[tuple[int, str]]]]]:
+
+def template_windows(text: str, tokens: Tokens, wanted: np.ndarray | Wanted | None = None, shorter: frozenset[int] | None = None) -> tuple[int, list[tuple[int, int, list[tuple[int, str]]]]]:
     """The number of tokens, and (hash, position, slots as (offset, value)) of the windows.
 
     ``wanted`` (sorted hashes) and ``shorter`` (token counts of short items) select what a document
     looks for; without them the text is an item, all its windows are given, or itself if it is short.
     """
+    item = wanted is None
+    if not item and not isinstance(wanted, Wanted):
+        wanted = Wanted(wanted)
     toks, codes = tokens.read(text)
     kind = tokens.kind[codes]
-    before = np.concatenate([[_BREAK], kind[:-1]]) if len(kind) else kind
-    keep = kind != _BREAK
-    kind, before, codes = kind[keep], before[keep], codes[keep]
-    n = len(codes)
-    item = wanted is None
-    if not n or not item and not len(wanted):
+    kept = np.flatnonzero(kind != _BREAK)
+    n = len(kept)
+    if not n or not item and not len(wanted.hashes):
         return n, []
+    before = np.empty_like(kind)
+    before[0], before[1:] = _BREAK, kind[:-1]
+    kind, before, codes = kind[kept], before[kept], codes[kept]
     written = tokens.hash[codes]
     digits, title, unit = kind == _DIGITS, kind == _TITLE, tokens.unit[codes] & (before == _DIGITS)
-    inside, opening = title & (before != _BREAK), title & (before == _BREAK)
-    as_word = np.where(digits, _NUMBER, np.where(inside, _NAME, np.where(unit, _UNIT, written)))
+    opening = title & (before == _BREAK)
+    inside = title & ~opening
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []  # hashes, positions, tokens that are slots
 
-    def take(hashes: np.ndarray, chosen: np.ndarray | None, slots: np.ndarray | None) -> None:
-        signed = hashes.view(np.int64)
+    def take(hashes: np.ndarray, chosen: np.ndarray | None, slots: np.ndarray) -> None:
         if wanted is not None:
-            hit = wanted[np.minimum(np.searchsorted(wanted, signed), len(wanted) - 1)] == signed
-            chosen = hit if chosen is None else hit & chosen
-        at = np.arange(len(signed)) if chosen is None else np.flatnonzero(chosen)
+            at = wanted.places(hashes)
+            at = at if chosen is None else at[chosen[at]]
+        else:
+            at = np.arange(len(hashes)) if chosen is None else np.flatnonzero(chosen)
         if len(at):
-            found.append((signed[at], at, slots))
+            found.append((hashes[at].view(np.int64), at, slots))
 
     if n >= WIDTH:
-        def enough(slots: np.ndarray) -> np.ndarray:
-            return np.convolve(~slots, np.ones(WIDTH, dtype=np.int64), "valid") >= LITERALS
-
         few = digits | inside | unit
-        many = enough(few)
+        as_word = written.copy()
+        as_word[unit], as_word[inside], as_word[digits] = _UNIT, _NAME, _NUMBER
+        blanks = _counts(few)
+        many = blanks <= WIDTH - LITERALS
         take(_windows_of(as_word, WIDTH), many, few)
         if opening.any():
-            either = np.convolve(opening, np.ones(WIDTH, dtype=np.int64), "valid") > 0
-            take(_windows_of(np.where(opening, _NAME, as_word), WIDTH), either & enough(few | opening), few | opening)
+            either = _counts(opening)
+            as_name = as_word.copy()
+            as_name[opening] = _NAME
+            take(_windows_of(as_name, WIDTH), (either > 0) & (_counts(few | opening) <= WIDTH - LITERALS), few | opening)
         if not many.all():
             take(_windows_of(written, WIDTH) ^ _WRITTEN[WIDTH], ~many, digits)
     for width in range(1, min(WIDTH - 1, n) + 1):
@@ -140,11 +167,10 @@ def template_windows(text: str, tokens: Tokens, wanted: np.ndarray | None = None
             take(_windows_of(written, width) ^ _WRITTEN[width], None, digits)
     if not found:
         return n, []
-    kept = [t for t, k in zip(toks, keep.tolist(), strict=True) if k]
     out = []
     for hashes, places, slots in found:
         for h, i in zip(hashes.tolist(), places.tolist(), strict=True):
-            out.append((h, i, [(j, kept[i + j].lower()) for j in np.flatnonzero(slots[i : i + WIDTH]).tolist()]))
+            out.append((h, i, [(j, toks[kept[i + j]].lower()) for j in np.flatnonzero(slots[i : i + WIDTH]).tolist()]))
     return n, out
 
 
@@ -204,10 +230,10 @@ def _item_windows(df: DataFrame, text: str) -> DataFrame:
 def _wanted_windows(df: DataFrame, text: str, wanted: np.ndarray, shorter: frozenset[int]) -> DataFrame:
     @F.pandas_udf(_FOUND)
     def cutter(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = Tokens()
+        tokens, looked_for = Tokens(), Wanted(wanted)
         release_tokens()
         for batch in batches:
-            yield pd.Series([template_windows(t or "", tokens, wanted, shorter)[1] for t in batch], dtype=object)
+            yield pd.Series([template_windows(t or "", tokens, looked_for, shorter)[1] for t in batch], dtype=object)
 
     # nondeterministic, so that filters on the windows do not evaluate the function a second time below them,
     # in a second Python worker of each task
