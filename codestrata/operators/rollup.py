@@ -26,6 +26,8 @@ TEMPLATES = {
 BATCH = "Summarise each of the following files separately. For each file, write the file path on its own line followed by the summary.\n\n"
 #: Files of fewer symbols are batched; a share of changed symbols below the second is no change, an edit up to the third is none.
 SMALL, TRIVIAL, EDIT = 5, 0.1, 0.15
+#: Changed symbols whose ids' hashes (8 bytes each) are sent to the tasks that read texts; of more, all texts travel.
+SENT = 1_000_000
 _LEVELS = ("file", "module", "system")
 
 
@@ -39,16 +41,32 @@ def _lines(order: str = "target_id") -> Column:
 
 def changed_share(symbols: DataFrame, previous: DataFrame) -> DataFrame:
     """(path, n, changed): symbols of each file, and those that are new or were edited by more than ``EDIT`` (H6, H7)."""
-    old = previous.where(~F.col("level").isin(*_LEVELS)).select("target_id", F.col("input_hash").alias("__h"), F.coalesce("content", F.lit("")).alias("__c"), F.lit(1).alias("__known"))
-    j = symbols.join(old, "target_id", "left")
-    moved = F.col("__known").isNull() | (~F.col("input_hash").eqNullSafe(F.col("__h")) & (I.edit_ratio(F.col("__c"), F.coalesce("content", F.lit(""))) > EDIT))
-    return j.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.when(moved, 1).otherwise(0)).alias("changed"))
-
-
-def _decided(items: DataFrame, previous: DataFrame, level: str, clean: Column) -> DataFrame:
-    """Adds the old summary, and whether it stays: what is ``clean`` or has the same prompt."""
-    old = previous.where(F.col("level") == level).select("target_id", F.col("input_hash").alias("old_hash"), F.col("content").alias("old"), F.lit(True).alias("has"))
-    j = items.withColumn("input_hash", F.sha2("prompt", 256)).join(old, "target_id", "left")
+    old = previous.where(~F.col("level").isin(*_LEVELS))
+    told = old.select("target_id", F.col("input_hash").alias("__h"), F.lit(True).alias("__known"))
+    other = F.col("__known") & ~F.col("input_hash").eqNullSafe(F.col("__h"))
+    of = symbols.select("path", "target_id", "input_hash").join(told, "target_id", "left")
+    of = _cut(of.select("path", "target_id", F.col("__known").isNull().alias("new"), F.coalesce(other, F.lit(False)).alias("other")))
+    # only texts whose hash changed are compared, so only these travel; the hashes of their ids pick them and decide nothing
+    changed = of.where("other").select("target_id").distinct()
+    few = changed.count() <= SENT
+    ids = F.broadcast(changed.select(F.xxhash64("target_id").alias("__t")).distinct()) if few else None
+    def text(of: DataFrame, name: str) -> DataFrame:
+        texts = of.select("target_id", F.coalesce("content", F.lit("")).alias(name))
+        return texts.join(ids, F.xxhash64("target_id") == F.col("__t"), "left_semi") if few else texts
+    both = changed.join(text(symbols, "content"), "target_id").join(text(old, "__c"), "target_id")
+    edited = both.where(I.edit_ratio(F.col("__c"), F.col("content")) > EDIT).select("target_id", F.lit(True).alias("edited")).distinct()
+    moved = F.col("new") | (F.col("other") & F.col("edited").isNotNull())
+    return of.join(edited, "target_id", "left").groupBy("path").agg(F.count("*").alias("n"), F.sum(F.when(moved, 1).otherwise(0)).alias("changed"))
+
+
+def _decided(items: DataFrame, previous: DataFrame, level: str, clean: Column, key: str) -> DataFrame:
+    """Adds the old summary, and whether it stays: what is ``clean`` or has the same prompt.
+
+    ``key`` is the target without its level, by which items were gathered, so prompts need not travel again.
+    """
+    old = previous.where((F.col("level") == level) & F.col("target_id").startswith(f"{level}:"))
+    old = old.select(F.substr("target_id", F.lit(len(level) + 2)).alias(key), F.col("input_hash").alias("old_hash"), F.col("content").alias("old"), F.lit(True).alias("has"))
+    j = items.withColumn("input_hash", F.sha2("prompt", 256)).join(old, key, "left")
     return _cut(j.withColumn("reused", F.coalesce(F.col("has") & (clean | F.col("input_hash").eqNullSafe(F.col("old_hash"))), F.lit(False))))
 
 
@@ -78,7 +96,7 @@ def rollup(symbols: DataFrame, previous: DataFrame, folder: str, budget: float,
     items = by_file.select("path", "n", (F.col("changed") / F.col("n") < TRIVIAL).alias("slight"), F.concat(F.lit("file:"), "path").alias("target_id"), prompt.alias("prompt"))
     if dirty is not None:
         items = items.join(dirty.select("path", F.lit(True).alias("dirty")).distinct(), "path", "left").withColumn("slight", F.col("slight") | F.col("dirty").isNull())
-    d = _decided(items, previous, "file", F.col("slight"))
+    d = _decided(items, previous, "file", F.col("slight"), "path")
 
     todo = d.where("not reused")
     few = todo.where(F.col("n") < SMALL)
@@ -93,8 +111,10 @@ def rollup(symbols: DataFrame, previous: DataFrame, folder: str, budget: float,
     parts = F.when(F.size("paths") == 1, F.array("answer")).otherwise(split_batch_answer(F.col("answer"), F.col("paths")))
     split = told.where("error is null").select((F.col("cost") / F.size("paths")).alias("cost"), "error", F.explode(F.arrays_zip(F.col("paths").alias("path"), parts.alias("answer"))).alias("x"))
     split = split.select(F.concat(F.lit("file:"), "x.path").alias("id"), F.col("x.answer").alias("answer"), "cost", "error")
-    failed = told.where("error is not null and size(paths) > 1").select(F.explode("paths").alias("path"))
-    alone = todo.where(F.col("n") >= SMALL).select(F.col("target_id").alias("id"), "prompt").union(todo.join(failed, "path", "left_semi").select("target_id", "prompt"))
+    failed = _cut(told.where("error is not null and size(paths) > 1").select(F.explode("paths").alias("path")))
+    alone = todo.where(F.col("n") >= SMALL).select(F.col("target_id").alias("id"), "prompt")
+    if not failed.isEmpty():  # prompts are looked up only if some are wanted
+        alone = _cut(alone.union(todo.join(failed, "path", "left_semi").select("target_id", "prompt")))
     single, more = asked(alone, f"{folder}/files", budget - spent, ask, run)
     spent += more
     fresh = _cut(_new(d, split.unionByName(single), "file"))
@@ -104,14 +124,14 @@ def rollup(symbols: DataFrame, previous: DataFrame, folder: str, budget: float,
     lines = own.withColumn("module", module).where("module is not null")
     of = lines.groupBy("module").agg(_lines().alias("lines"), F.count("*").alias("n"), F.bool_or(~F.col("reused")).alias("moved"))
     prompt = _filled(t["module"], modulePath=F.col("module"), fileCount=F.col("n").cast("string"), fileSummaries=F.col("lines"))
-    d = _decided(of.select(F.concat(F.lit("module:"), "module").alias("target_id"), prompt.alias("prompt"), "moved"), previous, "module", ~F.col("moved") if dirty is not None else F.lit(False))
+    d = _decided(of.select("module", F.concat(F.lit("module:"), "module").alias("target_id"), prompt.alias("prompt"), "moved"), previous, "module", ~F.col("moved") if dirty is not None else F.lit(False), "module")
     told, more = asked(d.where("not reused").select(F.col("target_id").alias("id"), "prompt"), f"{folder}/modules", budget - spent, ask, run)
     spent += more
     modules = _kept(d, "module").unionByName(_cut(_new(d, told, "module")))
 
     of = modules.agg(_lines().alias("lines"), F.count("*").alias("n"), F.coalesce(F.bool_or(~F.col("reused")), F.lit(False)).alias("moved")).where("n > 0")
     prompt = _filled(t["system"], projectName=F.lit(project), moduleCount=F.col("n").cast("string"), moduleSummaries=F.col("lines"))
-    d = _decided(of.select(F.lit(f"system:{project}").alias("target_id"), prompt.alias("prompt"), "moved"), previous, "system", ~F.col("moved") if dirty is not None else F.lit(False))
+    d = _decided(of.select(F.lit(project).alias("project"), F.lit(f"system:{project}").alias("target_id"), prompt.alias("prompt"), "moved"), previous, "system", ~F.col("moved") if dirty is not None else F.lit(False), "project")
     told, _ = asked(d.where("not reused").select(F.col("target_id").alias("id"), "prompt"), f"{folder}/system", budget - spent, ask, run)
     system = _cut(_new(d, told, "system"))
     stays = previous.where((F.col("level") == "system") & (F.col("target_id") == f"system:{project}")).join(system, "target_id", "left_anti")

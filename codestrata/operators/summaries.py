@@ -55,16 +55,32 @@ def _read(spark, folder: str) -> DataFrame | None:
 
 
 def _todo(chunks: DataFrame, known: DataFrame | None, log: DataFrame | None, run: str) -> DataFrame:
-    """Distinct prompts without an answer, numbered in the order of their first id, no task holding all."""
-    context = F.col("context") if "context" in chunks.columns else F.lit("")
-    asked = chunks.select("id", "prompt", F.coalesce(context, F.lit("")).alias("context"), "name", F.col("lines").cast("int").alias("lines"), F.sha2("prompt", 256).alias("input_hash"))
+    """(id, input_hash, rows, at) of distinct prompts without an answer, numbered in the order of their first id, no task holding all."""
+    asked = chunks.select("id", F.sha2("prompt", 256).alias("input_hash"))
     for old in (known, log.where(F.col("error").isNull() | (F.col("run") == run)) if log is not None else None):
         if old is not None:
             asked = asked.join(old.select("input_hash"), "input_hash", "left_anti")
-    first = asked.groupBy("input_hash").agg(F.min_by(F.struct("id", "prompt", "context", "name", "lines"), F.struct("id", "name", "context")).alias("p")).select("input_hash", "p.*")
+    each = asked.groupBy("input_hash", "id").agg(F.count("*").alias("rows"))
+    first = each.groupBy("input_hash").agg(F.min(F.struct("id", "rows")).alias("p")).select("p.id", "input_hash", "p.rows")
     return first.repartitionByRange("id", "input_hash").sortWithinPartitions("id", "input_hash").withColumn("at", F.monotonically_increasing_id())
 
 
+def _prompts(chunks: DataFrame, numbered: DataFrame) -> DataFrame:
+    """The rows of numbered prompts: a prompt travels once, and only where an id has it in several rows one of these is chosen."""
+    context = F.col("context") if "context" in chunks.columns else F.lit("")
+    rows = chunks.select("id", "prompt", F.coalesce(context, F.lit("")).alias("context"), "name", F.col("lines").cast("int").alias("lines"), F.sha2("prompt", 256).alias("input_hash"))
+
+    def of(n: DataFrame) -> DataFrame:
+        n = n.select(F.col("id").alias("__id"), F.col("input_hash").alias("__hash"), "seq")
+        return rows.join(n, F.col("id").eqNullSafe(F.col("__id")) & (F.col("input_hash") == F.col("__hash"))).drop("__id", "__hash")
+
+    several = numbered.where("rows > 1")
+    if several.isEmpty():
+        return of(numbered)
+    one = of(several).groupBy("seq").agg(F.min_by(F.struct("id", "prompt", "context", "name", "lines", "input_hash"), F.struct("name", "context")).alias("p"))
+    return of(numbered.where("rows = 1")).unionByName(one.select("p.*", "seq"))
+
+
 def _numbered(todo: DataFrame) -> DataFrame:
     """Dense numbers from the places of a table that was written sorted."""
     part = F.shiftright("at", 33)
@@ -81,7 +97,7 @@ def _waves(chunks: DataFrame, folder: str, budget: float, answerer: Callable[[fl
     plan = f"{base}/todo/{run}"
     if _read(spark, plan) is None:
         _todo(chunks, known, log, run).write.parquet(f"{plan}-sorted", mode="overwrite")
-        _numbered(spark.read.parquet(f"{plan}-sorted")).sortWithinPartitions("seq").write.parquet(plan)
+        _prompts(chunks, _numbered(spark.read.parquet(f"{plan}-sorted"))).sortWithinPartitions("seq").write.parquet(plan, compression="zstd")
     todo = spark.read.parquet(plan)
     total = todo.count()
     kind = dict(chunks.dtypes)["id"]
